@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.llm import bpe, digest, langid, licenses, mixing, sharding, simhash, topk, toxicity
+from callmetrics.llm import bpe, digest, langid, licenses, maxent, mixing, sharding, simhash, topk, toxicity
 from callmetrics.llm.storage import read_table, written
 
 #: Name of the vocabulary file in the folder of public tokenizers, which every node has.
@@ -55,6 +55,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, models).select("doc_id", (crc32_of_id() % 5 == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = maxent.train_and_score(docs, crc32_of_id() % 7 != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -76,7 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_topk, op3_toxicity, op4_language, op6_licenses, op7_fingerprints, op8_bpe, op9_sharding, op10_simhash)
+    f.__name__: f for f in (op1_mixing, op2_topk, op3_toxicity, op4_language, op5_maxent, op6_licenses, op7_fingerprints, op8_bpe, op9_sharding, op10_simhash)
 }
 
 _OP1 = r"""
