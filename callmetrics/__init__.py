@@ -1,0 +1 @@
+"""Analytics of voice-agent call telemetry as Spark DataFrame operators."""
