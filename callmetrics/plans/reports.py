@@ -1,0 +1,125 @@
+"""Dashboards, alerts and monitors as named DataFrames."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from callmetrics.functions.scalars import LAG_MS, bucket_size_ms
+from callmetrics.operators import facts, measures
+
+#: Turns above which a range is answered from rollups, or refused if a filter rules them out.
+EXACT_LIMIT = 50_000
+MAX_RANGE_MS = 180 * 86_400_000
+
+
+@dataclass(frozen=True)
+class Filters:
+    """A half-open time range and equalities on a call's dimensions."""
+
+    start_ms: int
+    end_ms: int
+    agent_id: str | None = None
+    provider: str | None = None
+
+    def __post_init__(self) -> None:
+        if not self.start_ms < self.end_ms:
+            raise ValueError("the range ends before it starts")
+        if self.end_ms - self.start_ms > MAX_RANGE_MS:
+            raise ValueError("the range is longer than 180 days")
+
+    def turns(self, turns: DataFrame) -> DataFrame:
+        out = turns.filter((F.col("started_ms") >= self.start_ms) & (F.col("started_ms") < self.end_ms))
+        if self.agent_id is not None:
+            out = out.filter(F.col("agent_id") == self.agent_id)
+        if self.provider is not None:
+            used = turns.filter(F.coalesce(F.array_contains(F.array("stt_provider", "llm_provider", "tts_provider"), self.provider), F.lit(False)))
+            out = out.join(used.select("session_id").distinct(), "session_id", "left_semi")
+        return out
+
+
+def route(turn_count: int, filters: Filters, limit: int = EXACT_LIMIT) -> str:
+    """'exact' from turns, 'rollup' from hourly tables, or 'refused' where a filter needs turns of too wide a range."""
+    if turn_count <= limit:
+        return "exact"
+    return "rollup" if filters.provider is None else "refused"
+
+
+def overview(calls: DataFrame) -> DataFrame:
+    """Key figures of a fleet in one pass."""
+    return calls.agg(
+        F.count("*").alias("calls"), F.count_if(F.col("failed_ops") > 0).alias("failing_calls"), F.sum("turns").alias("turns"), F.sum("duration_ms").alias("total_ms"), F.sum("measured").alias("measured"), F.sum("lag_turns").alias("lag_turns"),
+        F.round(F.sum("lag_turns") / F.nullif(F.sum("measured"), F.lit(0)), 6).alias("lag_rate"), F.round(F.count_if(F.col("failed_ops") > 0) / F.nullif(F.count("*"), F.lit(0)), 6).alias("failure_rate"),
+    )
+
+
+def attention(calls: DataFrame, limit: int = 25) -> DataFrame:
+    """The calls to look at first: by severity, failures, slowest reply, recency."""
+    wanted = calls.filter((F.col("failed_ops") > 0) | (F.col("lag_turns") > 0) | ((F.col("measured") == 0) & (F.col("duration_ms") >= 5000)))
+    severity = F.when(F.col("failed_ops") > 0, 3).when(F.col("measured") == 0, 2).otherwise(1)
+    return wanted.withColumn("severity", severity).orderBy(F.col("severity").desc(), F.col("failed_ops").desc(), F.col("max_response_ms").desc_nulls_last(), F.col("started_ms").desc(), "session_id").limit(limit)
+
+
+def summary(turns: DataFrame, filters: Filters, rollup: DataFrame | None = None, limit: int = EXACT_LIMIT) -> dict[str, DataFrame]:
+    """Q01: the parts of a dashboard over one filtered set. Wide ranges are answered from
+    ``rollup`` (hourly_rollup() of all turns); where a filter rules that out, the parts
+    that need turns are left out and 'refused' says why."""
+    chosen = filters.turns(turns)
+    way = route(chosen.count(), filters, limit)
+    spark = turns.sparkSession
+    if way == "refused":
+        return {"refused": spark.createDataFrame([("range_too_large_for_filter",)], "reason string")}
+    if way == "rollup" and rollup is not None:
+        return {"totals": measures.range_totals(rollup, filters.start_ms, filters.end_ms)}
+    calls = facts.call_facts(chosen)
+    return {
+        "overview": overview(calls),
+        "latency": measures.distribution(chosen, [], "response_ms"),
+        "trend": measures.trend(chosen, calls, filters.start_ms, filters.end_ms, bucket_size_ms(filters.end_ms - filters.start_ms)),
+        "attention": attention(calls),
+        "facets": measures.facets(chosen, ["agent_id", "stt_provider", "llm_provider", "tts_provider"]),
+    }
+
+
+RULES = (("audible-lag", 0.25, "critical"), ("failed-calls", 0.05, "critical"), ("worst-case-wait", 8000.0, "warning"), ("blind-turns", 0.40, "warning"))
+MIN_CALLS = 3
+
+
+def alerts(turns: DataFrame) -> DataFrame:
+    """Q03: each rule for the fleet and for each agent: firing above its threshold, unknown
+    with fewer than MIN_CALLS calls or without enough to measure."""
+    scoped = turns.withColumn("scope", F.explode(F.array(F.lit("fleet"), F.col("agent_id"))))
+    failed = F.expr(measures.FAILED) > 0
+    each = scoped.groupBy("scope").agg(
+        F.countDistinct("session_id").alias("calls"), F.count("*").alias("turns"), F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= LAG_MS).alias("lag"),
+        F.countDistinct(F.when(failed, F.col("session_id"))).alias("failing"), measures.nearest_rank("response_ms", 0.95).alias("p95"),
+    )
+    observed = {
+        "audible-lag": F.when(F.col("measured") >= 10, F.col("lag") / F.col("measured")), "failed-calls": F.when(F.col("calls") > 0, F.col("failing") / F.col("calls")),
+        "worst-case-wait": F.when(F.col("measured") >= measures.MIN_P95, F.col("p95").cast("double")), "blind-turns": F.when(F.col("turns") >= 20, (F.col("turns") - F.col("measured")) / F.col("turns")),
+    }
+    rows = F.array(*(F.struct(F.lit(i).alias("rule"), F.round(observed[i], 6).alias("observed"), F.lit(t).alias("threshold"), F.lit(sev).alias("severity")) for i, t, sev in RULES))
+    out = each.select("scope", "calls", F.inline(rows))
+    state = F.when(F.col("observed").isNull() | (F.col("calls") < MIN_CALLS), "unknown").when(F.col("observed") > F.col("threshold"), "firing").otherwise("ok")
+    out = out.withColumn("state", state).withColumn("severity", F.when(F.col("state") == "firing", F.col("severity")).otherwise("none"))
+    return out.withColumn("excess", F.when(F.col("state") == "firing", F.round((F.col("observed") - F.col("threshold")) / F.col("threshold"), 6)))
+
+
+def ordered_alerts(found: DataFrame) -> DataFrame:
+    """The fleet first, then critical ones, then the worst excess."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return found.orderBy(F.col("scope") != "fleet", rank, F.col("excess").desc_nulls_last(), "scope", "rule")
+
+
+def monitors(turns: DataFrame, rules: DataFrame) -> DataFrame:
+    """Q04: user rules (rule_id, stat, above, threshold, agent_id or null) on reply latency."""
+    scoped = turns.withColumn("scope", F.explode(F.array(F.lit(measures.ALL_AGENTS), F.col("agent_id"))))
+    stats = measures.distribution(scoped, ["scope"], "response_ms")
+    long = stats.select("scope", "p50_confident", "p95_confident", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"), "mean").unpivot(["scope", "p50_confident", "p95_confident"], ["p50", "p95", "mean"], "stat", "observed")
+    wanted = rules.withColumn("scope", F.coalesce("agent_id", F.lit(measures.ALL_AGENTS)))
+    joined = wanted.join(long, ["scope", "stat"], "left")
+    enough = F.coalesce(F.when(F.col("stat") == "p95", F.col("p95_confident")).otherwise(F.col("p50_confident")), F.lit(False))
+    breach = F.when(F.col("above"), F.col("observed") > F.col("threshold")).otherwise(F.col("observed") < F.col("threshold"))
+    return joined.select("rule_id", "scope", "stat", F.round("observed", 6).alias("observed"), F.when(~enough, "no_data").when(breach, "alerting").otherwise("ok").alias("state"))
