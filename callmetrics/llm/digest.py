@@ -140,30 +140,33 @@ def wide_hash(text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), text)), 16, "0")))
 
 
-def collisions(canon: DataFrame) -> DataFrame:
-    """(hash, canon, place) for different texts of one hash: places 1, 2, ... by text.
+def collisions(docs: DataFrame) -> DataFrame | None:
+    """(hash, canon, place) for different texts of one hash, places 2, 3, ... by text;
+    None if there are none.
 
-    ``canon`` holds (hash, canon). Grouping by both compares the bytes of equal hashes
-    and combines before it shuffles, so a text with a third of all rows is one row of
-    each task.
+    Grouping by hash and text compares the bytes of equal hashes and combines before it
+    shuffles, so a text with a third of all rows is one row of each task. Texts are
+    shuffled once, and again only where hashes do collide.
     """
-    texts = canon.groupBy("hash", "canon").agg(F.count("*").alias("n"))
-    several = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.min("canon").alias("first")).filter("texts > 1").select("hash")
+    hashed = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", wide_hash(F.col("canon")))
+    texts = hashed.groupBy("hash", "canon").agg(F.count("*").alias("rows"))
+    several = written(texts.groupBy("hash").agg(F.count("*").alias("texts")).filter("texts > 1").select("hash"), "collisions")
+    if several.isEmpty():
+        return None
+    differing = hashed.join(several, "hash", "left_semi").distinct()
     order = Window.partitionBy("hash").orderBy("canon")
-    return texts.join(several, "hash").select("hash", "canon", F.row_number().over(order).alias("place")).filter("place > 1")
+    return written(differing.withColumn("place", F.row_number().over(order)).filter("place > 1"), "collisions")
 
 
-def with_fingerprints(df: DataFrame, canon_col: str, out: str) -> DataFrame:
+def with_fingerprints(df: DataFrame, canon_col: str, out: str, places: DataFrame | None) -> DataFrame:
     """Adds ``out``: the wide hash of a canonical text, followed by its place if different
-    texts share that hash. Equal texts get equal fingerprints and different texts
-    different ones. Collisions are looked for in all rows; in their absence nothing is
-    joined."""
+    texts share that hash (``places`` from collisions()). Equal texts get equal
+    fingerprints and different texts different ones."""
     hashed = df.withColumn(out, wide_hash(F.col(canon_col)))
-    differing = written(collisions(hashed.select(F.col(out).alias("hash"), F.col(canon_col).alias("canon"))), "collisions")
-    if differing.isEmpty():
+    if places is None:
         return hashed
-    places = differing.select(F.col("hash").alias(out), F.col("canon").alias(canon_col), F.col("place").alias("__place"))
-    joined = hashed.join(places, [out, canon_col], "left")
+    named = places.select(F.col("hash").alias(out), F.col("canon").alias(canon_col), F.col("place").alias("__place"))
+    joined = hashed.join(named, [out, canon_col], "left")
     return joined.withColumn(out, F.concat_ws("-", F.col(out), F.col("__place").cast("string"))).drop("__place")
 
 
@@ -175,8 +178,8 @@ def exact_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows; other columns are left out, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("canon", canonical(F.col("text")))
-    return with_fingerprints(docs, "canon", "fingerprint").select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
+    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    return with_fingerprints(docs.withColumn("canon", canonical(F.col("text"))), "canon", "fingerprint", collisions(docs)).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -227,5 +230,5 @@ def edited_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.transform(F.array("text", "edited", "next_text"), canonical).alias("canon"))
     rows = rows.select("doc_id", "n_chars", "edited_sha256", F.col("canon")[0].alias("canon"), F.col("canon")[1].alias("edited_canon"), F.col("canon")[2].alias("next_canon"))
     likeness = lambda other: F.when(F.col("canon") == F.col(other), 1.0).otherwise(0.0)
-    rows = with_fingerprints(rows, "canon", "fingerprint")
+    rows = with_fingerprints(rows, "canon", "fingerprint", collisions(docs))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", wide_hash(F.col("edited_canon")).alias("edited_fingerprint"), likeness("edited_canon").alias("near_edited"), likeness("next_canon").alias("near_next"))
