@@ -129,9 +129,9 @@ def composed(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Composed, case-folded (upper, then lower; final sigma as sigma), composed again;
+    """Composed, case-folded (upper, then lower; sharp s as ss, final sigma as sigma), composed again;
     runs of white space become one space, none at either end. Null stays null."""
-    folded = F.translate(F.lower(F.upper(composed(text))), "ς", "σ")
+    folded = F.translate(F.lower(F.upper(F.replace(composed(text), F.lit("ß"), F.lit("ss")))), "ς", "σ")
     return F.trim(F.regexp_replace(composed(folded), SPACES, " "))
 
 

@@ -15,7 +15,7 @@ from callmetrics.llm.numbering import numbered
 from callmetrics.llm.storage import written
 
 SHARDS = 16
-ROUNDS = 8
+ROUNDS = 10
 #: A group larger than a shard's capacity over this moves in cells of about that size.
 CELLS = 8
 
@@ -26,6 +26,7 @@ def _round(linked: DataFrame, quota: list[int], cell_rows: int) -> DataFrame:
     A cell wants the shard with most rows of its group; the cells of a group that no
     shard can hold want as many of its foremost shards as it needs. Without room there
     it wants the foremost shard with room.
+    Only rows where the group has fewer than there move, so labels concentrate.
     Room is the quota less the linked rows already there, so what leaves in the same
     round is not counted on. Wishes are admitted by whole classes (rows gained, then a
     hash), summed in a small table, until the room of the shard is used.
@@ -42,16 +43,18 @@ def _round(linked: DataFrame, quota: list[int], cell_rows: int) -> DataFrame:
     first = F.get("ranked", F.floor(F.col("cell") * needed / F.ceil(whole / cell_rows)).cast("int"))
     wished = cells.join(votes, "grp").withColumn("first", first)
     wished = wished.withColumn("to", F.when(F.col("first.room") >= F.col("rows"), F.col("first")).otherwise(F.coalesce(F.get(F.filter("ranked", lambda x: x["room"] >= F.col("rows")), F.lit(0)), F.col("first"))))
-    wished = wished.select("grp", "cell", "rows", (-F.col("to.minus")).alias("to"))
-    per_cell = linked.groupBy("grp", "cell", "shard").agg(F.count("*").alias("n"))
-    stays = per_cell.join(wished, ["grp", "cell"]).groupBy("grp", "cell", "to", "rows").agg(F.sum(F.when(F.col("shard") == F.col("to"), F.col("n")).otherwise(0)).alias("there"))
-    wishes = written(stays.filter("rows > there").select("grp", "cell", "to", (F.col("rows") - F.col("there")).alias("coming"), F.least(F.floor(F.log2("rows")), F.lit(40)).alias("size_class"), F.pmod(F.xxhash64("grp", "cell"), F.lit(512)).alias("part")), "wishes")
+    wished = wished.select("grp", "cell", "rows", (-F.col("to.minus")).alias("to"), F.col("to.votes").alias("to_votes"))
+    own = linked.join(here, ["grp", "shard"])
+    upward = (F.col("votes") < F.col("to_votes")) | ((F.col("votes") == F.col("to_votes")) & (F.col("shard") > F.col("to")))
+    per_cell = own.groupBy("grp", "cell", "shard", "votes").agg(F.count("*").alias("n"))
+    gains = per_cell.join(wished, ["grp", "cell"]).filter(upward).groupBy("grp", "cell", "to", "to_votes", "rows").agg(F.sum("n").alias("coming"))
+    wishes = written(gains.select("grp", "cell", "to", "to_votes", "coming", F.least(F.floor(F.log2("rows")), F.lit(40)).alias("size_class"), F.pmod(F.xxhash64("grp", "cell"), F.lit(512)).alias("part")), "wishes")
     classes = wishes.groupBy("to", "size_class", "part").agg(F.sum("coming").alias("coming"))
     upto = Window.partitionBy("to").orderBy(F.col("size_class").desc(), "part")
     admitted = classes.withColumn("upto", F.sum("coming").over(upto)).join(F.broadcast(room), F.col("to") == F.col("shard")).filter(F.col("upto") <= F.col("room")).select("to", "size_class", "part")
-    moves = wishes.join(F.broadcast(admitted), ["to", "size_class", "part"]).select("grp", "cell", "to")
-    moved = linked.join(moves, ["grp", "cell"], "left")
-    return written(moved.select("pos", "grp", "cell", F.coalesce("to", "shard").cast("int").alias("shard")), "labels")
+    moves = wishes.join(F.broadcast(admitted), ["to", "size_class", "part"]).select("grp", "cell", "to", "to_votes")
+    moved = own.join(moves, ["grp", "cell"], "left").withColumn("shard", F.when(F.coalesce(upward, F.lit(False)), F.col("to")).otherwise(F.col("shard")).cast("int"))
+    return written(moved.select("pos", "grp", "cell", "shard"), "labels")
 
 
 def balanced_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
