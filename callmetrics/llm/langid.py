@@ -73,17 +73,16 @@ def _hash_grams(chars: np.ndarray, n: int) -> np.ndarray:
 
 
 class Level(NamedTuple):
-    """N-grams of one length: sorted hashes; log2 probabilities and back-off weights by
-    language; where the hashes with each leading 16 bits start."""
+    """Sorted hashes of n-grams of one length, a log2 value of each by language, and where
+    the hashes with each leading 16 bits start."""
 
     keys: np.ndarray
-    prob: np.ndarray
-    back: np.ndarray
+    value: np.ndarray
     start: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, prob: np.ndarray, back: np.ndarray) -> Level:
-        return cls(keys, prob, back, np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32))
+    def of(cls, keys: np.ndarray, value: np.ndarray) -> Level:
+        return cls(keys, value, np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each hash is, if it is there."""
@@ -101,7 +100,9 @@ class Level(NamedTuple):
 class Models(NamedTuple):
     languages: list[str]
     order: int
+    #: Probabilities of n-grams of 1, 2, ... characters; back-off weights of contexts of as many.
     levels: list[Level]
+    contexts: list[Level]
     unknown: float
     #: By language: limit of the cross-entropy, and what a text of n characters may have above it: width / sqrt(n).
     mean: np.ndarray
@@ -115,14 +116,14 @@ class Models(NamedTuple):
         for k in range(self.order, 0, -1):
             grams = _hash_grams(chars[self.order - k :], k)[left]
             at, hit = self.levels[k - 1].find(grams)
-            out[left[hit]] += self.levels[k - 1].prob[at[hit]]
+            out[left[hit]] += self.levels[k - 1].value[at[hit]]
             left = left[~hit]
             if not len(left):
                 return out
             if k > 1:  # the context is the gram without its last character
                 context = _hash_grams(chars[self.order - k : -1], k - 1)[left]
-                at, hit = self.levels[k - 2].find(context)
-                out[left[hit]] += self.levels[k - 2].back[at[hit]]
+                at, hit = self.contexts[k - 2].find(context)
+                out[left[hit]] += self.contexts[k - 2].value[at[hit]]
         out[left] += self.unknown
         return out
 
@@ -181,7 +182,7 @@ def _grams_of(sample: DataFrame, order: int) -> DataFrame:
     return parts.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int) -> tuple[list[Level], float]:
+def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int) -> tuple[list[Level], list[Level], float]:
     """Interpolated Kneser-Ney, written as back-off: seen n-grams hold the interpolated
     probability, contexts the weight of the shorter one. Below full length, counts are
     of distinct characters in front."""
@@ -195,6 +196,7 @@ def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int) -> tuple
             tables[k - 1][lang] = now
             if k > 1:
                 now = now.groupby(list(now.columns[1:-1])).size().reset_index(name="n")
+    floors: dict[str, float] = {}
     lower: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # by language: sorted hashes and probabilities one shorter
     backs: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(order)]
     probs: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(order)]
@@ -226,38 +228,33 @@ def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int) -> tuple
             lower[lang] = (keys[by], p[by])
             probs[k - 1][lang] = (keys[by], np.log2(p[by]))
             if k == 1:
-                floor = float(np.log2(weight[0])) + unknown
-                backs[0].setdefault("floor " + lang, (np.zeros(1, np.uint64), np.array([floor])))
-    floors = {lang: backs[0].pop("floor " + lang)[1][0] for lang in languages}
+                floors[lang] = float(np.log2(weight[0])) + unknown
     levels: list[Level] = []
-    for k in range(1, order + 1):
-        every = np.unique(np.concatenate([probs[k - 1][x][0] for x in languages] + [backs[k - 1][x][0] for x in languages if x in backs[k - 1]]))
-        levels.append(Level.of(every, np.zeros((len(every), len(languages)), np.float32), np.zeros((len(every), len(languages)), np.float32)))
-        for j, lang in enumerate(languages):
-            keys, value = probs[k - 1][lang]
-            levels[-1].prob[:, j] = np.nan
-            levels[-1].prob[np.searchsorted(every, keys), j] = value
-            if lang in backs[k - 1]:
-                keys, value = backs[k - 1][lang]
-                levels[-1].back[np.searchsorted(every, keys), j] = value
+    contexts: list[Level] = []
+    for k in range(order):
+        for tables_of, out, missing in ((probs[k], levels, np.nan), (backs[k], contexts, 0.0)):
+            if not tables_of:
+                continue
+            every = np.unique(np.concatenate([tables_of[x][0] for x in languages]))
+            value = np.full((len(every), len(languages)), missing, np.float32)
+            for j, lang in enumerate(languages):
+                keys, own = tables_of[lang]
+                value[np.searchsorted(every, keys), j] = own
+            out.append(Level.of(every, value))
     # an n-gram that only other languages saw gets its back-off probability here
-    grams_by_level = [pd.concat([tables[k][x].iloc[:, :-1] for x in languages]).drop_duplicates().to_numpy() for k in range(order)]
     for k in range(order):
-        grams = grams_by_level[k]
+        grams = pd.concat([tables[k][x].iloc[:, :-1] for x in languages]).drop_duplicates().to_numpy()
         at = np.searchsorted(levels[k].keys, hashes(grams))
         for j, lang in enumerate(languages):
-            missing = np.isnan(levels[k].prob[at, j])
+            missing = np.isnan(levels[k].value[at, j])
             if k == 0:
-                levels[0].prob[at[missing], j] = floors[lang]
+                levels[0].value[at[missing], j] = floors[lang]
                 continue
             rows = grams[missing]
-            context = np.searchsorted(levels[k - 1].keys, hashes(rows[:, :-1]))
-            context[context == len(levels[k - 1].keys)] = 0
-            known = levels[k - 1].keys[context] == hashes(rows[:, :-1])
-            shorter = np.searchsorted(levels[k - 1].keys, hashes(rows[:, 1:]))
-            levels[k].prob[at[missing], j] = levels[k - 1].prob[shorter, j] + np.where(known, levels[k - 1].back[context, j], 0)
-    # a context that no level holds as an n-gram has no probability of its own
-    return [Level.of(x.keys[keep], np.ascontiguousarray(x.prob[keep]), np.ascontiguousarray(x.back[keep])) for x in levels for keep in [~np.isnan(x.prob).any(1)]], min(floors.values())
+            context, known = contexts[k - 1].find(hashes(rows[:, :-1]))
+            shorter, _ = levels[k - 1].find(hashes(rows[:, 1:]))
+            levels[k].value[at[missing], j] = levels[k - 1].value[shorter, j] + np.where(known, contexts[k - 1].value[context, j], 0)
+    return levels, contexts, min(floors.values())
 
 
 def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> Models:
@@ -280,9 +277,9 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
     counts = _grams_of(sample.filter(~calibrates), order).toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
-        return Models([], order, [], 0.0, np.zeros(0), np.zeros(0))
-    levels, unknown = _kneser_ney(counts, languages, order)
-    models = Models(languages, order, levels, unknown, np.full(len(languages), np.inf), np.zeros(len(languages)))
+        return Models([], order, [], [], 0.0, np.zeros(0), np.zeros(0))
+    levels, contexts, unknown = _kneser_ney(counts, languages, order)
+    models = Models(languages, order, levels, contexts, unknown, np.full(len(languages), np.inf), np.zeros(len(languages)))
 
     def measure(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in stream:

@@ -119,7 +119,8 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     hash of doc_id; their whole texts are used. Nulls among ids and labels teach
     nothing. Without rows, or with one class only, a category gets its constant.
     Each fit runs in a task over that bounded sample; the out-of-fold fits run side by
-    side. The threshold of a category is the one of best F1 out of fold.
+    side. The threshold of a category is the one of best F1 out of fold, at
+    least a half.
     """
     names = list(categories)
     known = labels.select("doc_id", *(c.cast("int").alias(n) for n, c in categories.items())).dropna().dropDuplicates(["doc_id"])
@@ -158,7 +159,8 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: dict[str, Column], r
 
 
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The probability that splits out-of-fold rows with the best F1: the middle of the gap there."""
+    """The probability that splits out-of-fold rows with the best F1, the middle of the gap
+    there, but at least a half: texts of unknown words stay clean."""
     if not len(z) or not 0 < y.sum() < len(y):
         return 0.5
     order = np.argsort(-z)
@@ -166,7 +168,7 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
     best = int(f1.argmax())
     below = z[order][best + 1] if best + 1 < len(z) else z[order][best]
-    return float(1 / (1 + np.exp(-(z[order][best] + below) / 2)))
+    return max(0.5, float(1 / (1 + np.exp(-np.clip((z[order][best] + below) / 2, -40, 40)))))
 
 
 def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
