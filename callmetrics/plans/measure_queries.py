@@ -158,13 +158,13 @@ def a23(spark, d):
     return facts.flagged(operations(spark, d)).groupBy("session_id").agg(F.countDistinct("turn_id").alias("turns"), F.count_if("failed").alias("failed_ops"))
 
 
-@query("A30_cost_model", FACTS + "select session_id, round(0.0048 * 83 * duration_ms / 60000, 3) as per_call_production, round(0.0065 * 83 * duration_ms / 60000, 3) as per_call_challenger, round((0.0065 * 83 - 0.0048 * 83) * 159600, 3) as per_month_difference from calls")
+@query("A30_cost_model", FACTS + "select session_id, round(0.0048 * 83 * duration_ms / 60000, 3) as per_call_production, round(0.0065 * 83 * duration_ms / 60000, 3) as per_call_challenger, round((0.0065 * 83 - 0.0048 * 83) * 159600, 3)::double as per_month_difference from calls")
 def a30(spark, d):
     columns = cost.cost_columns(F.lit(0.0048), F.lit(0.0065), F.col("duration_ms") / 60000, F.lit(83.0), 42000 * 3.8)
     return calls_of(spark, d).select("session_id", *(F.round(columns[k], 3).alias(k) for k in ("per_call_production", "per_call_challenger", "per_month_difference")))
 
 
-@query("A31_evaluation_cost", OPS + "select session_id, round(sum(amount), 6) as total, count(*) as components, count(*) = count(amount) as complete from (select session_id, turn_id, case when min(op_id) % 7 > 0 then min(op_id) * 0.25 end as amount from ops group by 1, 2) r group by session_id")
+@query("A31_evaluation_cost", OPS + "select session_id, round(sum(amount), 6)::double as total, count(*) as components, count(*) = count(amount) as complete from (select session_id, turn_id, case when min(op_id) % 7 > 0 then min(op_id) * 0.25 end as amount from ops group by 1, 2) r group by session_id")
 def a31(spark, d):
     runs = operations(spark, d).groupBy("session_id", F.col("turn_id").alias("run_id")).agg(F.min("op_id").alias("m")).withColumn("amount", F.when(F.col("m") % 7 > 0, F.col("m") * 0.25))
     return cost.evaluation_cost(runs.union(runs)).withColumn("total", F.round("total", 6))
@@ -314,25 +314,25 @@ def u03(spark, d):
 
 def _pairs(spark, d):
     """Turns of conversations, and the same with each 7th word lost and the 3rd changed."""
-    words = F.slice(F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != ""), 1, 40)
+    words = F.filter(F.split(F.lower(F.col("text")), r"\s+"), lambda w: w != "")
     kept = F.filter(F.transform(F.col("p"), lambda w, i: F.when((i + 1) % 7 != 0, F.when(i == 2, "zzz").otherwise(w))), lambda w: w.isNotNull())
-    rows = table(spark, d, "conversations").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]")).select("conv_id", "turn", "role", words.alias("p"))
+    rows = table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", "role", words.alias("p"))
     return rows.withColumn("c", kept).select("conv_id", "turn", "role", F.array_join("p", " ").alias("production"), F.array_join("c", " ").alias("challenger"))
 
 
-_ASCII = r"from conversations where text is not null and not regexp_matches(text, '[^\x00-\x7F]')"
+_TEXTS = "from conversations where text is not null"
 _NORM = r"trim(regexp_replace(regexp_replace(replace(lower(text), '$', ' dollars '), '[^\p{L}\p{M}\p{N}''\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("X01_normalize", f"select conv_id, turn, role, {_NORM} as norm {_ASCII}")
+@query("X01_normalize", f"select conv_id, turn, role, {_NORM} as norm {_TEXTS}")
 def x01(spark, d):
-    rows = table(spark, d, "conversations").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
+    rows = table(spark, d, "conversations").filter("text is not null")
     return rows.select("conv_id", "turn", "role", text.normalized(F.col("text")).alias("norm"))
 
 
-@query("X02_tokenize", f"select conv_id, turn, role, len(list_filter(string_split({_NORM}, ' '), lambda w: w <> ''))::bigint as n {_ASCII}")
+@query("X02_tokenize", f"select conv_id, turn, role, len(list_filter(string_split({_NORM}, ' '), lambda w: w <> ''))::bigint as n {_TEXTS}")
 def x02(spark, d):
-    rows = table(spark, d, "conversations").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
+    rows = table(spark, d, "conversations").filter("text is not null")
     return rows.select("conv_id", "turn", "role", F.size(text.tokens(text.normalized(F.col("text")))).cast("long").alias("n"))
 
 

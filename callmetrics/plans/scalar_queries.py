@@ -152,7 +152,7 @@ def p40(spark, d):
     return calls_of(spark, d).select("session_id", s.thin_metric(F.col("measured"), F.col("turns")).alias("thin"))
 
 
-@query("S05_pricing_overlay", "select coalesce(d.k, o.k) as k, coalesce(o.rate, d.rate) as rate, coalesce(o.note, d.note) as note from (select n_name as k, n_nationkey * 1.5 as rate, 'default' as note from nation) d full join (select n_name as k, case when n_nationkey % 2 = 0 then 9.0 end as rate, 'own' as note from nation where n_nationkey % 3 = 0) o on d.k = o.k")
+@query("S05_pricing_overlay", "select coalesce(d.k, o.k) as k, coalesce(o.rate, d.rate)::double as rate, coalesce(o.note, d.note) as note from (select n_name as k, n_nationkey * 1.5 as rate, 'default' as note from nation) d full join (select n_name as k, case when n_nationkey % 2 = 0 then 9.0 end as rate, 'own' as note from nation where n_nationkey % 3 = 0) o on d.k = o.k")
 def s05(spark, d):
     nation = table(spark, d, "nation")
     default = nation.select(F.col("n_name").alias("k"), (F.col("n_nationkey") * 1.5).alias("rate"), F.lit("default").alias("note"))
@@ -324,7 +324,7 @@ def j14(spark, d):
     return t.join(o, "session_id").filter("turn_id <> o_turn and started_ms < o_ms").agg(F.count("*").alias("n"), F.round(F.avg(F.col("o_response") - F.col("response_ms")), 6).alias("mean_delta"))
 
 
-@query("J15_rate_lookup", OPS + "select op_id, coalesce(e.rate, l.rate) as rate from ops left join (values ('Deepgram', 0.0048), ('llm', 0.01)) e(k, rate) on provider = e.k left join (values ('my vendor', 'llm')) a(alias, k) on lower(provider) = a.alias left join (values ('Deepgram', 0.0048), ('llm', 0.01)) l(k, rate) on l.k = a.k")
+@query("J15_rate_lookup", OPS + "select op_id, coalesce(e.rate, l.rate)::double as rate from ops left join (values ('Deepgram', 0.0048), ('llm', 0.01)) e(k, rate) on provider = e.k left join (values ('my vendor', 'llm')) a(alias, k) on lower(provider) = a.alias left join (values ('Deepgram', 0.0048), ('llm', 0.01)) l(k, rate) on l.k = a.k")
 def j15(spark, d):
     rates = spark.createDataFrame([("Deepgram", 0.0048), ("llm", 0.01)], "k string, rate double")
     alias = spark.createDataFrame([("my vendor", "llm")], "alias string, k string").join(rates, "k").select("alias", F.col("rate").alias("alias_rate"))
