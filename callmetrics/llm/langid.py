@@ -271,7 +271,8 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
     if trains is not None:
         usable = usable.filter(trains)
     chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", docs_per_language)
-    sample = written(usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"), "languages")
+    # bounded by docs_per_language; of rows that repeat an id one teaches
+    sample = written(usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "languages")
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATING)) == 0
     # bounded by the sample
     counts = _grams_of(sample.filter(~calibrates), order).toPandas()

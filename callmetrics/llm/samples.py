@@ -14,6 +14,6 @@ def bounded_sample(light: DataFrame, by: str, per_value: int) -> DataFrame:
     """
     hashed = light.withColumn("__h", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)))
     counts = light.groupBy(by).agg(F.count("*").alias("__n"))
-    thin = hashed.join(F.broadcast(counts), by).filter(F.col("__h") * F.col("__n") <= F.lit(float(per_value * 1.3 + 50) * (1 << 30)))
+    thin = hashed.join(counts, by).filter(F.col("__h") * F.col("__n") <= F.lit(float(per_value * 1.3 + 50) * (1 << 30)))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("__h", "doc_id"))
     return thin.withColumn("__rank", rank).filter(F.col("__rank") <= per_value).select("doc_id", by)

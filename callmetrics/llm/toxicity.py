@@ -128,7 +128,7 @@ def fit_chain(df: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     chosen = bounded_sample(combined.select("doc_id", "__labels"), "__labels", rows_per_label)
     # bounded by rows_per_label for each combination
     chosen = chosen.select("doc_id", *(F.substring("__labels", i + 1, 1).cast("int").alias(f"y{i}") for i in range(len(names))))
-    sample = df.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    sample = df.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
     def features(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
