@@ -14,7 +14,7 @@ started_at_ms bigint, ended_at_ms bigint, duration_ms bigint, status string, err
 request struct<name:string,model:string,endpointing_ms:double,utterance_end_ms:double,interim_results:boolean,vad_events:boolean,sample_rate_hz:int,derived_from:string,body:string>,
 response struct<transcript:string,text:string,char_count:bigint,confidence:double,language:string,final_reason:string,
 words:array<struct<text:string,type:string,start_ms:double,end_ms:double,start:double,end:double>>,prompt_tokens:bigint,completion_tokens:bigint,input_tokens:bigint,output_tokens:bigint,
-total_tokens:bigint,ttft_ms:double,audio_ms:double,continues_turn:string,reply_attribution:string,reply_skipped:string,body:string>,
+total_tokens:bigint,ttft_ms:double,audio_ms:double,continues_turn:string,reply_attribution:string,reply_skipped:string,body:string,close_code:int,sent_bytes:bigint,status:int>,
 milestones map<string,struct<occurred_at_ms:double,last_at_ms:double,count:int,transcription_delay_ms:double>>,
 samples map<string,struct<items:array<struct<occurred_at_ms:double,transcript:string>>,truncated:boolean>>"""
 AUDIO_CHUNK = "kind string, session_id string, track string, occurred_at_ms double, playout_at_ms double, byte_length bigint, duration_ms double, operation_id string, turn_id string"

@@ -157,3 +157,42 @@ def test_provider_names_collapse(spark):
     raw = ["deepgram-stt", "Deepgram", "eastus.api.cognitive.microsoft.com", "llm", "host.example.org", "Acme Voice", "", None]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
     assert [r.p for r in df.select("i", canonical_provider(F.col("raw")).alias("p")).orderBy("i").collect()] == ["deepgram", "deepgram", "azure-openai", None, None, "acme-voice", None, None]
+
+
+def test_repairs_name_what_they_change(spark):
+    ms = {"final_transcript": {"occurred_at_ms": 700}}
+    spoken = {"type": "stt", "scope": "turn", "status": "error", "error": {"name": "X", "message": "llm_error: timeout"}, "started_at_ms": 100, "ended_at_ms": 9000, "duration_ms": 8900, "milestones": ms}
+    socket = {"type": "stt", "scope": "connection", "status": "cancelled", "started_at_ms": 0, "ended_at_ms": 5}
+    fine = {"type": "llm", "scope": "turn", "status": "error", "error": {"name": "X", "message": "llm_error"}, "ended_at_ms": 3}
+    got = [one(spark, x).select(spans.repaired(F.lit("completed")).alias("r")).first().r for x in (spoken, socket, fine)]
+    assert [(r.status, r.ended_at_ms, r.change) for r in got] == [("ok", 700, "error_of_the_model"), ("ok", 5, "closed_by_teardown"), ("error", 3, None)]
+    assert got[0].duration_ms == 600
+
+
+def test_sockets_are_no_turns(spark):
+    rows = [{"type": "stt", "response": {"transcript": "a"}}, {"type": "stt", "scope": "connection"}, {"type": "stt", "response": {"close_code": 1000}}, {"type": "stt", "response": {"status": 101}}, {"type": "llm"}]
+    assert [one(spark, x).filter(spans.is_stt_turn()).count() for x in rows] == [1, 0, 0, 0, 0]
+
+
+def test_phases_and_audio_windows(spark):
+    ms = {"final_transcript": {"occurred_at_ms": 1900}, "speech_started": {"occurred_at_ms": 1000, "count": 2}}
+    r = one(spark, {"type": "stt", "started_at_ms": 1000, "milestones": ms}).select(spans.milestone_phases("stt").alias("p"), spans.audio_window().alias("w")).first()
+    assert [(x.name, x.offset_ms, x["count"]) for x in r.p] == [("speech_started", 0, 2), ("final_transcript", 900, 1)] and (r.w.start_ms, r.w.end_ms) == (1000, 1900)
+    voice = one(spark, {"type": "tts", "started_at_ms": 0, "milestones": {"audio_chunk": {"occurred_at_ms": 50}}, "response": {"audio_ms": 200.0}}).select(spans.audio_window().alias("w")).first().w
+    assert (voice.start_ms, voice.end_ms) == (50, 250)
+
+
+def test_manifests_runs_and_recordings(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"session_id": "s", "capture_status": {"events_complete": False, "dropped_event_count": 2}, "audio": {"user": {"file": "u.wav"}, "agent": {"file": "a.wav"}}}))
+    manifests = packages.read_manifests(spark, str(tmp_path / "m.json"))
+    row = manifests.select("outcome", "metadata", spans.capture_warnings().alias("w")).first()
+    assert (row.outcome, row.metadata, row.w) == ("unknown", {}, ["events_incomplete", "events_dropped"])
+    files = spark.createDataFrame([("s", "u.wav", 10)], "session_id string, file string, length long")
+    assert {(r.file, r.present) for r in packages.recordings_inventory(manifests, files).collect()} == {("u.wav", True), ("a.wav", False)}
+    for n, (kind, words, at) in enumerate([("streaming", [], "2026-01-03"), ("batch", [{"text": "a", "start": 1.5, "end": 2.0}], "2026-01-02"), ("batch", None, "2026-01-04")]):
+        (tmp_path / f"r{n}.json").write_text(json.dumps({"session_id": "s", "model": f"m{n}", "status": "complete", "kind": kind, "created_at": at, "response": {"words": words}}))
+    (tmp_path / "r9.json").write_text(json.dumps({"session_id": "s", "status": "complete"}))
+    runs = packages.read_challenger_runs(spark, str(tmp_path / "r*.json"))
+    assert {r.model: r.recency for r in runs.collect()} == {"m2": 1, "m0": 2, "m1": 3}
+    best = challenger.selected_run(runs).first()
+    assert best.model == "m1" and best.words[0].start_ms == 1500
