@@ -96,7 +96,7 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replaces only the partitions that ``df`` has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def day_of(at_ms: Column) -> Column:
