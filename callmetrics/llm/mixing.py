@@ -63,22 +63,23 @@ def systematic_copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap:
         .withColumn("__class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4)))
         .withColumn("__md5", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
         .withColumn("__range", F.concat("__class", F.substring("__md5", 1, 2)))
+        # one key that is never null, so that the window and the join share a partitioning
+        .withColumn("__slot", F.concat_ws("/", "__range", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
     )
     targets = source_targets(sized.select("source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), weights, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 5), 16, 10).cast("long")
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(F.lit(0)).cast("long")
     targets = targets.select(F.col("source").alias("__source"), "source_size", "target", expected.alias("__expected"), offset.alias("__offset"))
-    ranges = rows.groupBy("source", "__range").agg(F.count("*").alias("__n"))
+    ranges = rows.groupBy("source", "__range", "__slot").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("source", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    starts = ranges.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    starts = starts.select(F.col("source").alias("__source"), F.col("__range").alias("__start"), "__before", "source_size", "target", "__expected", "__offset")
-    inside = Window.partitionBy("source", "__range").orderBy("__md5", "size")
+    ranges = ranges.select("source", "__slot", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    starts = ranges.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
+    inside = Window.partitionBy("__slot").orderBy("__md5", "size")
     crossed = "(__offset + (__before + __rank) * __expected) div {0} - (__offset + (__before + __rank - 1) * __expected) div {0}"
     return (
         rows.withColumn("__rank", F.row_number().over(inside))
-        .join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__start")))
+        .join(starts, "__slot")
         .withColumn("copies", F.expr(crossed.format(UNIT)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("__class", "__md5", "__range", "__rank", "__source", "__start", "__before", "__expected", "__offset")
+        .drop("__class", "__md5", "__range", "__slot", "__rank", "__before", "__expected", "__offset")
     )
