@@ -251,13 +251,13 @@ def keep_one(df: DataFrame, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> Dat
     """``df`` (with doc_id and text) without near-duplicates: the row of each component
     with the smallest doc_id stays, nulls last, ties by a hash of the text; of repeated
     rows one."""
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = df.withColumn("__text", text_hash)
-    docs = written(fingerprints(marked.withColumn("__key", F.struct("doc_id", "__text")), "__key", "text", n), "fingerprints")
-    order = F.struct(F.col("doc_id.doc_id").isNull().alias("last"), F.col("doc_id.doc_id").alias("id"), F.col("doc_id.__text").alias("text"))
-    values = written(docs.groupBy("fp").agg(F.min(order).alias("least")), "values")
+    # the id and a hash of the text as one key that is never null: join and dedup share a partitioning
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")
+    marked = df.withColumn("__key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text_hash))
+    identity = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")
+    docs = written(fingerprints(marked.withColumn("__identity", identity), "__identity", "text", n), "fingerprints")
+    values = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
     found = components(links(values.select("fp"), radius))
     roots = values.join(found, values["fp"] == found["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.text").alias("__hash"))
-    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__text"]).select(*df.columns)
+    kept = roots.groupBy("root").agg(F.min("least")["__key"].alias("__key"))
+    return marked.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*df.columns)
