@@ -61,7 +61,7 @@ def a34(spark, d):
     return evaluation.capabilities(rows, ["session_id"], ["words_recorded", "audio_recorded"])
 
 
-@query("A39_stt_quality", OPS + "select session_id, count(*) as rows, count(tool) as transcripts, quantile_disc(duration_ms // 3, 0.5) as first_partial_p50, quantile_disc(duration_ms // 2, 0.5) as finalization_p50, case when count(distinct op_id % 2) = 1 then max(op_id % 2) end as endpointing_ms, count(distinct op_id % 2) > 1 as endpointing_varies from (select *, case when op_id % 4 > 0 then 'x' end as tool from ops where stage = 'stt') o group by session_id")
+@query("A39_stt_quality", OPS + "select session_id, count(*) as rows, count(tool) as transcripts, quantile_disc(duration_ms // 3, 0.5)::double as first_partial_p50, quantile_disc(duration_ms // 2, 0.5)::double as finalization_p50, case when count(distinct op_id % 2) = 1 then max(op_id % 2) end as endpointing_ms, count(distinct op_id % 2) > 1 as endpointing_varies from (select *, case when op_id % 4 > 0 then 'x' end as tool from ops where stage = 'stt') o group by session_id")
 def a39(spark, d):
     rows = operations(spark, d).filter("stage = 'stt'").selectExpr("session_id", "case when op_id % 4 > 0 then 'x' end as transcript", "duration_ms div 3 as first_partial_ms", "duration_ms div 2 as finalization_ms", "op_id % 2 as endpointing_ms")
     return evaluation.stt_quality(rows, ["session_id"])

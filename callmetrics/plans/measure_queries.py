@@ -12,18 +12,18 @@ from callmetrics.plans.registry import FACTS, FAILED_SQL, OPS, query
 from callmetrics.plans.scalar_queries import SELECTORS, calls_of, turns_of
 from callmetrics.sources.binding import DAY_MS, operations, table
 
-_DIST = "count(v) as n, quantile_disc(v, 0.5) as p50, quantile_disc(v, 0.9) as p90, quantile_disc(v, 0.95) as p95, quantile_disc(v, 0.99) as p99, min(v) as least, max(v) as greatest, round(avg(v), 6) as mean, count(v) >= 5 as p50_confident, count(v) >= 20 as p95_confident, count(v) >= 100 as p95_stable"
+_DIST = "count(v) as n, quantile_disc(v, 0.5)::double as p50, quantile_disc(v, 0.9)::double as p90, quantile_disc(v, 0.95)::double as p95, quantile_disc(v, 0.99)::double as p99, min(v) as least, max(v) as greatest, round(avg(v), 6) as mean, count(v) >= 5 as p50_confident, count(v) >= 20 as p95_confident, count(v) >= 100 as p95_stable"
 _FAILED = "stt_failed + llm_failed + tts_failed + tool_failed"
 
 
-@query("fleet_hourly", FACTS + f"select agent_id, started_ms // 3600000 * 3600000 as hour_ms, count(*) as turns, count(distinct session_id) as calls, sum({_FAILED})::bigint as failed_ops, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag_turns, quantile_disc(response_ms, 0.5) as p50, quantile_disc(response_ms, 0.95) as p95 from turns group by 1, 2")
+@query("fleet_hourly", FACTS + f"select agent_id, started_ms // 3600000 * 3600000 as hour_ms, count(*) as turns, count(distinct session_id) as calls, sum({_FAILED})::bigint as failed_ops, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag_turns, quantile_disc(response_ms, 0.5)::double as p50, quantile_disc(response_ms, 0.95)::double as p95 from turns group by 1, 2")
 def fleet_hourly(spark, d):
     """The flagship: per agent and hour, turns, calls, failures and latency."""
     hours = turns_of(spark, d).groupBy("agent_id", F.expr("started_ms div 3600000 * 3600000").alias("hour_ms"))
     return hours.agg(F.count("*").alias("turns"), F.countDistinct("session_id").alias("calls"), F.sum(F.expr(measures.FAILED)).alias("failed_ops"), F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= 3000).alias("lag_turns"), measures.nearest_rank("response_ms", 0.5).alias("p50"), measures.nearest_rank("response_ms", 0.95).alias("p95"))
 
 
-@query("A01_percentile", OPS + "select stage, quantile_disc(duration_ms, 0.5) as p50, quantile_disc(duration_ms, 0.95) as p95 from ops group by stage")
+@query("A01_percentile", OPS + "select stage, quantile_disc(duration_ms, 0.5)::double as p50, quantile_disc(duration_ms, 0.95)::double as p95 from ops group by stage")
 def a01(spark, d):
     return operations(spark, d).groupBy("stage").agg(measures.nearest_rank("duration_ms", 0.5).alias("p50"), measures.nearest_rank("duration_ms", 0.95).alias("p95"))
 
@@ -71,7 +71,7 @@ def a09(spark, d):
     return calls_of(spark, d)
 
 
-@query("A10_tool_summary", OPS + f"select tool_name, count(*) as invocations, count(distinct session_id) as calls, count(*) filter (f) as failed, count(distinct case when f then session_id end) as failed_calls, count(*) filter (f and contains(lower(error_name), 'timeout')) as timeouts, quantile_disc(duration_ms, 0.5) as p50, quantile_disc(duration_ms, 0.95) as p95, count(*) >= 5 as rankable from (select *, {FAILED_SQL} as f from ops where stage = 'tool') t group by tool_name")
+@query("A10_tool_summary", OPS + f"select tool_name, count(*) as invocations, count(distinct session_id) as calls, count(*) filter (f) as failed, count(distinct case when f then session_id end) as failed_calls, count(*) filter (f and contains(lower(error_name), 'timeout')) as timeouts, quantile_disc(duration_ms, 0.5)::double as p50, quantile_disc(duration_ms, 0.95)::double as p95, count(*) >= 5 as rankable from (select *, {FAILED_SQL} as f from ops where stage = 'tool') t group by tool_name")
 def a10(spark, d):
     return measures.tool_summary(facts.tool_facts(operations(spark, d)))
 
@@ -203,7 +203,7 @@ def a37(spark, d):
     return challenger.downsampled(fine, 10, ["event_type"])
 
 
-@query("A38_call_kpis", OPS + f"select session_id, quantile_disc(duration_ms, 0.5) as p50, quantile_disc(duration_ms, 0.95) as p95, max(duration_ms) as slowest, count(*) filter ({FAILED_SQL}) as failed, count(distinct tool_name) as tools, count(distinct provider) as providers from ops group by session_id")
+@query("A38_call_kpis", OPS + f"select session_id, quantile_disc(duration_ms, 0.5)::double as p50, quantile_disc(duration_ms, 0.95)::double as p95, max(duration_ms) as slowest, count(*) filter ({FAILED_SQL}) as failed, count(distinct tool_name) as tools, count(distinct provider) as providers from ops group by session_id")
 def a38(spark, d):
     return facts.flagged(operations(spark, d)).groupBy("session_id").agg(measures.nearest_rank("duration_ms", 0.5).alias("p50"), measures.nearest_rank("duration_ms", 0.95).alias("p95"), F.max("duration_ms").alias("slowest"), F.count_if("failed").alias("failed"), F.countDistinct("tool_name").alias("tools"), F.countDistinct("provider").alias("providers"))
 
@@ -276,7 +276,7 @@ def t02(spark, d):
     return calls_of(spark, d).filter(SELECTORS["slowest"]).orderBy(F.col("max_response_ms").desc(), "session_id").offset(40).limit(20).select("session_id", "max_response_ms")
 
 
-@query("T03_tool_ranking", OPS + "select tool_name, row_number() over (order by n >= 5 desc, p95 desc, tool_name)::integer as place from (select tool_name, count(*) as n, quantile_disc(duration_ms, 0.95) as p95 from ops where stage = 'tool' group by 1) t")
+@query("T03_tool_ranking", OPS + "select tool_name, row_number() over (order by n >= 5 desc, p95 desc, tool_name)::integer as place from (select tool_name, count(*) as n, quantile_disc(duration_ms, 0.95)::double as p95 from ops where stage = 'tool' group by 1) t")
 def t03(spark, d):
     tools = measures.tool_summary(facts.tool_facts(operations(spark, d)))
     return tools.select("tool_name", F.row_number().over(Window.orderBy(F.col("rankable").desc(), F.col("p95").desc(), "tool_name")).alias("place"))
@@ -366,7 +366,7 @@ def x07(spark, d):
     return table(spark, d, "orders").join(parts, F.col("p_partkey") == F.col("o_orderkey") % 500 + 1).select("o_orderkey", F.round(text.character_error_rate(F.col("o_orderpriority"), F.col("p_name")), 6).alias("cer"))
 
 
-_ALERT = """, scoped as (select *, unnest(['fleet', agent_id]) as scope from turns), each as (select scope, count(distinct session_id) as calls, count(*) as turns, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag, count(distinct case when {f} > 0 then session_id end) as failing, quantile_disc(response_ms, 0.95) as p95 from scoped group by scope),
+_ALERT = """, scoped as (select *, unnest(['fleet', agent_id]) as scope from turns), each as (select scope, count(distinct session_id) as calls, count(*) as turns, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag, count(distinct case when {f} > 0 then session_id end) as failing, quantile_disc(response_ms, 0.95)::double as p95 from scoped group by scope),
     long as (select scope, calls, 'audible-lag' as rule, case when measured >= 10 then round(lag / measured, 6) end as observed, 0.25 as threshold, 'critical' as sev from each union all select scope, calls, 'failed-calls', round(failing / calls, 6), 0.05, 'critical' from each
     union all select scope, calls, 'worst-case-wait', case when measured >= 20 then p95 end, 8000, 'warning' from each union all select scope, calls, 'blind-turns', case when turns >= 20 then round((turns - measured) / turns, 6) end, 0.40, 'warning' from each),
     stated as (select *, case when observed is null or calls < 3 then 'unknown' when observed > threshold then 'firing' else 'ok' end as state from long) """.format(f=_FAILED)
@@ -377,7 +377,7 @@ def q03(spark, d):
     return reports.alerts(turns_of(spark, d))
 
 
-@query("Q04_monitors", FACTS + "select r.rule_id, coalesce(r.agent_id, '__all__') as scope, r.stat, round(case stat when 'p50' then p50 when 'p95' then p95 else mean end, 6)::double as observed, case when not coalesce(case when stat = 'p95' then n >= 20 else n >= 5 end, false) then 'no_data' when (above and (case stat when 'p50' then p50 when 'p95' then p95 else mean end) > threshold) or (not above and (case stat when 'p50' then p50 when 'p95' then p95 else mean end) < threshold) then 'alerting' else 'ok' end as state from (values (1, 'p95', true, 8000.0, null), (2, 'p50', true, 500.0, 'agent-2'), (3, 'mean', false, 100.0, 'agent-4'), (4, 'p50', true, 1.0, 'agent-99')) r(rule_id, stat, above, threshold, agent_id) left join (select scope, count(response_ms) as n, quantile_disc(response_ms, 0.5) as p50, quantile_disc(response_ms, 0.95) as p95, round(avg(response_ms), 6) as mean from (select *, unnest(['__all__', agent_id]) as scope from turns) s group by scope) t on t.scope = coalesce(r.agent_id, '__all__')")
+@query("Q04_monitors", FACTS + "select r.rule_id, coalesce(r.agent_id, '__all__') as scope, r.stat, round(case stat when 'p50' then p50 when 'p95' then p95 else mean end, 6)::double as observed, case when not coalesce(case when stat = 'p95' then n >= 20 else n >= 5 end, false) then 'no_data' when (above and (case stat when 'p50' then p50 when 'p95' then p95 else mean end) > threshold) or (not above and (case stat when 'p50' then p50 when 'p95' then p95 else mean end) < threshold) then 'alerting' else 'ok' end as state from (values (1, 'p95', true, 8000.0, null), (2, 'p50', true, 500.0, 'agent-2'), (3, 'mean', false, 100.0, 'agent-4'), (4, 'p50', true, 1.0, 'agent-99')) r(rule_id, stat, above, threshold, agent_id) left join (select scope, count(response_ms) as n, quantile_disc(response_ms, 0.5)::double as p50, quantile_disc(response_ms, 0.95)::double as p95, round(avg(response_ms), 6) as mean from (select *, unnest(['__all__', agent_id]) as scope from turns) s group by scope) t on t.scope = coalesce(r.agent_id, '__all__')")
 def q04(spark, d):
     rules = spark.createDataFrame([(1, "p95", True, 8000.0, None), (2, "p50", True, 500.0, "agent-2"), (3, "mean", False, 100.0, "agent-4"), (4, "p50", True, 1.0, "agent-99")], "rule_id int, stat string, above boolean, threshold double, agent_id string")
     return reports.monitors(turns_of(spark, d), rules)
@@ -398,7 +398,7 @@ def q07(spark, d):
     return each.select("agent_id", F.inline(rows)).withColumn("verdict", verdict(F.col("production"), F.col("challenger")))
 
 
-@query("G03_aggregate_check", FACTS + "select agent_id, quantile_disc(response_ms, 0.5) as stated, true as holds from turns where response_ms is not null group by agent_id")
+@query("G03_aggregate_check", FACTS + "select agent_id, quantile_disc(response_ms, 0.5)::double as stated, true as holds from turns where response_ms is not null group by agent_id")
 def g03(spark, d):
     """A stated percentile against a second way of finding it: ranks by a window."""
     turns = turns_of(spark, d).filter("response_ms is not null")
