@@ -172,6 +172,27 @@ def test_shards_are_even_and_groups_stay_together(spark, docs, odd):
     assert sharding.balanced_shards(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("paired", [1.0, 0.6])
+def test_copies_meet_where_shards_are_full_of_them(spark, paired):
+    n = 1600
+    text = F.when(F.col("id") % 800 < 800 * paired, F.concat(F.lit("copy "), F.xxhash64(F.col("id") % 800))).otherwise(F.concat(F.lit("sole "), "id"))
+    df = spark.range(n).select(F.xxhash64("id").alias("doc_id"), text.alias("text"))
+    for rounds in (sharding.ROUNDS, 0):  # without rounds, all groups are put in a row
+        rows = sharding.balanced_shards(df, rounds=rounds).join(df, "doc_id").collect()
+        counts = Counter(r.shard for r in rows)
+        spans = {}
+        for r in rows:
+            spans.setdefault(r.text, set()).add(r.shard)
+        assert len(rows) == n and set(counts.values()) == {n // 16}
+        assert sum(len(s) > 1 for s in spans.values()) <= 15
+
+
+def test_moves_that_quotas_admit():
+    assert sharding._admitted({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert sharding._admitted({(0, 1): 5, (1, 0): 3}, [0, 1]) == {(0, 1): 4, (1, 0): 3}
+    assert sharding._admitted({(0, 1): 2, (1, 2): 2, (2, 0): 1}, [0, 0, 0]) == {(0, 1): 1, (1, 2): 1, (2, 0): 1}
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, labels = [], set()
