@@ -9,7 +9,7 @@ texts of that language and length had when the thresholds were calibrated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +27,8 @@ ORDER = 4
 DOCS_PER_LANGUAGE = 1500
 #: One in so many of these calibrates rejection instead.
 CALIBRATING = 5
+#: A language with fewer calibrating documents is cross-fitted: all teach and all calibrate.
+LEAST_CALIBRATING = 20
 #: Bits a character above the mean that any length may have.
 SLACK = 1.5
 SPACE = 32
@@ -164,6 +166,15 @@ class Models(NamedTuple):
         return best, share, (count > 0) & (bits[np.arange(len(best)), best] <= limit)
 
 
+def _counted(texts: Iterable[str], order: int) -> pd.DataFrame | None:
+    """Counts of the n-grams of full length, as code points; None without letters."""
+    names = [f"c{i}" for i in range(order)]
+    grams = [np.lib.stride_tricks.sliding_window_view(c, order) for c in (characters(t, order) for t in texts) if len(c)]
+    if not grams:
+        return None
+    return pd.DataFrame(np.concatenate(grams), columns=names).groupby(names, sort=False).size().reset_index(name="n")
+
+
 def _grams_of(sample: DataFrame, order: int) -> DataFrame:
     """Counts of the n-grams of full length by language, as code points."""
     names = [f"c{i}" for i in range(order)]
@@ -171,24 +182,23 @@ def _grams_of(sample: DataFrame, order: int) -> DataFrame:
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for lang, texts in pd.Series(batch.column(1).to_pylist()).groupby(pd.Series(batch.column(0).to_pylist())):
-                grams = [np.lib.stride_tricks.sliding_window_view(c, order) for c in (characters(t, order) for t in texts) if len(c)]
-                if not grams:
+                frame = _counted(texts, order)
+                if frame is None:
                     continue
-                frame = pd.DataFrame(np.concatenate(grams), columns=names)
-                frame = frame.groupby(names, sort=False).size().reset_index(name="n")
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(frame)), *(pa.array(frame[c].to_numpy(np.int32)) for c in names), pa.array(frame["n"].to_numpy(np.int64))], ["lang", *names, "n"])
 
     parts = sample.select("lang", "text").mapInArrow(count, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
     return parts.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int) -> tuple[list[Level], list[Level], float]:
+def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int, letters: int | None = None) -> tuple[list[Level], list[Level], float]:
     """Interpolated Kneser-Ney, written as back-off: seen n-grams hold the interpolated
     probability, contexts the weight of the shorter one. Below full length, counts are
-    of distinct characters in front."""
+    of distinct characters in front. ``letters``: size of the alphabet, if not that of
+    ``counts``."""
     names = [f"c{i}" for i in range(order)]
     alphabet = pd.unique(counts[names].to_numpy().ravel())
-    unknown = -float(np.log2(len(alphabet) + 1))
+    unknown = -float(np.log2((letters or len(alphabet)) + 1))
     tables: list[dict[str, pd.DataFrame]] = [{} for _ in range(order)]
     for lang in languages:
         now = counts.loc[counts["lang"] == lang, [*names, "n"]]
@@ -257,6 +267,24 @@ def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int) -> tuple
     return levels, contexts, min(floors.values())
 
 
+def _cross_fitted(rows: pd.DataFrame, order: int, letters: int) -> pd.DataFrame:
+    """(lang, n, bits) of the documents of one language, each scored by a model of the other folds'."""
+    rows = rows.sort_values("turn").reset_index(drop=True)
+    lang, fold = rows["lang"].iloc[0], np.arange(len(rows)) % CALIBRATING
+    parts = [_counted(rows["text"][fold == f], order) for f in range(CALIBRATING)]
+    n, own = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for f in range(CALIBRATING):
+        others = [p for g, p in enumerate(parts) if g != f and p is not None]
+        if parts[f] is None or not others:
+            continue
+        counts = pd.concat(others).groupby([f"c{i}" for i in range(order)]).sum().reset_index()
+        levels, contexts, unknown = _kneser_ney(counts.assign(lang=lang), [lang], order, letters)
+        count, bits = Models([lang], order, levels, contexts, unknown, np.zeros(1), np.zeros(1)).score(rows["text"][fold == f].tolist())
+        n.append(count[count > 0])
+        own.append(bits[count > 0, 0])
+    return pd.DataFrame({"lang": pd.Series([lang] * sum(map(len, n)), dtype=object), "n": np.concatenate(n), "bits": np.concatenate(own)})
+
+
 def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> Models:
     """Models from ``df`` (doc_id, text, lang): whole texts of at most
     ``docs_per_language`` documents of each language, chosen by a hash of doc_id.
@@ -265,7 +293,11 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
     document in CALIBRATING sets the limits of rejection: SLACK bits above the mean
     cross-entropy seen there, and as much as half again the largest excess, each scaled
     by the root of its length, allows a text of that length. The limits are wide: known
-    languages stay, other scripts and letter noise go.
+    languages stay, other scripts and letter noise go. A language with fewer than
+    LEAST_CALIBRATING such documents is learnt from all of its own and calibrated by
+    cross-fitting; if they are few even then, the allowance for length is the median of
+    the other languages, and one that cannot be cross-fitted (a single document) has the
+    median of their limits, at most the bits of an even draw from the alphabet.
     """
     usable = df.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null and lang <> 'und'")
     if trains is not None:
@@ -274,8 +306,11 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
     # bounded by docs_per_language; of rows that repeat an id one teaches
     sample = written(usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "languages")
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATING)) == 0
+    held = sample.groupBy("lang").agg(F.count_if(calibrates & F.col("text").rlike(r"\p{L}")).alias("n"))
+    rare = [r["lang"] for r in held.filter(F.col("n") < LEAST_CALIBRATING).collect()]  # bounded by the languages
+    is_rare = F.col("lang").isin(rare)
     # bounded by the sample
-    counts = _grams_of(sample.filter(~calibrates), order).toPandas()
+    counts = _grams_of(sample.filter(is_rare | ~calibrates), order).toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
         return Models([], order, [], [], 0.0, np.zeros(0), np.zeros(0))
@@ -287,14 +322,30 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
             count, bits = models.score(part["text"].tolist())
             yield pd.DataFrame({"lang": part["lang"], "n": count, "bits": list(bits)})
 
-    seen = sample.filter(calibrates).select("text", "lang").mapInPandas(measure, "lang string, n long, bits array<double>").filter("n > 0").toPandas()
+    seen = sample.filter(calibrates & ~is_rare).select("text", "lang").mapInPandas(measure, "lang string, n long, bits array<double>").filter("n > 0").toPandas()
+    place = {lang: j for j, lang in enumerate(languages)}
+    seen["bits"] = [b[place[lang]] for lang, b in zip(seen["lang"], seen["bits"], strict=True)]
+    letters = len(pd.unique(counts[[f"c{i}" for i in range(order)]].to_numpy().ravel()))
+    if rare:
+        crossed = sample.filter(is_rare).select("lang", "text", F.xxhash64("doc_id", F.lit(6)).alias("turn")).groupBy("lang")
+        # bounded: such a language has about CALIBRATING * LEAST_CALIBRATING documents in the sample
+        seen = pd.concat([seen, crossed.applyInPandas(lambda rows: _cross_fitted(rows, order, letters), "lang string, n long, bits double").toPandas()])
+    models.mean[:] = np.log2(letters + 1)
+    few, alone = [], []
     for j, lang in enumerate(languages):
         own = seen[seen["lang"] == lang]
-        if len(own) >= 20:
-            bits = np.array([b[j] for b in own["bits"]])
-            models.mean[j] = bits.mean()
-            models.mean[j] += SLACK
-            models.width[j] = 1.5 * max(1.0, float(((bits - bits.mean()) * np.sqrt(own["n"])).max())) + 5
+        if len(own):
+            bits = own["bits"].to_numpy(np.float64)
+            models.mean[j] = bits.mean() + SLACK
+            models.width[j] = 1.5 * max(1.0, float(((bits - bits.mean()) * np.sqrt(own["n"].to_numpy(np.float64))).max())) + 5
+        else:
+            alone.append(j)
+        if len(own) < LEAST_CALIBRATING:
+            few.append(j)
+    if len(alone) < len(languages):
+        models.mean[alone] = np.minimum(models.mean[alone], np.median(np.delete(models.mean, alone)))
+    if len(few) < len(languages):
+        models.width[few] = np.median(np.delete(models.width, few))
     return models
 
 

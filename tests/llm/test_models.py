@@ -121,6 +121,19 @@ def test_languages_of_odd_rows(spark, docs, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learnt_and_have_limits(spark, docs):
+    one = spark.createDataFrame([(900_001, "Tämä on suomenkielinen lause, jota kukaan muu ei kirjoita tässä taulukossa.", "fi")], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").union(one)
+    models = langid.fit(rows)
+    assert set(models.languages) == {r.lang for r in rows.select("lang").distinct().collect()} - {None, "und"}
+    assert np.isfinite(models.mean).all() and np.isfinite(models.width).all()
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(20)]
+    foreign = ["这是一个中文句子没有字母" * 9, "съешь же ещё этих мягких французских булок " * 9, "ένα δύο τρία τέσσερα πέντε " * 9]
+    assert not langid.predict(models, noise + foreign)[2].any()
+    assert langid.identify(rows, models).filter("accepted").count() >= 0.99 * rows.count()
+
+
 def test_probabilities_sum_to_one(spark, docs):
     models = langid.fit(docs)
     letters = sorted({c for t in docs.select("text").limit(100).collect() for c in langid.characters(t.text, 4).tolist()})
