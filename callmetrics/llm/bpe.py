@@ -27,10 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmetrics.llm.words import slices
+
 #: Pieces of more bytes than this are merged with a heap.
 SHORT_BYTES = 128
-#: White-space-separated strings whose encoding a worker keeps, and as many older ones.
-KEPT = 1 << 18
+#: A worker keeps the encodings of strings of at most so many characters, as long as they and
+#: their encodings take about so many bytes, and as many bytes of older ones.
+KEPT_CHARS = 64
+KEPT_BYTES = 24 << 20
+#: About what an entry takes beside its characters, ids and tokens.
+ENTRY_BYTES = 320
 NO_PAIR = 1 << 60
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -70,6 +76,7 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.room = KEPT_BYTES
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -126,9 +133,11 @@ class Vocabulary:
             else:
                 ids = self.piece(text.encode())
                 found = array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids]).encode()
-        if len(self.kept) >= KEPT:
-            self.older, self.kept = self.kept, {}
-        self.kept[text] = found
+        if len(text) <= KEPT_CHARS:
+            if self.room <= 0:
+                self.older, self.kept, self.room = self.kept, {}, KEPT_BYTES
+            self.kept[text] = found
+            self.room -= ENTRY_BYTES + 4 * len(text) + len(found[0]) + len(found[1])
         return found
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
@@ -149,8 +158,8 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at single letters
         text = text.lower()
         words = [w for w in _SPACES.split(text) if w] if _FALSE_SPACES.search(text) else text.split()
-        kept, word = self.kept, self.word
-        return [kept.get(w) or word(w) for w in words]
+        word = self.word
+        return [self.kept.get(w) or word(w) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens as the vocabulary spells them, joined by one space, special ones too."""
@@ -177,8 +186,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in stream:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, 1, 256):
                 made = [vocab.encode(t or "") for t in part.column(1).to_pylist()]
                 count = pa.array([len(ids) // 4 for ids, _ in made], pa.int64())
                 if digests:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from callmetrics.llm.samples import bounded_sample
 from callmetrics.llm.storage import written
-from callmetrics.llm.words import mix64
+from callmetrics.llm.words import mix64, slices
 
 ORDER = 4
 #: Bound on the labelled documents of one language that models are fitted on.
@@ -361,8 +361,7 @@ def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: st
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
+            for part in slices(batch, 1, 512):
                 pred, share, accepted = predict(models, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(share), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
@@ -383,8 +382,7 @@ def accepted_only(df: DataFrame, models: Models, text_col: str = "text") -> Data
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
+            for part in slices(batch, at, 512):
                 yield part.filter(pa.array(predict(models, part.column(at).to_pylist())[2]))
 
     return df.mapInArrow(batches, df.schema)

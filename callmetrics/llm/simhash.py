@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callmetrics.llm.storage import written
-from callmetrics.llm.words import text_bytes
+from callmetrics.llm.words import slices, text_bytes
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -62,8 +62,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
+            for part in slices(batch, 1, 512):
                 data, offsets = text_bytes(part.column(1))
                 whole = data.tobytes()
                 texts = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes worked on at once; a longer text is taken whole, by itself.
 CHUNK_BYTES = 1 << 20
@@ -129,6 +130,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and about ``limit`` bytes of one string column; a longer text is a slice by itself."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(length)
+    low = 0
+    while low < len(batch):
+        before = int(upto[low - 1]) if low else 0
+        high = min(low + rows, max(low + 1, int(np.searchsorted(upto, before + limit, "right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def chunks(column: pa.Array, table: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, one past the last, their words), about ``limit`` bytes at once."""
     data, offsets = text_bytes(column)
