@@ -158,9 +158,9 @@ class Models(NamedTuple):
         return count, bits
 
     def choose(self, count: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index, posterior share, within the calibrated limit)."""
+        """(language index, posterior probability of it given the whole text, within the calibrated limit)."""
         best = bits.argmin(1)
-        weight = np.exp2(-(bits - bits.min(1, keepdims=True)) * np.minimum(count, 200)[:, None])
+        weight = np.exp2(-(bits - bits.min(1, keepdims=True)) * count[:, None])
         share = 1.0 / weight.sum(1)
         limit = self.mean[best] + self.width[best] / np.sqrt(np.maximum(count, 1))
         return best, share, (count > 0) & (bits[np.arange(len(best)), best] <= limit)
@@ -303,8 +303,9 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
     if trains is not None:
         usable = usable.filter(trains)
     chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", docs_per_language)
-    # bounded by docs_per_language; of rows that repeat an id one teaches
-    sample = written(usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "languages")
+    # bounded by docs_per_language; of rows that repeat an id the one with the least language and text teaches
+    own = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    sample = written(own.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least")).select("doc_id", "least.text", "least.lang"), "languages")
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATING)) == 0
     held = sample.groupBy("lang").agg(F.count_if(calibrates & F.col("text").rlike(r"\p{L}")).alias("n"))
     rare = [r["lang"] for r in held.filter(F.col("n") < LEAST_CALIBRATING).collect()]  # bounded by the languages
@@ -353,7 +354,7 @@ def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: st
     """(doc_id, lang_pred, score, accepted) of every whole text.
 
     ``lang_pred`` is the language of lowest cross-entropy per character and ``score`` its
-    share among all (1 beyond doubt); ``accepted`` is false where the cross-entropy lies
+    posterior among all, each as likely before (1 beyond doubt); ``accepted`` is false where the cross-entropy lies
     beyond the calibrated limit. Null, empty and letterless texts are ``und`` with score
     0, not accepted. Repeated rows each give a row; other columns are left out.
     """

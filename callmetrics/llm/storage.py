@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs and tests) a temporary folder is made
-    and set, once for a session.
+    Where that is unset, a temporary folder is made and set for the session, but only
+    if all tasks run in this process; a cluster must name a folder that all can read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master").startswith("local[") and spark.conf.get("spark.master") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='callmetrics-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
