@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from callmetrics.functions import text
 from callmetrics.operators import evaluation, facts, measures
 from callmetrics.plans import reports
-from callmetrics.plans.measure_queries import _ALERT, _pairs
+from callmetrics.plans.measure_queries import _ALERT, _SCORED_SQL, EDITS_SQL, scored_pairs, words_sql
 from callmetrics.plans.registry import FACTS, OPS, query
 from callmetrics.plans.scalar_queries import calls_of, turns_of
 from callmetrics.sources.binding import operations, table
@@ -17,7 +17,9 @@ from callmetrics.sources.packages import replaced
 from callmetrics.sources.shared import shared_path
 
 
-@query("W06_partial_revisions")
+@query("W06_partial_revisions", "with spoken as (select conv_id, role, turn, " + words_sql("lower(text)") + """ as t, conv_id % 10 = 0 as truncated from conversations where text is not null),
+    paired as (select *, lag(t) over (partition by conv_id, role order by turn) as before from spoken), asked as (select struct_pack(conv_id := conv_id, role := role, turn := turn) as k, before as l, t as r from paired where before is not null), """ + EDITS_SQL + """
+    select p.conv_id, p.role, count(*) as hypotheses, case when not bool_or(truncated) then coalesce(sum(errors), 0)::bigint end as revisions from paired p left join recursive_edits e on e.k.conv_id = p.conv_id and e.k.role = p.role and e.k.turn = p.turn group by 1, 2""")
 def w06(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "role", F.col("turn").alias("seq"), "text", (F.col("conv_id") % 10 == 0).alias("truncated"))
     return evaluation.partial_revisions(rows, ["conv_id", "role"])
@@ -86,16 +88,16 @@ def x10(spark, d):
 
 
 def _scored(spark, d):
-    s = text.scored_pair(F.col("production"), F.col("challenger"))
-    return _pairs(spark, d).select(F.col("conv_id").cast("string").alias("session_id"), s.alias("s"), F.size(text.tokens(text.normalized(F.col("challenger")))).alias("words")).select("session_id", "s.*", "words")
+    return scored_pairs(spark, d).withColumn("session_id", F.col("conv_id").cast("string"))
 
 
-@query("X12_call_report")
+@query("X12_call_report", _SCORED_SQL + "select conv_id::varchar as session_id, round(quantile_cont(wer, 0.5), 6)::double as median_wer, count(*) filter (wer >= 0.10) as moderate_or_worse, count(*) filter (wer > 0.25) as high from rated group by 1")
 def x12(spark, d):
     return evaluation.call_report(_scored(spark, d), ["session_id"])
 
 
-@query("X11_evaluation_report")
+@query("X11_evaluation_report", _SCORED_SQL + """select session_id, turns, evaluated, wer, p50, production from (select conv_id::varchar as session_id, count(*) as turns, count(*) filter (status = 'evaluated') as evaluated, case when sum(words) > 0 then round(sum(errors) / sum(words), 6) end::double as wer from rated group by 1) a
+    left join (select conv_id::varchar as session_id, round(quantile_cont(length(text) * 10, 0.5), 6)::double as p50, round(sum(length(text) * 10) / 60000 * 0.0048, 6)::double as production from conversations group by 1) b using (session_id)""")
 def x11(spark, d):
     turns = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), (F.length("text") * 10).alias("response_ms"))
     costs = turns.groupBy("session_id").agg(F.round(F.sum("response_ms") / 60000 * 0.0048, 6).alias("production"))

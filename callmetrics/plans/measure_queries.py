@@ -336,21 +336,71 @@ def x02(spark, d):
     return rows.select("conv_id", "turn", "role", F.size(text.tokens(text.normalized(F.col("text")))).cast("long").alias("n"))
 
 
+#: Numbers spelt out, which become digits.
+_NUMBERS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in text.NUMBER_WORDS.items()) + "}"
+
+
+def words_sql(value: str) -> str:
+    norm = rf"trim(regexp_replace(regexp_replace(replace({value}, '$', ' dollars '), '[^\p{{L}}\p{{M}}\p{{N}}''\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+    return f"list_transform(list_filter(string_split({norm}, ' '), lambda w: w <> ''), lambda w: coalesce(map_extract({_NUMBERS}, w)[1], w))"
+
+
+#: pairs (conv_id, turn, role, production, challenger, l, r), then errors row by row of the edit table.
+PAIRS_SQL = (
+    r"with split as (select conv_id, turn, role, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') as p from conversations where text is not null), "
+    "said as (select conv_id, turn, role, array_to_string(p, ' ') as production, array_to_string(list_filter(list_transform(p, lambda w, i: case when i % 7 <> 0 then case when i = 3 then 'zzz' else w end end), lambda w: w is not null), ' ') as challenger from split), "
+    f"pairs as (select *, {words_sql('production')} as l, {words_sql('challenger')} as r from said), "
+)
+#: The edit table of list columns l and r, a row for each token of l.
+EDITS_SQL = """recursive_edits as (
+  with recursive step as (
+    select k, l, r, 0 as i, range(0, len(r) + 1) as costs from asked
+    union all
+    select k, l, r, i + 1, list_reduce(
+      list_transform(range(1, len(r) + 1), lambda j: [least(costs[j] + (case when r[j] = l[i + 1] then 0 else 1 end), costs[j + 1] + 1)]),
+      lambda done, x: list_append(done, least(x[1], done[len(done)] + 1)), [(i + 1)::bigint]) from step where i < len(l)
+  ) select k, costs[len(costs)] as errors from step where i = len(l)
+)"""
+_SCORED_SQL = PAIRS_SQL + "asked as (select struct_pack(conv_id := conv_id, turn := turn, role := role) as k, l, r from pairs), " + EDITS_SQL + """, scored as (
+  select p.conv_id, p.turn, p.role, case when production = '' and challenger = '' then 'no_speech' when challenger = '' then 'challenger_empty' when production = '' then 'possible_missed_speech' else 'evaluated' end as status,
+    len(r)::bigint as words, e.errors::bigint as raw from pairs p join recursive_edits e on e.k.conv_id = p.conv_id and e.k.turn = p.turn and e.k.role = p.role
+), rated as (select *, case status when 'evaluated' then raw when 'possible_missed_speech' then words else 0 end as errors, case when status = 'possible_missed_speech' then 1.0 when status = 'evaluated' and words > 0 then raw / words end as wer from scored) """
+
+
 @query("X03_align")
 def x03(spark, d):
     rows = _pairs(spark, d).withColumn("diff", text.align(text.tokens(text.normalized(F.col("production"))), text.tokens(text.normalized(F.col("challenger")))))
     return rows.select("conv_id", "turn", "role", F.explode("diff").alias("x")).groupBy("conv_id", "turn", "role").agg(*(F.count_if(F.col("x.operation") == o).alias(o) for o in ("match", "substitution", "insertion", "deletion")))
 
 
-@query("X05_score_pair")
-def x05(spark, d):
+@query("X04_token_edit_distance", PAIRS_SQL + "asked as (select struct_pack(conv_id := conv_id, turn := turn, role := role) as k, r as l, list_reverse(l) as r from pairs), " + EDITS_SQL + " select k.conv_id as conv_id, k.turn as turn, k.role as role, errors::bigint as errors from recursive_edits")
+def x04(spark, d):
+    """The challenger's words against production's read backwards."""
+    left, right = (text.tokens(text.normalized(F.col(c))) for c in ("challenger", "production"))
+    return _pairs(spark, d).select("conv_id", "turn", "role", text.token_edit_distance(left, F.reverse(right)).cast("long").alias("errors"))
+
+
+def scored_pairs(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", "role", text.scored_pair(F.col("production"), F.col("challenger")).alias("s")).select("conv_id", "turn", "role", "s.*")
 
 
-@query("A24_call_wer")
+_BAND = "case when wer is null then 'unavailable' when wer < 0.1 then 'low' when wer <= 0.25 then 'moderate' else 'high' end"
+
+
+@query("X05_score_pair", _SCORED_SQL + f"select conv_id, turn, role, status, errors, words, wer::double as wer, {_BAND} as band from rated")
+def x05(spark, d):
+    return scored_pairs(spark, d)
+
+
+@query("X06_band", _SCORED_SQL + f"select {_BAND} as band, count(*) as turns from rated group by 1")
+def x06(spark, d):
+    return scored_pairs(spark, d).groupBy("band").agg(F.count("*").alias("turns"))
+
+
+@query("A24_call_wer", _SCORED_SQL + "select conv_id, sum(errors)::bigint as errors, sum(words)::bigint as words, case when sum(words) > 0 then round(sum(errors) / sum(words), 6) end::double as wer from rated group by conv_id")
 def a24(spark, d):
-    scored = _pairs(spark, d).select("conv_id", text.scored_pair(F.col("production"), F.col("challenger")).alias("s"), F.size(text.tokens(text.normalized(F.col("challenger")))).alias("words"))
-    return scored.groupBy("conv_id").agg(F.sum("s.errors").alias("errors"), F.sum("words").alias("words")).withColumn("wer", F.round(F.try_divide("errors", "words"), 6))
+    scored = scored_pairs(spark, d)
+    return scored.groupBy("conv_id").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words")).withColumn("wer", F.round(F.try_divide("errors", "words"), 6))
 
 
 @query("A25_disagreed_words")

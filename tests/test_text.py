@@ -46,7 +46,7 @@ def test_a_missed_word_is_a_deletion(spark):
 
 def test_marks_and_compatibility_forms_stay(spark):
     df = spark.createDataFrame([("नौ, ₹5!",), ("ﬁve Ⅷ",)], "t string")
-    assert [r.n for r in df.select(text.normalized(F.col("t"), compose=True).alias("n")).collect()] == ["नौ rupees 5", "five viii"]
+    assert [r.n for r in df.select(text.normalized(F.col("t")).alias("n")).collect()] == ["नौ rupees 5", "five viii"]
 
 
 def test_secrets_and_personal_data(spark):
@@ -67,3 +67,43 @@ def test_a_cut_reply_gives_way_to_the_whole(spark):
     rows = [("s", "user", "hi", 1, 0), ("s", "user", "hi", 2, 0), ("s", "assistant", long[:30], 1, 1), ("s", "assistant", long, 2, 1), ("s", "user", "hi", 2, 2)]
     got = evaluation.transcript(spark.createDataFrame(rows, "session_id string, role string, text string, op_id int, position int"))
     assert sorted((r.role, r.text, r.op_id, r.position) for r in got.collect()) == [("assistant", long, 2, 1), ("user", "hi", 1, 0), ("user", "hi", 2, 2)]
+
+
+def test_compatibility_forms_are_no_errors(spark):
+    df = spark.createDataFrame([("ﬁve rooms ５", "five rooms 5")], "p string, c string")
+    assert df.select(text.scored_pair(F.col("p"), F.col("c")).alias("s")).first().s.errors == 0
+
+
+def test_many_distinct_tokens(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(36_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("p"))
+    df = df.withColumn("c", F.slice("p", 35_900, 101)).withColumn("p", F.slice("p", 1, 36_000))
+    assert df.select(text.token_edit_distance(F.slice("p", 35_950, 51), F.col("c")).alias("n")).first().n == 50
+    spread = df.select(text.token_edit_distance(F.concat("p", F.array(F.lit("new"))), F.slice("p", 1, 2)).alias("n")).first()
+    assert spread.n == 35_999
+
+
+def plain_alignment(left, right):
+    """Every path by the definition: the same costs and the same order among equals."""
+    cost = {(0, j): j for j in range(len(right) + 1)} | {(i, 0): i for i in range(len(left) + 1)}
+    for i in range(1, len(left) + 1):
+        for j in range(1, len(right) + 1):
+            cost[i, j] = min(cost[i - 1, j - 1] + (left[i - 1] != right[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    i, j, out = len(left), len(right), []
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (left[i - 1] != right[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((left[i], right[j]))
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+            out.append((left[i], None))
+        else:
+            j -= 1
+            out.append((None, right[j]))
+    return out[::-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
+def test_alignments_by_their_definition(left, right):
+    got = [(x["production"], x["challenger"]) for x in text._aligned(left, right)]
+    assert got == plain_alignment(left, right)
