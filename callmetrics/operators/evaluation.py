@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmetrics.functions.text import normalized, token_edit_distance, tokens
+from callmetrics.operators.measures import linear_percentiles
 
 EARLY_END_MS, LATE_END_MS = -1000, 1000
 
@@ -59,15 +60,31 @@ def stt_quality(ops: DataFrame, keys: list[str]) -> DataFrame:
 def transcript(messages: DataFrame) -> DataFrame:
     """Each message of a call once. Requests (op_id) resend the history; the n-th
     message of equal role and text is the same message in all of them, first seen in the
-    earliest. A reply that was cut and is the beginning of a longer one of the same call
-    and role gives way to it."""
-    same = ["session_id", "role", "text"]
-    nth = messages.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "op_id").orderBy("position")))
+    earliest. A reply that is the beginning of a longer one of the same call was cut, and
+    gives way to it; a message that answers a tool call is told from others by its id
+    (``tool_call_id``, if there is such a column).
+
+    In the order of texts, one that begins any other is followed by one that it begins,
+    so each text is compared with its successor only.
+    """
+    rows = messages if "tool_call_id" in messages.columns else messages.withColumn("tool_call_id", F.lit(None).cast("string"))
+    same = ["session_id", "role", "text", "tool_call_id"]
+    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "op_id").orderBy("position")))
     once = nth.groupBy(*same, "nth").agg(F.min(F.struct("op_id", "position")).alias("seen"))
-    cut = once.filter("role = 'assistant'").select("session_id", F.col("text").alias("short"), F.substring("text", 1, 24).alias("head")).filter("length(head) = 24").distinct()
-    longer = once.filter("role = 'assistant'").select("session_id", F.col("text").alias("long"), F.substring("text", 1, 24).alias("head")).distinct()
-    given_way = cut.join(longer, ["session_id", "head"]).filter("long <> short and startswith(long, short)").select("session_id", F.col("short").alias("text"), F.lit("assistant").alias("role")).distinct()
-    return once.join(given_way, same, "left_anti").select("session_id", "role", "text", F.col("seen.op_id").alias("op_id"), F.col("seen.position").alias("position"))
+    replies = once.filter("role = 'assistant' and text <> ''").select("session_id", "text").distinct()
+    after = F.lead("text").over(Window.partitionBy("session_id", F.substring("text", 1, 1)).orderBy("text"))
+    cut = replies.withColumn("after", after).filter("startswith(after, text)").select("session_id", "text", F.lit("assistant").alias("role"))
+    return once.join(cut, ["session_id", "role", "text"], "left_anti").select("session_id", "role", "text", F.col("seen.op_id").alias("op_id"), F.col("seen.position").alias("position"))
+
+
+def paired_deltas(production: DataFrame, challenger: DataFrame, keys: list[str]) -> DataFrame:
+    """Challenger less production for the same turn (session_id, turn_id), where both
+    were measured from the same instant: first partials, and finals from the last word.
+    Returns for each of ``keys`` and metric the count, percentiles, extremes and mean."""
+    pairs = {"first_partial_ms": ("time_to_first_partial_ms", "time_to_first_partial_ms"), "endpoint_delay_ms": ("final_from_last_word_ms", "endpoint_delay_ms")}
+    both = production.alias("p").join(challenger.alias("c"), ["session_id", "turn_id"])
+    deltas = F.array(*(F.struct(F.lit(name).alias("metric"), (F.col(f"c.{right}") - F.col(f"p.{left}")).alias("delta_ms")) for name, (left, right) in pairs.items()))
+    return linear_percentiles(both.select(*keys, F.inline(deltas)).filter("delta_ms is not null"), [*keys, "metric"], "delta_ms")
 
 
 def call_report(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,20 +84,6 @@ def split_columns(turns: DataFrame) -> DataFrame:
     return out
 
 
-def presentation_windows(ops: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Playout extent of each synthesis from its own chunks by operation, else from
-    chunks of its turn that name no operation; NULL where none was captured."""
-    at = F.coalesce("playout_at_ms", "occurred_at_ms")
-    end = at + F.coalesce("duration_ms", F.lit(0.0))
-    agent = chunks.filter("track = 'agent'").withColumn("at", at).withColumn("end", end)
-    own = agent.filter("operation_id is not null").groupBy("session_id", F.col("operation_id").alias("event_id")).agg(F.min("at").alias("own_start"), F.max("end").alias("own_end"))
-    loose = agent.filter("operation_id is null and turn_id is not null").groupBy("session_id", "turn_id").agg(F.min("at").alias("turn_start"), F.max("end").alias("turn_end"))
-    tts = ops.join(own, ["session_id", "event_id"], "left").join(loose, ["session_id", "turn_id"], "left")
-    first = F.when(F.col("type") == "tts", F.coalesce("own_start", "turn_start"))
-    last = F.when(F.col("type") == "tts", F.coalesce("own_end", "turn_end"))
-    return tts.withColumn("presented_from_ms", F.bround(first).cast("long")).withColumn("presented_to_ms", F.bround(last).cast("long")).drop("own_start", "own_end", "turn_start", "turn_end")
-
-
 def op_reply_latency(ops: DataFrame) -> DataFrame:
     """caller's end of speech to the first agent audio of each turn, from spans with
     ended_ms of recognition and started_ms of synthesis; at least MIN_REPLY_MS."""

@@ -10,6 +10,7 @@ MIN_BARGE_IN_MS = 300
 MAPPING_TOLERANCE_MS = 160
 #: Width of the time cells that range joins meet in, so that a long call is many keys.
 CELL_MS = 3_600_000
+MOST_CELLS = 1000
 
 
 def merged(spans: DataFrame, keys: list[str], gap_ms: int = AGENT_GAP_MS) -> DataFrame:
@@ -23,18 +24,24 @@ def merged(spans: DataFrame, keys: list[str], gap_ms: int = AGENT_GAP_MS) -> Dat
 
 
 def _cells(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+    """The cells that an interval touches; none if it ends before it starts."""
+    return F.explode(F.when(end >= start, F.sequence(F.floor(start / width), F.floor(end / width))))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int = CELL_MS) -> DataFrame:
     """Pairs of intervals (l_id, l_from, l_to) and (r_id, r_from, r_to) of one key that
     share time, with ``overlap_ms``. Both are dealt to time cells; a pair is given by the
-    cell where its overlap begins only."""
-    a = left.withColumn("cell", _cells(F.col("l_from"), F.col("l_to"), width))
-    b = right.withColumn("cell", _cells(F.col("r_from"), F.col("r_to"), width))
+    cell where its overlap begins only. An interval of more than MOST_CELLS cells, such as
+    one with a wrong end, is dealt to none but meets the other side by its key alone;
+    one that ends before it starts shares no time."""
+    wide = lambda p: F.col(f"{p}_to") - F.col(f"{p}_from") > F.lit(MOST_CELLS * width)
+    shared = (F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to")) & (F.col("l_from") <= F.col("l_to")) & (F.col("r_from") <= F.col("r_to"))
     begin = F.greatest("l_from", "r_from")
-    both = a.join(b, [*keys, "cell"]).filter((F.col("l_from") < F.col("r_to")) & (F.col("r_from") < F.col("l_to")) & (F.col("cell") == F.floor(begin / width)))
-    return both.withColumn("overlap_ms", F.least("l_to", "r_to") - begin).drop("cell")
+    a = left.filter(~wide("l")).withColumn("cell", _cells(F.col("l_from"), F.col("l_to"), width))
+    b = right.filter(~wide("r")).withColumn("cell", _cells(F.col("r_from"), F.col("r_to"), width))
+    in_cells = a.join(b, [*keys, "cell"]).filter(shared & (F.col("cell") == F.floor(begin / width))).drop("cell")
+    by_key = left.filter(wide("l")).join(right, keys).unionByName(left.filter(~wide("l")).join(right.filter(wide("r")), keys)).filter(shared)
+    return in_cells.unionByName(by_key).withColumn("overlap_ms", F.least("l_to", "r_to") - begin)
 
 
 def words_to_turns(words: DataFrame, turns: DataFrame, key: str = "session_id", tolerance: int = MAPPING_TOLERANCE_MS, width: int = CELL_MS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmetrics.functions.scalars import bucket_floor
+from callmetrics.sources.shared import checkpointed
 
 # Sample counts below which a figure is no claim, and the sketch's base.
 MIN_P50, MIN_P95, MIN_STABLE, MIN_DELTA, MIN_TOOL = 5, 20, 100, 30, 5
@@ -115,9 +116,21 @@ def tool_summary(tools: DataFrame) -> DataFrame:
     )
 
 
-def failure_summary(failures: DataFrame, limit: int = 12) -> DataFrame:
-    """The most frequent failures by fingerprint and stage."""
-    return failures.groupBy("fingerprint", "stage").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("calls")).orderBy(F.col("n").desc(), "fingerprint", "stage").limit(limit)
+def failure_summary(failures: DataFrame, limit: int | None = 12) -> DataFrame:
+    """The most frequent failures by fingerprint and stage, or all of them."""
+    found = failures.groupBy("fingerprint", "stage").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("calls"))
+    return found if limit is None else found.orderBy(F.col("n").desc(), "fingerprint", "stage").limit(limit)
+
+
+def placed(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Numbers the rows from 1 in ``order``, by ranges: each range is sorted in a task of its
+    own and starts where those before it end."""
+    ranked = checkpointed(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = ranked.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__from"))  # one row per range
+    own = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranked.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(out, (F.col("__from") + own + 1).cast("int")).drop("__part", "__at", "__from")
 
 
 def facets(turns: DataFrame, columns: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def w06(spark, d):
     return evaluation.partial_revisions(rows, ["conv_id", "role"])
 
 
-@query("W11_transcript", "select session_id, role, text, min(op_id) as op_id, any_value(position) as position from (select conv_id as session_id, role, text, 0 as op_id, turn as position, row_number() over (partition by conv_id, role, text order by turn) as nth from conversations) m where not exists (select 1 from conversations l where m.role = 'assistant' and l.conv_id = m.session_id and l.role = 'assistant' and l.text <> m.text and starts_with(l.text, m.text) and length(m.text) >= 24) group by session_id, role, text, nth")
+@query("W11_transcript", "select session_id, role, text, min(op_id) as op_id, any_value(position) as position from (select conv_id as session_id, role, text, 0 as op_id, turn as position, row_number() over (partition by conv_id, role, text order by turn) as nth from conversations) m where not exists (select 1 from conversations l where m.role = 'assistant' and l.conv_id = m.session_id and l.role = 'assistant' and l.text <> m.text and starts_with(l.text, m.text) and m.text <> '') group by session_id, role, text, nth")
 def w11(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "role", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("op_id"), F.col("turn").alias("position"))
     return evaluation.transcript(rows)
@@ -69,15 +69,14 @@ def a39(spark, d):
     return evaluation.stt_quality(rows, ["session_id"])
 
 
-@query("T05_alert_order", FACTS + _ALERT + "select rule, scope, row_number() over (order by scope <> 'fleet', case when state = 'firing' and sev = 'critical' then 0 when state = 'firing' then 1 else 2 end, case when state = 'firing' then round((observed::double - threshold::double) / threshold::double, 6) end desc nulls last, scope, rule)::integer as place from stated order by place limit 20")
+@query("T05_alert_order", FACTS + _ALERT + "select rule, scope, row_number() over (order by scope <> 'fleet', case when state = 'firing' and sev = 'critical' then 0 when state = 'firing' then 1 else 2 end, case when state = 'firing' then round((observed::double - threshold::double) / threshold::double, 6) end desc nulls last, scope, rule)::integer as place from stated")
 def t05(spark, d):
-    first = reports.ordered_alerts(reports.alerts(turns_of(spark, d))).limit(20)
-    return first.withColumn("__i", F.monotonically_increasing_id()).select("rule", "scope", F.expr("cast(row_number() over (order by __i) as int) as place"))
+    return measures.placed(reports.alerts(turns_of(spark, d)), reports.alert_order()).select("rule", "scope", "place")
 
 
-@query("T06_missing_last", FACTS + "select session_id from calls order by max_response_ms asc nulls last, session_id limit 30")
+@query("T06_missing_last", FACTS + "select session_id, row_number() over (order by max_response_ms asc nulls last, session_id)::integer as place from calls")
 def t06(spark, d):
-    return calls_of(spark, d).orderBy(F.col("max_response_ms").asc_nulls_last(), "session_id").limit(30).select("session_id")
+    return measures.placed(calls_of(spark, d), [F.col("max_response_ms").asc_nulls_last(), F.col("session_id")]).select("session_id", "place")
 
 
 @query("X10_risk_skip_reason", "select conv_id, turn, role, case when trim(coalesce(case when turn % 3 > 0 then text end, '')) = '' then 'challenger_empty' when trim(coalesce(case when turn % 2 > 0 then text end, '')) = '' then 'production_empty' when conv_id % 2 = 0 then 'no_difference' end as reason from conversations")

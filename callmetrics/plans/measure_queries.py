@@ -301,10 +301,12 @@ def u01(spark, d):
     return touched.union(touched.select(F.lit(measures.ALL_AGENTS).alias("agent_id"), "bucket_ms")).distinct()
 
 
-@query("U02_facet_except", OPS + "select distinct provider as value from ops where op_id % 50 = 3 except select provider from ops where duration_ms > 15000")
+@query("U02_facet_except", OPS + "select distinct agent_id || '/' || provider || '/' || stage as value from ops except select agent_id || '/' || provider || '/' || stage from ops where status = 'ok' and started_ms >= 1706000000000")
 def u02(spark, d):
+    """Facets of all operations that no good one of late carries."""
     ops = operations(spark, d)
-    return ops.filter("op_id % 50 = 3").select(F.col("provider").alias("value")).distinct().subtract(ops.filter("duration_ms > 15000").select(F.col("provider").alias("value")))
+    value = F.concat_ws("/", "agent_id", "provider", "stage").alias("value")
+    return ops.select(value).distinct().subtract(ops.filter("status = 'ok' and started_ms >= 1706000000000").select(value))
 
 
 @query("U03_distinct_providers", FACTS + "select distinct p as provider from (select stt_provider as p from turns union all select llm_provider from turns union all select tts_provider from turns) t where p is not null")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.functions.scalars import LAG_MS, bucket_size_ms
+from callmetrics.functions.scalars import LAG_MS, bucket_floor, bucket_size_ms
 from callmetrics.operators import facts, measures
 
 #: Turns above which a range is answered from rollups, or refused if a filter rules them out.
@@ -62,25 +62,62 @@ def attention(calls: DataFrame, limit: int = 25) -> DataFrame:
     return wanted.withColumn("severity", severity).orderBy(F.col("severity").desc(), F.col("failed_ops").desc(), F.col("max_response_ms").desc_nulls_last(), F.col("started_ms").desc(), "session_id").limit(limit)
 
 
-def summary(turns: DataFrame, filters: Filters, rollup: DataFrame | None = None, limit: int = EXACT_LIMIT) -> dict[str, DataFrame]:
-    """Q01: the parts of a dashboard over one filtered set. Wide ranges are answered from
-    ``rollup`` (hourly_rollup() of all turns); where a filter rules that out, the parts
-    that need turns are left out and 'refused' says why."""
+#: Measured columns of turns by stage, where the turns have them.
+PANELS = {
+    "stt": ("stt_first_partial_ms", "stt_endpoint_delay_ms", "stt_final_ms"), "llm": ("llm_ttft_ms", "llm_completion_ms", "llm_output_tokens"), "tts": ("tts_first_audio_ms", "tts_synthesis_ms"), "tool": ("tool_total_ms",),
+}
+
+
+def stage_panels(turns: DataFrame) -> DataFrame:
+    """The distribution of each stage's measurements, all from one pass over turns."""
+    named = [(stage, m) for stage, metrics in PANELS.items() for m in metrics if m in turns.columns]
+    rows = F.array(*(F.struct(F.lit(stage).alias("stage"), F.lit(m).alias("metric"), F.col(m).cast("long").alias("value")) for stage, m in named))
+    return measures.distribution(turns.select(F.inline(rows)).filter("value is not null"), ["stage", "metric"], "value")
+
+
+def stage_counters(turns: DataFrame) -> DataFrame:
+    """Spans, failures, turns and calls that each stage's failures touched."""
+    each = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(f"{s}_ops").cast("long").alias("ops"), F.col(f"{s}_failed").cast("long").alias("failed")) for s in facts.STAGES))
+    rows = turns.select("session_id", F.inline(each)).filter("ops > 0")
+    return rows.groupBy("stage").agg(F.sum("ops").alias("ops"), F.sum("failed").alias("failed"), F.count("*").alias("turns"), F.countDistinct(F.when(F.col("failed") > 0, F.col("session_id"))).alias("calls_impacted"))
+
+
+def summary(turns: DataFrame, filters: Filters, rollup: DataFrame | None = None, tools: DataFrame | None = None, failures: DataFrame | None = None, limit: int = EXACT_LIMIT) -> dict[str, DataFrame]:
+    """Q01: the parts of a dashboard over one filtered set: overview, latency, change since
+    the period before, stage panels and counters, trend, calls to look at, facets, and
+    of ``tools`` and ``failures`` (rows of tool and failure facts), if given, those in
+    the chosen turns. Wide ranges are answered from ``rollup`` (hourly_rollup() of all
+    turns): totals and trend, where calls are an upper bound. Where a filter rules that
+    out, 'refused' says why.
+    """
     chosen = filters.turns(turns)
     way = route(chosen.count(), filters, limit)
     spark = turns.sparkSession
     if way == "refused":
         return {"refused": spark.createDataFrame([("range_too_large_for_filter",)], "reason string")}
+    width = bucket_size_ms(filters.end_ms - filters.start_ms)
     if way == "rollup" and rollup is not None:
-        return {"totals": measures.range_totals(rollup, filters.start_ms, filters.end_ms)}
+        agent = measures.ALL_AGENTS if filters.agent_id is None else filters.agent_id
+        own = rollup.filter((F.col("bucket_ms") >= filters.start_ms) & (F.col("bucket_ms") < filters.end_ms) & (F.col("agent_id") == agent))
+        wide = own.withColumn("bucket_ms", bucket_floor(F.col("bucket_ms"), max(width, measures.HOUR_MS)))
+        sums = [F.sum(c).alias(c) for c in ("turns", "failed_ops", "measured", "lag_turns")]
+        return {"totals": measures.range_totals(rollup, filters.start_ms, filters.end_ms), "trend": wide.groupBy("bucket_ms").agg(*sums)}
     calls = facts.call_facts(chosen)
-    return {
+    parts = {
         "overview": overview(calls),
         "latency": measures.distribution(chosen, [], "response_ms"),
-        "trend": measures.trend(chosen, calls, filters.start_ms, filters.end_ms, bucket_size_ms(filters.end_ms - filters.start_ms)),
+        "delta": measures.period_delta(turns, filters.start_ms, filters.end_ms),
+        "panels": stage_panels(chosen),
+        "stages": stage_counters(chosen),
+        "trend": measures.trend(chosen, calls, filters.start_ms, filters.end_ms, width),
         "attention": attention(calls),
         "facets": measures.facets(chosen, ["agent_id", "stt_provider", "llm_provider", "tts_provider"]),
     }
+    if tools is not None:
+        parts["tools"] = measures.tool_summary(tools.join(chosen.select("session_id", "turn_id"), ["session_id", "turn_id"], "left_semi"))
+    if failures is not None:
+        parts["failures"] = measures.failure_summary(failures.join(calls.select("session_id"), "session_id", "left_semi"))
+    return parts
 
 
 RULES = (("audible-lag", 0.25, "critical"), ("failed-calls", 0.05, "critical"), ("worst-case-wait", 8000.0, "warning"), ("blind-turns", 0.40, "warning"))
@@ -107,10 +144,31 @@ def alerts(turns: DataFrame) -> DataFrame:
     return out.withColumn("excess", F.when(F.col("state") == "firing", F.round((F.col("observed") - F.col("threshold")) / F.col("threshold"), 6)))
 
 
-def ordered_alerts(found: DataFrame) -> DataFrame:
+#: Which calls show what a rule saw.
+EVIDENCE = {"audible-lag": "lag_turns > 0", "failed-calls": "failed_ops > 0", "worst-case-wait": "max_response_ms is not null", "blind-turns": "measured < turns"}
+
+
+def alert_evidence(found: DataFrame, turns: DataFrame, most: int = 3) -> DataFrame:
+    """Q03: adds ``evidence``, the ``most`` worst calls that a firing rule rests on, by
+    slowest reply, failures and recency. A rule that fires without any such call can show
+    nothing and is unknown."""
+    calls = facts.call_facts(turns)
+    shown = F.array(*(F.when(F.expr(v), F.lit(k)) for k, v in EVIDENCE.items()))
+    rows = calls.withColumn("rule", F.explode(F.array_compact(shown))).withColumn("scope", F.explode(F.array(F.lit("fleet"), F.col("agent_id"))))
+    worst = F.struct((-F.coalesce("max_response_ms", F.lit(-1))).alias("slow"), (-F.col("failed_ops")).alias("failed"), (-F.col("started_ms")).alias("recent"), "session_id")
+    # each task keeps its own worst calls first, so that no scope's calls meet in one
+    part = rows.groupBy("scope", "rule", F.pmod(F.xxhash64("session_id"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(worst)), 1, most).alias("w"))
+    best = part.groupBy("scope", "rule").agg(F.slice(F.sort_array(F.flatten(F.collect_list("w"))), 1, most)["session_id"].alias("evidence"))
+    out = found.join(best, ["scope", "rule"], "left")
+    fires = F.col("state") == "firing"
+    bare = fires & F.col("evidence").isNull()
+    return out.withColumn("evidence", F.when(fires, F.col("evidence"))).withColumn("severity", F.when(bare, "none").otherwise(F.col("severity"))).withColumn("excess", F.when(~bare, F.col("excess"))).withColumn("state", F.when(bare, "unknown").otherwise(F.col("state")))
+
+
+def alert_order() -> list[F.Column]:
     """The fleet first, then critical ones, then the worst excess."""
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return found.orderBy(F.col("scope") != "fleet", rank, F.col("excess").desc_nulls_last(), "scope", "rule")
+    return [F.col("scope") != "fleet", rank, F.col("excess").desc_nulls_last(), F.col("scope"), F.col("rule")]
 
 
 def monitors(turns: DataFrame, rules: DataFrame) -> DataFrame:

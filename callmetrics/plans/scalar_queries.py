@@ -234,12 +234,13 @@ def j02(spark, d):
     return table(spark, d, "orders").join(built, "o_orderkey", "left").agg(F.count_if(F.col("v").isNull()).alias("unbuilt"), F.count_if(F.col("v") < 7).alias("stale"), F.count_if(F.col("v") > 7).alias("newer"))
 
 
-@query("J03_retired_facets", "select c_mktsegment || '-' || c_nationkey as facet from customer where c_custkey % 50 = 0 group by 1 except select c_mktsegment || '-' || c_nationkey from customer join orders on o_custkey = c_custkey")
+@query("J03_retired_facets", "select distinct c_mktsegment || '-' || c_nationkey || '-' || floor(c_acctbal / 1000)::bigint as facet from customer except select c_mktsegment || '-' || c_nationkey || '-' || floor(c_acctbal / 1000)::bigint from customer join orders on o_custkey = c_custkey where o_orderdate >= timestamp '1998-01-01'")
 def j03(spark, d):
-    facet = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("facet")
-    customer = table(spark, d, "customer")
-    live = customer.join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(facet)
-    return customer.filter("c_custkey % 50 = 0").select(facet).distinct().join(live, "facet", "left_anti")
+    """Facets of all customers that no customer with a recent order carries any more."""
+    facet = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"), F.floor(F.col("c_acctbal") / 1000).cast("string")).alias("facet")
+    customer, recent = table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderdate >= timestamp_ntz '1998-01-01'")
+    live = customer.join(recent, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(facet)
+    return customer.select(facet).distinct().join(live, "facet", "left_anti")
 
 
 @query("J04_without_continuations", OPS + "select session_id, count(distinct turn_id) as turns from ops where turn_id not in (select turn_id from ops where op_id % 9 = 0) group by session_id")
@@ -317,13 +318,6 @@ def j12(spark, d):
     return cut.join(hit, "l_id", "left").select(F.col("l_id").alias("op_id"), F.when(F.col("hit"), "barge_in").otherwise("stopped").alias("reason"))
 
 
-@query("J14_paired_deltas", FACTS + "select count(*) as n, round(avg(b.response_ms - a.response_ms), 6) as mean_delta from turns a join turns b on a.session_id = b.session_id and a.turn_id <> b.turn_id where a.response_ms is not null and b.response_ms is not null and a.started_ms < b.started_ms")
-def j14(spark, d):
-    t = turns_of(spark, d).filter("response_ms is not null").select("session_id", "turn_id", "started_ms", "response_ms")
-    o = t.select("session_id", F.col("turn_id").alias("o_turn"), F.col("started_ms").alias("o_ms"), F.col("response_ms").alias("o_response"))
-    return t.join(o, "session_id").filter("turn_id <> o_turn and started_ms < o_ms").agg(F.count("*").alias("n"), F.round(F.avg(F.col("o_response") - F.col("response_ms")), 6).alias("mean_delta"))
-
-
 @query("J15_rate_lookup", OPS + "select op_id, coalesce(e.rate, l.rate)::double as rate from ops left join (values ('Deepgram', 0.0048), ('llm', 0.01)) e(k, rate) on provider = e.k left join (values ('my vendor', 'llm')) a(alias, k) on lower(provider) = a.alias left join (values ('Deepgram', 0.0048), ('llm', 0.01)) l(k, rate) on l.k = a.k")
 def j15(spark, d):
     rates = spark.createDataFrame([("Deepgram", 0.0048), ("llm", 0.01)], "k string, rate double")

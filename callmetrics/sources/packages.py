@@ -26,47 +26,68 @@ commits:array<struct<at_ms:bigint,text:string,audio_start_ms:bigint,audio_end_ms
 STAGES = ("stt", "llm", "tts", "tool")
 
 
-def _lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """Each line parsed once; ``package`` is the folder it lies in."""
-    lines = spark.read.text(paths).select("value", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("package")).filter(F.trim("value") != "")
-    return lines.withColumn("parsed", F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(package, value): the lines of event logs, and the folder each lies in."""
+    return spark.read.text(paths).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("package"), "value")
 
 
-def read_operations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Spans of known stages with an id, of the package's own session. A line that
-    is no JSON object rejects its whole package (see rejected_packages)."""
-    rows = _lines(spark, paths, OPERATION)
-    broken = rows.filter("parsed._corrupt is not null").select("package").distinct()
-    kept = rows.join(broken, "package", "left_anti").select("package", "parsed.*").drop("_corrupt")
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """``parsed``: the line by ``schema``, values of other kinds NULL; ``whole``: it is a JSON object."""
+    rows = lines.filter(F.trim("value") != "")
+    probe = F.from_json("value", "__none string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return rows.withColumn("parsed", F.from_json("value", schema)).withColumn("whole", probe["_corrupt"].isNull())
+
+
+def operations_of(lines: DataFrame) -> DataFrame:
+    """Spans of known stages with an id, of the package's own session, from lines of
+    (package, value). A line that is no JSON object rejects its whole package (see
+    rejected_packages)."""
+    rows = _parsed(lines, OPERATION)
+    kept = rows.join(rejected_packages(lines), "package", "left_anti").select("package", "parsed.*")
     return kept.filter(F.col("type").isin(*STAGES) & F.col("event_id").isNotNull() & (F.col("session_id") == F.col("package"))).drop("package", "kind")
 
 
-def rejected_packages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(package, bad_lines) of packages that read_operations() leaves out."""
-    return _lines(spark, paths, OPERATION).filter("parsed._corrupt is not null").groupBy("package").agg(F.count("*").alias("bad_lines"))
+def read_operations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return operations_of(read_lines(spark, paths))
 
 
-def read_audio_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def rejected_packages(lines: DataFrame) -> DataFrame:
+    """(package, bad_lines) of packages that operations_of() leaves out."""
+    return _parsed(lines, "kind string").filter("not whole").groupBy("package").agg(F.count("*").alias("bad_lines"))
+
+
+def audio_chunks_of(lines: DataFrame) -> DataFrame:
     """Audio-chunk events; lines that cannot be read are passed over."""
-    return _lines(spark, paths, AUDIO_CHUNK).filter("parsed.kind = 'audio_chunk'").select("parsed.*").drop("_corrupt", "kind")
+    return _parsed(lines, AUDIO_CHUNK).filter("parsed.kind = 'audio_chunk'").select("parsed.*").drop("kind")
 
 
-def read_manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_audio_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return audio_chunks_of(read_lines(spark, paths))
+
+
+def manifests_of(rows: DataFrame) -> DataFrame:
     """Typed manifests; outcome defaults to 'unknown', missing maps to empty ones."""
-    rows = spark.read.schema(MANIFEST).json(paths, multiLine=True)
     empty = F.expr("map()").cast("map<string,string>")
     return rows.withColumn("outcome", F.coalesce("outcome", F.lit("unknown"))).withColumn("metadata", F.coalesce("metadata", empty))
 
 
-def read_challenger_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return manifests_of(spark.read.schema(MANIFEST).json(paths, multiLine=True))
+
+
+def runs_of(rows: DataFrame) -> DataFrame:
     """Runs with what they need, words in ms, version 1.0 as 2.0, newest first for each session."""
-    rows = spark.read.schema(RUN).json(paths, multiLine=True).filter("session_id is not null and model is not null and status is not null")
+    rows = rows.filter("session_id is not null and model is not null and status is not null")
     ms = lambda w, n: F.coalesce(w[f"{n}_ms"], F.bround(w[n] * 1000))
     words = F.transform("response.words", lambda w: F.struct(w["text"].alias("text"), F.coalesce(w["type"], F.lit("word")).alias("type"), ms(w, "start").alias("start_ms"), ms(w, "end").alias("end_ms"), w["logprob"].alias("logprob")))
     rows = rows.withColumn("words", words).withColumn("kind", F.coalesce("kind", F.lit("batch"))).withColumn("schema_version", F.lit("2.0"))
     return rows.withColumn("recency", F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("created_at").desc_nulls_last(), "model")))
 
 
+def read_challenger_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return runs_of(spark.read.schema(RUN).json(paths, multiLine=True))
+
+
 def verify_objects(objects: DataFrame, declared: DataFrame) -> DataFrame:
     """Declared (path, bytes, sha256) that the files (path, length, content) do not match."""
     have = objects.select("path", F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha256"))

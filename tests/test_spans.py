@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import spans
 from callmetrics.functions.scalars import bucket_size_ms, canonical_provider
-from callmetrics.operators import challenger, facts
+from callmetrics.operators import calls, challenger, facts
 from callmetrics.plans.reports import Filters, route
 from callmetrics.sources import packages
 
@@ -38,15 +38,15 @@ def operations(spark, tmp_path_factory):
 def test_operations_keep_own_spans_and_reject_broken_packages(spark, operations):
     found = packages.read_operations(spark, f"{operations}/*/events.jsonl")
     assert {r.event_id for r in found.collect()} == {f"t{i}-{s}" for i in (1, 2) for s in ("stt", "llm", "tts")}
-    assert [(r.package, r.bad_lines) for r in packages.rejected_packages(spark, f"{operations}/*/events.jsonl").collect()] == [("call-2", 1)]
+    assert [(r.package, r.bad_lines) for r in packages.rejected_packages(packages.read_lines(spark, f"{operations}/*/events.jsonl")).collect()] == [("call-2", 1)]
 
 
 def test_audio_chunks_and_presentation_windows(spark, operations):
     path = f"{operations}/*/events.jsonl"
     chunks = packages.read_audio_chunks(spark, path)
     assert chunks.count() == 1
-    shown = facts.presentation_windows(packages.read_operations(spark, path), chunks).filter("type = 'tts'")
-    assert {(r.event_id, r.presented_from_ms, r.presented_to_ms) for r in shown.collect()} == {("t1-tts", 1950, 2250), ("t2-tts", None, None)}
+    shown = calls.presentation_windows(packages.read_operations(spark, path), chunks).filter("type = 'tts'")
+    assert {(r.event_id, r.shown and tuple(r.shown)) for r in shown.collect()} == {("t1-tts", (1950, 2250, "attributed_audio_chunks")), ("t2-tts", None)}
 
 
 def test_turn_latency_is_measured_or_null_with_a_reason(spark, operations):
