@@ -36,19 +36,16 @@ def claimed_marks(turns: DataFrame, marks: DataFrame) -> DataFrame:
     new = turns.withColumn("__new", F.when(F.col("low_ms") <= reach, 0).otherwise(1))
     runs = new.withColumn("run", F.sum("__new").over(Window.partitionBy("session_id").orderBy("low_ms", "turn_id").rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
     near = _candidates(runs, marks).select("session_id", "run", "turn_id", "start_ms", "mark_id")
+    own = near.groupBy("session_id", "run", "turn_id", "start_ms").agg(F.sort_array(F.collect_list("mark_id")).alias("marks"))
+    runs = own.groupBy("session_id", "run").agg(F.sort_array(F.collect_list(F.struct("start_ms", "turn_id", "marks"))).alias("turns"))  # turns that run into each other
+    kinds = dict(near.dtypes)
+    none = F.expr(f"cast(array() as array<struct<turn_id:{kinds['turn_id']},mark_id:{kinds['mark_id']}>>)")
 
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for turn, group in frame.sort_values(["start_ms", "turn_id", "mark_id"]).groupby(["start_ms", "turn_id"], sort=True):
-            free = group[~group["mark_id"].isin(taken)]
-            if len(free):
-                taken.add(free["mark_id"].iloc[0])
-                out.append((free["session_id"].iloc[0], turn[1], free["mark_id"].iloc[0]))
-        return pd.DataFrame(out, columns=["session_id", "turn_id", "mark_id"])
+    def claim(done: Column, turn: Column) -> Column:
+        free = F.filter(turn["marks"], lambda m: ~F.array_contains(done["mark_id"], m))
+        return F.when(F.size(free) > 0, F.concat(done, F.array(F.struct(turn["turn_id"].alias("turn_id"), F.get(free, F.lit(0)).alias("mark_id"))))).otherwise(done)
 
-    kinds = dict(near.dtypes)
-    return near.groupBy("session_id", "run").applyInPandas(settle, f"session_id {kinds['session_id']}, turn_id {kinds['turn_id']}, mark_id {kinds['mark_id']}")
+    return runs.select("session_id", F.inline(F.aggregate("turns", none, claim)))
 
 
 def claimed_commits(turns: DataFrame, commits: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def priced(df: DataFrame, rates: DataFrame, key: str, out: str) -> DataFrame:
     """The rate of an exact key; an unknown key has none. ``rates`` is a price list."""
-    return df.join(F.broadcast(rates.select(F.col("provider_key").alias(key), F.col("usd_per_minute").alias(out))), key, "left")
+    return df.join(rates.select(F.col("provider_key").alias(key), F.col("usd_per_minute").alias(out)), key, "left")
 
 
 def cost_columns(production: Column, challenger: Column, minutes: Column, fx: Column, monthly_minutes: float) -> dict[str, Column]:

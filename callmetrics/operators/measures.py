@@ -21,16 +21,37 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, v, weight): how often each value occurs under its key. Map-side sums shrink even
+    a single key of all rows to its distinct values; negative ones count as NULL."""
+    return df.withColumn("v", F.when(F.col(value) >= 0, F.col(value))).groupBy(*keys, "v").agg(F.count("*").alias("weight"))
+
+
+def nearest_ranks(counts: DataFrame, keys: list[str], fractions: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of value_counts() rows, and n, sum, least and greatest."""
+    own = Window.partitionBy(*keys)
+    known = F.when(F.col("v").isNotNull(), F.col("weight"))
+    ranked = counts.withColumn("__upto", F.sum(known).over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum(known).over(own))
+    reached = lambda p: F.min(F.when(F.col("v").isNotNull() & (F.col("__upto") >= F.ceil(F.col("__n") * F.lit(p))), F.col("v")))
+    return ranked.groupBy(*keys).agg(F.coalesce(F.sum(known), F.lit(0)).alias("n"), *(reached(p).cast("double").alias(name) for name, p in fractions.items()), F.min("v").alias("least"), F.max("v").alias("greatest"), F.sum(F.col("v") * F.col("weight")).alias("total"))
+
+
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, nearest-rank percentiles, extremes and mean of non-negative values, and
     whether there are enough of them to state p50 and p95."""
-    n = F.count("v")
-    return df.withColumn("v", F.when(F.col(value) >= 0, F.col(value))).groupBy(*keys).agg(
-        n.alias("n"), *(nearest_rank("v", p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)), F.min("v").alias("least"), F.max("v").alias("greatest"), F.round(F.avg("v"), 6).alias("mean"),
+    found = nearest_ranks(value_counts(df, keys, value), keys, {f"p{p}": p / 100 for p in (50, 90, 95, 99)})
+    n = F.col("n")
+    return found.select(
+        *keys, "n", "p50", "p90", "p95", "p99", "least", "greatest", F.round(F.col("total") / F.nullif(n, F.lit(0)), 6).alias("mean"),
         (n >= MIN_P50).alias("p50_confident"), (n >= MIN_P95).alias("p95_confident"), (n >= MIN_STABLE).alias("p95_stable"),
     )
 
 
+def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key; every task passes on no more than that of a key."""
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__nth") <= n).drop("__nth")
+
+
 def linear_percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Percentiles by linear interpolation, the rule of one call's own view."""
     p = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))

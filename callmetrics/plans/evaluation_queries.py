@@ -126,14 +126,18 @@ def e04(spark, d):
 
 @query("E07_continuous_alerts", FACTS + _ALERT + "select scope, calls, rule, state from stated")
 def e07(spark, d):
-    """Alerts over all turns so far, evaluated after every micro-batch."""
+    """Alerts over all turns so far, evaluated after every micro-batch from the sums before
+    it and those of its own turns."""
     base = f"{shared_path(spark)}/e07-{uuid.uuid4().hex}"
     turns = facts.turn_facts(operations(spark, d))
     turns.repartition(2, "session_id").write.parquet(f"{base}/arrivals")
 
     def evaluate(batch, number):
-        batch.write.mode("overwrite").parquet(f"{base}/turns/arrival={number}")  # a batch that runs again writes the same folder
-        reports.alerts(spark.read.parquet(f"{base}/turns")).write.mode("overwrite").parquet(f"{base}/alerts")
+        own = reports.alert_state(batch)
+        before = spark.read.parquet(f"{base}/state/{number - 1}") if number else own.limit(0)
+        # a batch that runs again starts from the same sums and writes the same folder
+        reports.merged_states(before.union(own)).write.mode("overwrite").parquet(f"{base}/state/{number}")
+        reports.alerts_of(spark.read.parquet(f"{base}/state/{number}")).write.mode("overwrite").parquet(f"{base}/alerts")
 
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrivals")
     stream.writeStream.foreachBatch(evaluate).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()

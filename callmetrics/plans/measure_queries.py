@@ -262,8 +262,9 @@ def w12(spark, d):
 
 @query("W13_sample_cap", OPS + "select stage, op_id, total > 100 as truncated from (select stage, op_id, row_number() over (partition by stage order by started_ms, op_id) as n, count(*) over (partition by stage) as total from ops) o where n <= 100")
 def w13(spark, d):
-    by = Window.partitionBy("stage")
-    return operations(spark, d).withColumn("n", F.row_number().over(by.orderBy("started_ms", "op_id"))).withColumn("total", F.count("*").over(by)).filter("n <= 100").select("stage", "op_id", (F.col("total") > 100).alias("truncated"))
+    ops = operations(spark, d).select("stage", "op_id", "started_ms")
+    totals = ops.groupBy("stage").agg(F.count("*").alias("total"))
+    return measures.newest(ops, ["stage"], [F.col("started_ms"), F.col("op_id")], 100).join(totals, "stage").select("stage", "op_id", (F.col("total") > 100).alias("truncated"))
 
 
 @query("T01_attention", FACTS + f"select session_id, case when failed_ops > 0 then 3 when measured = 0 then 2 else 1 end as severity from calls where {SELECTORS['attention']} order by severity desc, failed_ops desc, max_response_ms desc nulls last, started_ms desc, session_id limit 25")
@@ -290,9 +291,9 @@ def t04(spark, d):
 
 @query("T07_quota_sample", FACTS + "select session_id from (select session_id, failed_ops, row_number() over (partition by failed_ops > 0 order by started_ms desc, session_id) as newest, row_number() over (partition by failed_ops > 0 order by duration_ms desc, session_id) as longest from calls) c where (failed_ops > 0 and newest <= 5) or (failed_ops = 0 and longest <= 45)")
 def t07(spark, d):
-    side = Window.partitionBy(F.col("failed_ops") > 0)
-    ranked = calls_of(spark, d).withColumn("newest", F.row_number().over(side.orderBy(F.col("started_ms").desc(), "session_id"))).withColumn("longest", F.row_number().over(side.orderBy(F.col("duration_ms").desc(), "session_id")))
-    return ranked.filter("(failed_ops > 0 and newest <= 5) or (failed_ops = 0 and longest <= 45)").select("session_id")
+    calls = calls_of(spark, d).withColumn("failing", F.col("failed_ops") > 0)
+    failed = measures.newest(calls.filter("failing"), ["failing"], [F.col("started_ms").desc(), F.col("session_id")], 5)
+    return failed.union(measures.newest(calls.filter("not failing"), ["failing"], [F.col("duration_ms").desc(), F.col("session_id")], 45)).select("session_id")
 
 
 @query("U01_dirty_buckets", OPS + "select distinct agent_id, started_ms // 3600000 * 3600000 as bucket_ms from ops where op_id % 10 = 0 union select '__all__', started_ms // 3600000 * 3600000 from ops where op_id % 10 = 0")

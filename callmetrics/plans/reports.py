@@ -124,26 +124,49 @@ RULES = (("audible-lag", 0.25, "critical"), ("failed-calls", 0.05, "critical"),
 MIN_CALLS = 3
 
 
-def alerts(turns: DataFrame) -> DataFrame:
+def alert_state(turns: DataFrame) -> DataFrame:
+    """(scope, figure, value, weight): what the rules need of some turns, for the fleet and
+    for each agent. States of different calls are merged by adding weights, so new calls
+    need none of the old ones; a call's turns must come together."""
+    scopes = F.explode(F.array(F.lit("fleet"), F.col("agent_id")))
+    figure = lambda df, name, value=None: df.select("scope", F.lit(name).alias("figure"), (F.lit(None) if value is None else F.col(value)).cast("long").alias("value"), F.col("weight").cast("long").alias("weight"))
+    per_call = turns.groupBy("session_id", "agent_id").agg(F.count("*").alias("turns"), F.max((F.expr(measures.FAILED) > 0).cast("int")).alias("failing"))
+    calls = per_call.withColumn("scope", scopes).groupBy("scope", "session_id").agg(F.sum("turns").alias("turns"), F.max("failing").alias("failing"))
+    summed = calls.groupBy("scope").agg(F.count("*").alias("calls"), F.sum("turns").alias("turns"), F.sum("failing").alias("failing"))
+    replies = turns.filter("response_ms is not null").withColumn("scope", scopes).groupBy("scope", "response_ms").agg(F.count("*").alias("weight"))
+    out = figure(replies, "reply", "response_ms")
+    for name in ("calls", "turns", "failing"):
+        out = out.union(figure(summed.withColumnRenamed(name, "weight"), name))
+    return out
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    return states.groupBy("scope", "figure", "value").agg(F.sum("weight").alias("weight"))
+
+
+def alerts_of(state: DataFrame) -> DataFrame:
     """Q03: each rule for the fleet and for each agent: firing above its threshold, unknown
     with fewer than MIN_CALLS calls or without enough to measure."""
-    scoped = turns.withColumn("scope", F.explode(F.array(F.lit("fleet"), F.col("agent_id"))))
-    failed = F.expr(measures.FAILED) > 0
-    each = scoped.groupBy("scope").agg(
-        F.countDistinct("session_id").alias("calls"), F.count("*").alias("turns"), F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= LAG_MS).alias("lag"),
-        F.countDistinct(F.when(failed, F.col("session_id"))).alias("failing"), measures.nearest_rank("response_ms", 0.95).alias("p95"),
-    )
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("figure") == name, F.col("weight"))), F.lit(0))
+    lag = F.coalesce(F.sum(F.when((F.col("figure") == "reply") & (F.col("value") >= LAG_MS), F.col("weight"))), F.lit(0))
+    each = state.groupBy("scope").agg(of("calls").alias("calls"), of("turns").alias("turns"), of("failing").alias("failing"), of("reply").alias("measured"), lag.alias("lag"))
+    p95 = measures.nearest_ranks(state.filter("figure = 'reply'").withColumnRenamed("value", "v"), ["scope"], {"p95": 0.95}).select("scope", "p95")
+    each = each.join(p95, "scope", "left")
     observed = {
         "audible-lag": F.when(F.col("measured") >= 10, F.col("lag") / F.col("measured")), "failed-calls": F.when(F.col("calls") > 0, F.col("failing") / F.col("calls")),
-        "worst-case-wait": F.when(F.col("measured") >= measures.MIN_P95, F.col("p95").cast("double")), "blind-turns": F.when(F.col("turns") >= 20, (F.col("turns") - F.col("measured")) / F.col("turns")),
+        "worst-case-wait": F.when(F.col("measured") >= measures.MIN_P95, F.col("p95")), "blind-turns": F.when(F.col("turns") >= 20, (F.col("turns") - F.col("measured")) / F.col("turns")),
     }
     rows = F.array(*(F.struct(F.lit(i).alias("rule"), F.round(observed[i], 6).alias("observed"), F.lit(t).alias("threshold"), F.lit(sev).alias("severity")) for i, t, sev in RULES))
     out = each.select("scope", "calls", F.inline(rows))
-    state = F.when(F.col("observed").isNull() | (F.col("calls") < MIN_CALLS), "unknown").when(F.col("observed") > F.col("threshold"), "firing").otherwise("ok")
-    out = out.withColumn("state", state).withColumn("severity", F.when(F.col("state") == "firing", F.col("severity")).otherwise("none"))
+    state_of = F.when(F.col("observed").isNull() | (F.col("calls") < MIN_CALLS), "unknown").when(F.col("observed") > F.col("threshold"), "firing").otherwise("ok")
+    out = out.withColumn("state", state_of).withColumn("severity", F.when(F.col("state") == "firing", F.col("severity")).otherwise("none"))
     return out.withColumn("excess", F.when(F.col("state") == "firing", F.round((F.col("observed") - F.col("threshold")) / F.col("threshold"), 6)))
 
 
+def alerts(turns: DataFrame) -> DataFrame:
+    return alerts_of(alert_state(turns))
+
+
 #: Which calls show what a rule saw.
 EVIDENCE = {"audible-lag": "lag_turns > 0", "failed-calls": "failed_ops > 0", "worst-case-wait": "max_response_ms is not null", "blind-turns": "measured < turns"}
 

@@ -261,9 +261,10 @@ def j05(spark, d):
 @query("J06_midpoint_map", FACTS + "select o.op_id, t.turn_id from ops o join (select session_id, turn_id, coalesce((lag(ended_ms) over w + started_ms) // 2, started_ms) as a, coalesce((ended_ms + lead(started_ms) over w) // 2, ended_ms) as b from turns window w as (partition by session_id order by started_ms, turn_id)) t on o.session_id = t.session_id and (o.started_ms + o.ended_ms) // 2 >= a and (o.started_ms + o.ended_ms) // 2 < b")
 def j06(spark, d):
     ops = operations(spark, d)
-    windows = intervals.midpoint_windows(facts.turn_facts(ops))
+    windows = intervals.midpoint_windows(facts.turn_facts(ops)).select("session_id", F.col("turn_id").alias("own"), F.col("turn_id").alias("r_id"), F.col("window_from").alias("r_from"), F.col("window_to").alias("r_to"))
     mid = F.floor((F.col("started_ms") + F.col("ended_ms")) / 2)
-    return ops.join(windows.withColumnRenamed("turn_id", "own"), "session_id").filter((mid >= F.col("window_from")) & (mid < F.col("window_to"))).select("op_id", F.col("own").alias("turn_id"))
+    points = ops.select("session_id", "op_id", F.col("op_id").alias("l_id"), mid.alias("l_from"), (mid + 1).alias("l_to"))
+    return intervals.overlaps(points, windows, ["session_id"]).filter("l_from >= r_from and l_from < r_to").select("op_id", F.col("own").alias("turn_id"))
 
 
 @query("J07_logical_llm_calls", OPS + "select op_id from ops o where stage = 'llm' and not (op_id % 2 = 1 and exists (select 1 from ops f where f.stage = 'llm' and f.op_id % 2 = 0 and f.session_id = o.session_id and f.turn_id = o.turn_id and o.started_ms between f.started_ms and f.ended_ms))")
@@ -323,7 +324,7 @@ def j15(spark, d):
     rates = spark.createDataFrame([("Deepgram", 0.0048), ("llm", 0.01)], "k string, rate double")
     alias = spark.createDataFrame([("my vendor", "llm")], "alias string, k string").join(rates, "k").select("alias", F.col("rate").alias("alias_rate"))
     ops = operations(spark, d).select("op_id", "provider")
-    return ops.join(F.broadcast(rates), F.col("provider") == F.col("k"), "left").join(F.broadcast(alias), F.lower("provider") == F.col("alias"), "left").select("op_id", F.coalesce("rate", "alias_rate").alias("rate"))
+    return ops.join(rates, F.col("provider") == F.col("k"), "left").join(alias, F.lower("provider") == F.col("alias"), "left").select("op_id", F.coalesce("rate", "alias_rate").alias("rate"))
 
 
 @query("J16_enclosed_removed", OPS + "select a.op_id from ops a where stage = 'llm' and not exists (select 1 from ops b where b.stage = 'llm' and b.session_id = a.session_id and b.op_id <> a.op_id and b.started_ms <= a.started_ms and b.ended_ms >= a.ended_ms and not (b.started_ms = a.started_ms and b.ended_ms = a.ended_ms))")

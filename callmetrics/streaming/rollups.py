@@ -10,43 +10,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callmetrics.operators import measures
-from callmetrics.sources.packages import day_of, replaced, write_partitions
+from callmetrics.sources.packages import day_of, write_partitions
 from callmetrics.sources.shared import checkpointed
 
-PARTS = 64
-
-
 class FactStore:
-    """Turn facts (by hash of the call) and hourly rollups (by day) under one folder."""
+    """Turn facts (by day, then by the version that brought them), which call came when
+    (``index``, two columns), what later versions replaced (``gone``, by day), and hourly
+    rollups (by day), under one folder.
+
+    A version only adds files: its own facts, index rows and what it replaces. Of the
+    history a refresh reads the index, which is narrow, and the days it touches.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.turns_path, self.rollup_path = spark, f"{path}/turns", f"{path}/rollup"
+        self.spark = spark
+        self.turns_path, self.index_path, self.gone_path, self.rollup_path = (f"{path}/{n}" for n in ("turns", "index", "gone", "rollup"))
 
-    def _read(self, path: str, like: DataFrame) -> DataFrame:
-        """The table, or none of its rows before the first write."""
+    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+        """The table, or no rows before the first write."""
         try:
-            return self.spark.read.schema(like.schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(path)
         except Exception as error:  # an absent path is only known by the reader's error
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return like.limit(0)
-
-    def refresh(self, arrived: DataFrame) -> None:
-        """Replace the calls in ``arrived`` (turn facts) and recompute the days they touch."""
-        new = arrived.withColumn("part", F.pmod(F.xxhash64("session_id"), F.lit(PARTS)).cast("int")).withColumn("day", day_of(F.col("started_ms")))
-        new = checkpointed(new)
-        parts = [r["part"] for r in new.select("part").distinct().collect()]  # at most PARTS
-        stored = self._read(self.turns_path, new).filter(F.col("part").isin(parts))
-        dirty = stored.join(new.select("session_id").distinct(), "session_id", "left_semi").select("day").union(new.select("day")).distinct()
-        dirty = checkpointed(dirty)
-        write_partitions(checkpointed(replaced(stored, new, ["session_id"])), self.turns_path, ["part"])
-        touched = self._read(self.turns_path, new).join(dirty, "day", "left_semi")
+            return self.spark.createDataFrame([], schema)
+
+    def refresh(self, arrived: DataFrame, version: int | None = None) -> None:
+        """Replace the calls in ``arrived`` (turn facts) and recompute the days they touch.
+        ``version`` numbers arrivals in order; one that is run again ends in the same state."""
+        kind = arrived.schema["session_id"].dataType.simpleString()
+        index = self._read(self.index_path, T.StructType.fromDDL(f"session_id {kind}, day date, version int"))
+        if version is None:
+            version = 1 + (index.agg(F.max("version")).first()[0] or 0)
+        new = checkpointed(arrived.withColumn("day", day_of(F.col("started_ms"))).withColumn("version", F.lit(version)))
+        sessions = new.select("session_id").distinct()
+        replaced = checkpointed(index.filter(F.col("version") < version).join(sessions, "session_id", "left_semi"))
+        write_partitions(new, self.turns_path, ["day", "version"])
+        write_partitions(new.select("session_id", "day", "version").distinct(), self.index_path, ["version"])
+        write_partitions(replaced.withColumnRenamed("version", "replaced").withColumn("version", F.lit(version)), self.gone_path, ["day", "version"])
+        days = [r["day"] for r in new.select("day").union(replaced.select("day")).distinct().collect()]  # days of one arrival
+        here = F.col("day").isin(days)
+        gone = self._read(self.gone_path, T.StructType.fromDDL(f"session_id {kind}, replaced int, day date, version int")).filter(here).select("session_id", "day", F.col("replaced").alias("version"))
+        touched = self._read(self.turns_path, new.schema).filter(here).join(gone, ["session_id", "day", "version"], "left_anti")
         rolled = measures.hourly_rollup(touched).withColumn("day", day_of(F.col("bucket_ms")))
-        gone = dirty.join(touched.select("day").distinct(), "day", "left_anti")  # days that a re-upload left empty
-        empty = gone.select(*(F.col(c) if c == "day" else F.lit(None).cast(k).alias(c) for c, k in rolled.dtypes))
-        write_partitions(rolled.unionByName(empty), self.rollup_path, ["day"])
+        emptied = self.spark.createDataFrame([(d,) for d in days], "day date").join(rolled.select("day").distinct(), "day", "left_anti")
+        blank = emptied.select(*(F.col(c) if c == "day" else F.lit(None).cast(k).alias(c) for c, k in rolled.dtypes))
+        write_partitions(rolled.unionByName(blank), self.rollup_path, ["day"])
 
     def rollup(self) -> DataFrame:
         return self.spark.read.parquet(self.rollup_path).filter("bucket_ms is not null").drop("day")
@@ -54,7 +66,7 @@ class FactStore:
 
 def follow(turns: DataFrame, store: FactStore, checkpoint: str) -> None:
     """Feed a stream of turn facts to the store, as far as it has come, then stop."""
-    query = turns.writeStream.foreachBatch(lambda batch, _: store.refresh(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = turns.writeStream.foreachBatch(lambda batch, number: store.refresh(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -65,7 +77,14 @@ def windowed_counts(events: DataFrame, id_col: str, time_col: str, by: str, widt
 
 
 def collected(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
-    """The final state of a windowed stream as a table, all input that is there taken."""
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    """The windows of a stream as a table, all input that is there taken. Each micro-batch
+    writes the windows that changed; the last state of a window counts, and the watermark
+    lets the stream forget windows that can change no more."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    keys = [c for c in stream.columns if c != "n"]
+    states = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return states.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
