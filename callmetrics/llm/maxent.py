@@ -1,12 +1,15 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-A word's probability is factored by class: P(class | history) P(word | class). The
-class is told by the spelling (a hash of the last three bytes), so that words never
+A word's probability is factored by class: P(class | history) P(word | class, history).
+The class is told by the spelling (a hash of the last three bytes), so that words never
 seen have one too. It is predicted in two softmax steps, 16 groups of 16 classes, from
-hashed features: the classes of the words before it (one back, the pair, and skips of
-one and two) and the last word itself. Within its class a word has its add-one share
-of the training tokens, which come from all training documents. Each task makes
-gradient updates over the documents it reads; the tasks' weights are averaged.
+hashed features: the classes of the words before it (one back, the pair, and a skip of
+one) and the last word itself. Within its class a word is in one of 16 bins by its hash; a
+third softmax step predicts the bin from the class, the last word and the one before it,
+and in its bin a word has its add-one share of the training tokens, which come from all
+training documents. Each task makes gradient updates over the documents it reads; the
+tasks' weights are averaged by the tokens they saw. The weights tell what history adds to
+the shares of classes and bins, so a model that has learnt nothing scores as unigrams do.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ WIDTH = 16
 CLASSES = WIDTH * WIDTH
 #: The class before a text begins.
 START = CLASSES
-ROWS_1, ROWS_2 = 1 << 14, 1 << 16
+#: Rows of weights of the three steps; row numbers fit 16 bits, which sort fast.
+ROWS = (1 << 14, 1 << 16, 1 << 15)
 #: Documents whose distinct words are looked up together.
 BLOCK_DOCS = 4096
 BATCH = 4096
@@ -41,6 +45,7 @@ class Sequence(NamedTuple):
 
     token: np.ndarray
     klass: np.ndarray
+    bin: np.ndarray
     cut: np.ndarray
 
 
@@ -53,34 +58,58 @@ def sequence(words: Words) -> Sequence:
     at = np.arange(len(words.start)) + words.row_of()
     token[at] = words.hashes().view(np.int64)
     klass[at] = 1 + (words.suffix_hashes(3) % np.uint64(CLASSES - 1)).astype(np.int32)
-    return Sequence(token, klass, cut)
+    return Sequence(token, klass, bin_of(token), cut)
 
 
-def features(seq: Sequence) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Weight rows of each token's features for the first softmax, and for the second before the group is added."""
+def bin_of(token: np.ndarray) -> np.ndarray:
+    """The bin of each token within its class."""
+    return (mix64(token.view(np.uint64)) >> np.uint64(60)).astype(np.int32)
+
+
+def features(seq: Sequence) -> list[list[np.ndarray]]:
+    """Weight rows of each token's features for the three softmax steps; for the second
+    before the group is added."""
     n = len(seq.token)
     place = np.arange(n) - np.repeat(seq.cut[:-1], np.diff(seq.cut))
 
-    def back(k: int) -> np.ndarray:
-        out = np.full(n, START, np.int64)
-        out[k:] = seq.klass[: n - k] if k < n else []
-        out[place < k] = START
+    def back(values: np.ndarray, k: int, start: int) -> np.ndarray:
+        out = np.full(n, start, values.dtype)
+        out[k:] = values[: n - k] if k < n else []
+        out[place < k] = start
         return out
 
-    one, two, three = back(1), back(2), back(3)
-    word = np.zeros(n, np.uint64)
-    word[1:] = seq.token[:-1].view(np.uint64)
-    word[place < 1] = 0
-    word = mix64(word) >> np.uint64(20)
+    klass = seq.klass.astype(np.int64)
+    one, two = back(klass, 1, START), back(klass, 2, START)
+    hashed = mix64(seq.token.view(np.uint64)) >> np.uint64(20)
+    word, skipped = back(hashed, 1, 0), back(hashed, 2, 0)
     pair = (mix64((one * 1009 + two).astype(np.uint64)) % np.uint64(7168)).astype(np.int64) + 1024
-    first = [np.zeros(n, np.int64), 1 + one, 300 + two, 600 + three, pair, 8192 + (word % np.uint64(8192)).astype(np.int64)]
-    second = [np.zeros(n, np.int64), WIDTH * (1 + one), WIDTH * (260 + two), WIDTH * (520 + (word % np.uint64(ROWS_2 // WIDTH - 520)).astype(np.int64))]
-    return first, second
+    first = [one, 300 + two, pair, 8192 + (word % np.uint64(8192)).astype(np.int64)]
+    second = [WIDTH * one, WIDTH * (520 + (word % np.uint64(ROWS[1] // WIDTH - 520)).astype(np.int64))]
+    own = klass.astype(np.uint64) << np.uint64(44)
+    with_class = lambda x, salt: (mix64(x ^ own ^ np.uint64(salt)) % np.uint64(ROWS[2])).astype(np.int64)
+    third = [with_class(word, 0), with_class(skipped, 1 << 60)]
+    return [first, second, third]
+
+
+def steps(seq: Sequence, at: slice | np.ndarray, rows: list[list[np.ndarray]]) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Weight rows, prior row and target of each softmax step for some of the tokens."""
+    klass = seq.klass[at]
+    group = klass >> 4
+    first, second, third = ([f[at] for f in step] for step in rows)
+    return [(first, np.zeros_like(klass), group), ([f + group for f in second], group, klass & 15), (third, klass, seq.bin[at])]
 
 
-def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
+def priors(mass: np.ndarray) -> list[np.ndarray]:
+    """Log shares of groups, of classes in a group and of bins in a class, from the mass of
+    each class and bin: what the weights of the history start from."""
+    bins = mass.reshape(CLASSES, WIDTH).astype(np.float64)
+    out = [bins.sum(1).reshape(WIDTH, WIDTH).sum(1)[None], bins.sum(1).reshape(WIDTH, WIDTH), bins]
+    return [np.log(x / x.sum(1, keepdims=True)).astype(np.float32) for x in out]
+
+
+def _softmax(table: np.ndarray, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
+    z = prior
+    for r in rows:
         z = z + table[r]
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
@@ -89,28 +118,29 @@ def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 
 
 class Trainer:
-    """AdaGrad over the tokens of one task, in batches."""
+    """AdaGrad over the tokens of one task, in batches; the prior is of the tokens so far."""
 
     def __init__(self) -> None:
-        self.weights = [np.zeros((ROWS_1, WIDTH), np.float32), np.zeros((ROWS_2, WIDTH), np.float32)]
-        self.squares = [np.full((ROWS_1, WIDTH), 1e-3, np.float32), np.full((ROWS_2, WIDTH), 1e-3, np.float32)]
+        self.weights = [np.zeros((n, WIDTH), np.float32) for n in ROWS]
+        self.squares = [np.ones((n, WIDTH), np.float32) for n in ROWS]
+        self.mass = np.ones(CLASSES * WIDTH)
+        self.tokens = 0
 
     def learn(self, seq: Sequence, chosen: np.ndarray) -> None:
-        first, second = features(seq)
-        group, member = seq.klass >> 4, seq.klass & 15
-        chosen = np.flatnonzero(chosen)
+        rows, chosen = features(seq), np.flatnonzero(chosen)
+        self.tokens += len(chosen)
         for low in range(0, len(chosen), BATCH):
             at = chosen[low : low + BATCH]
-            self._step(0, [f[at] for f in first], group[at])
-            self._step(1, [f[at] + group[at] for f in second], member[at])
+            self.mass += np.bincount(seq.klass[at] * WIDTH + seq.bin[at], minlength=CLASSES * WIDTH)
+            for level, (step, prior) in enumerate(zip(steps(seq, at, rows), priors(self.mass), strict=True)):
+                self._step(level, step[0], prior[step[1]], step[2])
 
-    def _step(self, level: int, rows: list[np.ndarray], target: np.ndarray) -> None:
+    def _step(self, level: int, rows: list[np.ndarray], prior: np.ndarray, target: np.ndarray) -> None:
         weights, squares = self.weights[level], self.squares[level]
-        grad = _softmax(weights, rows)
+        grad = _softmax(weights, rows, prior)
         grad[np.arange(len(target)), target] -= 1
-        grad /= len(target)
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r.astype(np.uint16), kind="stable")
             ordered = r[order]
             start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
             total = np.add.reduceat(grad[order], start, axis=0)
@@ -120,24 +150,24 @@ class Trainer:
 
 
 class Model(NamedTuple):
-    """``share``: log10 of the denominator of a word's share in its class, by class."""
+    """``share``: log10 of the denominator of a word's share in its bin, by class and bin."""
 
     weights: list[np.ndarray]
+    prior: list[np.ndarray]
     share: np.ndarray
     tokens: int
     distinct: int
 
-    def class_scores(self, seq: Sequence) -> np.ndarray:
-        """log10 P(class | history) of each token."""
-        first, second = features(seq)
-        group, member = seq.klass >> 4, seq.klass & 15
+    def history_scores(self, seq: Sequence) -> np.ndarray:
+        """log10 P(class and bin | history) of each token; the end has a class with one bin."""
+        rows = features(seq)
         out = np.zeros(len(seq.token))
         for low in range(0, len(out), 4 * BATCH):
             part = slice(low, low + 4 * BATCH)
-            each = np.arange(len(group[part]))
-            p = _softmax(self.weights[0], [f[part] for f in first])[each, group[part]]
-            q = _softmax(self.weights[1], [f[part] + group[part] for f in second])[each, member[part]]
-            out[part] = np.log10(np.maximum(p.astype(np.float64), 1e-30)) + np.log10(np.maximum(q.astype(np.float64), 1e-30))
+            each = np.arange(len(seq.klass[part]))
+            for level, (own, before, target) in enumerate(steps(seq, part, rows)):
+                p = np.log10(np.maximum(_softmax(self.weights[level], own, self.prior[level][before])[each, target].astype(np.float64), 1e-30))
+                out[part] += np.where(seq.klass[part] == 0, 0.0, p) if level == 2 else p
         return out
 
     def score(self, seq: Sequence, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +175,7 @@ class Model(NamedTuple):
         cut = seq.cut[:-1]
         plus = np.log10(count + 1.0)
         base = plus - np.log10(self.tokens + self.distinct + 1.0)
-        own = self.class_scores(seq) + plus - self.share[seq.klass]
+        own = self.history_scores(seq) + plus - self.share[seq.klass * WIDTH + seq.bin]
         return np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(own, cut)
 
 
@@ -153,7 +183,7 @@ def _gather(docs: DataFrame) -> DataFrame:
     """One pass: per block the distinct tokens with their training counts, and per task its weights."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, learned = Trainer(), False
+        trainer = Trainer()
         names = ["block", "token", "class", "n", "weights"]
         for batch in stream:
             blocks = batch.column(0).to_numpy(zero_copy_only=False)
@@ -165,7 +195,6 @@ def _gather(docs: DataFrame) -> DataFrame:
                 train = np.repeat(trains[low:high], size)
                 if train.any():
                     trainer.learn(seq, train)
-                    learned = True
                 edges = np.r_[0, np.flatnonzero(np.diff(blocks[low:high])) + 1, high - low]
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     part = slice(int(seq.cut[a]), int(seq.cut[b]))
@@ -176,9 +205,9 @@ def _gather(docs: DataFrame) -> DataFrame:
                     part = slice(low, low + 100_000)
                     size = len(token[part])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.array(token[part]), pa.array(klass[part]), pa.array(n[part]), pa.nulls(size, pa.binary())], names)
-        if learned:
+        if trainer.tokens:
             packed = b"".join(w.astype(np.float16).tobytes() for w in trainer.weights)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([trainer.tokens]), pa.array([packed], pa.binary())], names)
 
     return docs.mapInArrow(batches, "block long, token long, class int, n long, weights binary")
 
@@ -191,23 +220,23 @@ def _distinct(token: np.ndarray, klass: np.ndarray, n: np.ndarray) -> tuple[np.n
 
 
 def _averaged(weights: DataFrame, tasks: int) -> list[np.ndarray]:
-    """The mean of all tasks' weights: sums in about sqrt(tasks) tasks, then in one, each holding one running sum."""
-    size = (ROWS_1 + ROWS_2) * WIDTH
+    """The mean of all tasks' weights, by the tokens they saw: sums in about sqrt(tasks)
+    tasks, then in one, each holding one running sum."""
+    size = sum(ROWS) * WIDTH
 
     def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(size), 0
+        total, tokens = np.zeros(size), 0
         for batch in stream:
             for packed, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = packed.as_buffer()
-                total += np.frombuffer(data, np.float16 if data.size == 2 * size else np.float32)
-                rows += n
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([rows], pa.int64())], ["weights", "n"])
+                total += np.frombuffer(packed.as_buffer(), np.float16 if packed.as_buffer().size == 2 * size else np.float32).astype(np.float64) * n
+                tokens += n
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "n"])
 
-    parts = weights.select("weights", F.lit(1).cast("long").alias("n")).repartition(max(1, int(tasks**0.5))).mapInArrow(add, "weights binary, n long")
+    parts = weights.repartition(max(1, int(tasks**0.5))).mapInArrow(add, "weights binary, n long")
     row = parts.repartition(1).mapInArrow(add, "weights binary, n long").first()
-    flat = np.frombuffer(row["weights"], np.float32) / row["n"] if row else np.zeros(size, np.float32)
-    return [flat[: ROWS_1 * WIDTH].reshape(ROWS_1, WIDTH).astype(np.float32), flat[ROWS_1 * WIDTH :].reshape(ROWS_2, WIDTH).astype(np.float32)]
+    flat = np.frombuffer(row["weights"], np.float32) if row else np.zeros(size, np.float32)
+    return [x.reshape(-1, WIDTH) for x in np.split(flat, np.cumsum(ROWS)[:-1] * WIDTH)]
 
 
 def train_and_score(df: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -228,15 +257,24 @@ def train_and_score(df: DataFrame, trains: Column, id_col: str = "doc_id", text_
     gathered = written(_gather(docs.select("block", "trained", "text")), "words")
     parts = gathered.filter("block is not null").select("block", "token", "class", "n")
     counts = parts.groupBy("token").agg(F.max("class").alias("class"), F.sum("n").alias("count"))
-    by_class = counts.groupBy("class").agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).collect()  # one row per class
-    tasks = gathered.filter("weights is not null").select("weights")
-    tokens, distinct = sum(r["n"] for r in by_class), sum(r["v"] for r in by_class)
-    share = np.zeros(CLASSES)
-    for r in by_class:
-        share[r["class"]] = np.log10(r["n"] + r["v"] + 1.0)
-    # at the end of a text no other word is possible: the class has one member
-    share[0] = np.log10(next((r["n"] for r in by_class if r["class"] == 0), 0) + 1.0)
-    model = df.sparkSession.sparkContext.broadcast(Model(_averaged(tasks, tasks.count()), share, tokens, distinct))  # 5 MB, whatever the input
+
+    def with_bins(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CLASSES * WIDTH, 2), np.int64)
+        for batch in stream:
+            token, klass, count = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at = klass.astype(np.int64) * WIDTH + bin_of(token)
+            np.add.at(sums, at, np.stack([count, count > 0], 1))
+        used = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used, 0]), pa.array(sums[used, 1])], ["bin", "n", "v"])
+
+    by_bin = counts.select("token", "class", "count").mapInArrow(with_bins, "bin long, n long, v long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # one row per class and bin
+    tasks = gathered.filter("weights is not null").select("weights", "n")
+    tokens, distinct = sum(r["n"] for r in by_bin), sum(r["v"] for r in by_bin)
+    mass = np.ones(CLASSES * WIDTH)
+    for r in by_bin:
+        # at the end of a text no other word is possible: its class has one member
+        mass[r["bin"]] += r["n"] + (r["v"] if r["bin"] >= WIDTH else 0)
+    model = df.sparkSession.sparkContext.broadcast(Model(_averaged(tasks, tasks.count()), priors(mass), np.log10(mass), tokens, distinct))  # 7 MB, whatever the input
     known = parts.select("block", "token").join(counts.select("token", "count"), "token")
     kind = df.schema[id_col].dataType.simpleString()
     names = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
