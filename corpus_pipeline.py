@@ -45,7 +45,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Trained models and xxhash fingerprints are beyond SQL; tests hold each stage against brute force.
+#: Trained models and xxhash fingerprints are beyond SQL. Tests hold the operators that the stages
+#: call against brute force or held-out rows, and the stages' rows against those they were given.
 ORACLE_SQL = None
 
 
