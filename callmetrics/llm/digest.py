@@ -140,34 +140,32 @@ def wide_hash(text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), text)), 16, "0")))
 
 
-def collisions(docs: DataFrame) -> DataFrame | None:
-    """(hash, canon, place) for different texts of one hash, places 2, 3, ... by text;
-    None if there are none.
+def collisions(hashed: DataFrame) -> DataFrame | None:
+    """(hash, canon, place) for different canonical texts of one hash, places 2, 3, ... by
+    text; None if there are none.
 
-    Grouping by hash and text compares the bytes of equal hashes and combines before it
-    shuffles, so a text with a third of all rows is one row of each task. Texts are
-    shuffled once, and again only where hashes do collide.
+    ``hashed`` is a written table of (text, hash). Hashes of one row need no comparison;
+    texts of the others are made canonical again and grouped by hash and bytes. That
+    combines before it shuffles, so a text with a third of all rows is one row of each task.
     """
-    hashed = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", wide_hash(F.col("canon")))
-    texts = hashed.groupBy("hash", "canon").agg(F.count("*").alias("rows"))
-    several = written(texts.groupBy("hash").agg(F.count("*").alias("texts")).filter("texts > 1").select("hash"), "collisions")
-    if several.isEmpty():
+    repeated = written(hashed.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("hash"), "repeated")
+    canon = hashed.select("hash", "text").join(repeated, "hash", "left_semi").select("hash", canonical(F.col("text")).alias("canon"))
+    texts = written(canon.groupBy("hash", "canon").agg(F.count("*").alias("rows")).withColumn("texts", F.count("*").over(Window.partitionBy("hash"))).filter("texts > 1").select("hash", "canon"), "collisions")
+    if texts.isEmpty():
         return None
-    differing = hashed.join(several, "hash", "left_semi").distinct()
     order = Window.partitionBy("hash").orderBy("canon")
-    return written(differing.withColumn("place", F.row_number().over(order)).filter("place > 1"), "collisions")
+    return written(texts.withColumn("place", F.row_number().over(order)).filter("place > 1"), "collisions")
 
 
-def with_fingerprints(df: DataFrame, canon_col: str, out: str, places: DataFrame | None) -> DataFrame:
-    """Adds ``out``: the wide hash of a canonical text, followed by its place if different
-    texts share that hash (``places`` from collisions()). Equal texts get equal
+def with_places(df: DataFrame, text_col: str, hash_col: str, places: DataFrame | None) -> DataFrame:
+    """Makes the hashes of ``hash_col`` fingerprints: followed by the place of the text if
+    different texts share a hash (``places`` from collisions()). Equal texts get equal
     fingerprints and different texts different ones."""
-    hashed = df.withColumn(out, wide_hash(F.col(canon_col)))
     if places is None:
-        return hashed
-    named = places.select(F.col("hash").alias(out), F.col("canon").alias(canon_col), F.col("place").alias("__place"))
-    joined = hashed.join(named, [out, canon_col], "left")
-    return joined.withColumn(out, F.concat_ws("-", F.col(out), F.col("__place").cast("string"))).drop("__place")
+        return df
+    named = places.select(F.col("hash").alias(hash_col), F.col("canon").alias("__canon"), F.col("place").alias("__place"))
+    joined = df.withColumn("__canon", canonical(F.col(text_col))).join(named, [hash_col, "__canon"], "left")
+    return joined.withColumn(hash_col, F.concat_ws("-", F.col(hash_col), F.col("__place").cast("string"))).drop("__canon", "__place")
 
 
 def exact_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,34 +177,51 @@ def exact_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    return with_fingerprints(docs.withColumn("canon", canonical(F.col("text"))), "canon", "fingerprint", collisions(docs)).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint")
+    hashed = written(docs.withColumn("hash", wide_hash(canonical(F.col("text")))), "hashed")
+    rows = with_places(hashed, "text", "hash", collisions(hashed))
+    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.col("hash").alias("fingerprint"))
 
 
-def followed(docs: DataFrame) -> DataFrame:
-    """Adds ``next_text`` to (doc_id, text): the text of the row after it by descending
-    doc_id (null ids last, ties by text), and for the last row that of the first.
+#: monotonically_increasing_id() numbers the rows of a partition in its lower 33 bits.
+PART_BITS = 33
 
-    Ids are cut into ranges, each one window; the last row of a range takes the first
-    text of the next range, of which there is one for each range.
+
+def numbered_by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hash, part, n) by descending doc_id (null ids last, ties by the first 64
+    characters of the text, then a hash of it): ranges of about equal numbers of rows,
+    whatever the ids, are ``part`` and ``n`` numbers the rows of each from 0. Written, so
+    that numbers stay as they are.
+
+    Rows that repeat both id and text are told apart by their place in the input, so
+    that they too fill several ranges; ``docs`` should come from files.
     """
-    spark = docs.sparkSession
-    least, most, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    if size is None:
-        return docs.withColumn("next_text", F.lit(""))
-    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)
-    cell = F.lit(0) if least is None else F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(least)) / F.lit((most - least + 1) / ranges)))
-    dealt = docs.withColumn("cell", cell.cast("long"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    inside = Window.partitionBy("cell").orderBy(*order)
-    heads = dealt.groupBy("cell").agg(F.max("doc_id").alias("head"))
-    # one row per range
-    along = Window.orderBy(F.col("cell").desc())
-    first = F.first("head").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.row_number().over(Window.orderBy("cell")) == 1
-    heads = written(heads.select("cell", F.when(last, first).otherwise(F.lead("head").over(along)).alias("doc_id")), "heads")
-    texts = dealt.select("doc_id", "text").join(heads, dealt["doc_id"].eqNullSafe(heads["doc_id"])).groupBy(heads["cell"]).agg(F.min("text").alias("head_text"))
-    follow = dealt.withColumn("next_text", F.lead("text").over(inside))
-    return follow.join(texts, "cell", "left").select("doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"))
+    placed = docs.withColumn("start", F.substring("text", 1, 64)).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").desc_nulls_last(), F.col("start"), F.col("tie"), F.col("place")]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+    dealt = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = dealt.select("doc_id", "text", F.monotonically_increasing_id().alias("id")).withColumn("hash", wide_hash(canonical(F.col("text"))))
+    part = F.shiftright("id", PART_BITS)
+    return written(rows.select("doc_id", "text", "hash", part.alias("part"), (F.col("id") - F.shiftleft(part, PART_BITS)).alias("n")), "numbered")
+
+
+def followed(rows: DataFrame) -> DataFrame:
+    """Adds ``next_text`` and ``next_hash`` to the rows of numbered_by_id(): those of the row
+    after it, and for the last row those of the first.
+
+    Each range is one window; its last row takes the first row of the next range, of
+    which there is one for each range.
+    """
+    inside = Window.partitionBy("part").orderBy("n")
+    heads = rows.filter("n = 0").select("part", F.struct("text", "hash").alias("head"))
+    # one row per range, without its text
+    along = Window.orderBy("part")
+    first = F.first("part").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    onward = rows.filter("n = 0").select("part").select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(along), first).alias("part"))
+    heads = written(heads.join(onward, "part").select(F.col("before").alias("part"), "head"), "heads")
+    led = rows.withColumn("next", F.lead(F.struct("text", "hash")).over(inside))
+    follow = led.join(heads, "part", "left").withColumn("next", F.coalesce("next", "head"))
+    return follow.select("doc_id", "text", "hash", F.col("next.text").alias("next_text"), F.col("next.hash").alias("next_hash"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -225,10 +240,16 @@ def edited_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows; a sole document is its own next.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = followed(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.transform(F.array("text", "edited", "next_text"), canonical).alias("canon"))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", F.col("canon")[0].alias("canon"), F.col("canon")[1].alias("edited_canon"), F.col("canon")[2].alias("next_canon"))
-    likeness = lambda other: F.when(F.col("canon") == F.col(other), 1.0).otherwise(0.0)
-    rows = with_fingerprints(rows, "canon", "fingerprint", collisions(docs))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", wide_hash(F.col("edited_canon")).alias("edited_fingerprint"), likeness("edited_canon").alias("near_edited"), likeness("next_canon").alias("near_next"))
+    docs = numbered_by_id(df.select(F.col(id_col).alias("doc_id"), text.alias("text")))
+    places = collisions(docs)
+    rows = followed(docs).withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_hash", wide_hash(canonical(F.col("edited"))))
+
+    def likeness(other: str) -> Column:  # bytes are compared where hashes are equal
+        same = F.transform(F.array("text", other), canonical)
+        return F.when(F.col("hash") != F.col("edited_hash" if other == "edited" else "next_hash"), 0.0).when(_once(same, lambda t: t[0] == t[1]), 1.0).otherwise(0.0)
+
+    rows = rows.withColumn("near_edited", likeness("edited")).withColumn("near_next", likeness("next_text"))
+    rows = with_places(with_places(rows, "text", "hash", places), "edited", "edited_hash", places)
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"), "near_edited", "near_next"
+    )

@@ -153,6 +153,32 @@ def test_edited_digests(spark, docs, odd):
     assert digest.edited_digests(docs.limit(0)).count() == 0 and digest.edited_digests(odd).count() == len(ODD)
 
 
+def test_next_document_for_ids_of_any_kind(spark):
+    far = [(i, f"text {i % 7}") for i in range(300)] + [(10**15, "far"), (-(10**15), "low")] + [(None, f"none {i}") for i in range(200)]
+    shared = [(5, f"same id {i}") for i in range(300)] + [(5, "repeat")] * 300 + [(4, "after")]
+    named = [(f"id {i}", f"Text {i % 3}") for i in range(50)] + [(None, "none")]
+    for rows, kind in ((far, "long"), (shared, "long"), (named, "string")):
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        numbered = digest.numbered_by_id(df)
+        assert numbered.count() == len(rows) and numbered.groupBy("part").count().agg(F.max("count")).first()[0] < len(rows) / 4
+        got = digest.followed(numbered).collect()
+        # next texts are the texts once each, and the ids descend around the circle
+        assert Counter(r.next_text for r in got) == Counter(t for _, t in rows)
+        sole = {t: i for i, t in rows} if len({t for _, t in rows}) == len(rows) else {}
+        ids = sorted({i for i, _ in rows if i is not None}, reverse=True) + [None] * any(i is None for i, _ in rows)
+        text_of = {}
+        for i, t in rows:
+            text_of.setdefault(i, set()).add(t)
+        for r in got:
+            after = ids[(ids.index(r.doc_id) + 1) % len(ids)]
+            assert r.next_text in text_of[after] or r.next_text in text_of[r.doc_id]
+            assert not sole or sole[r.next_text] in (after, r.doc_id)
+        want = digest.exact_digests(df.select(F.col("text").alias("doc_id"), "text")).dropDuplicates(["doc_id"]).collect()
+        print_of = {r.doc_id: r.fingerprint for r in want}
+        for r in got:
+            assert (r.hash, r.next_hash) == (print_of[r.text], print_of[r.next_text])
+
+
 def test_shards_are_even_and_groups_stay_together(spark, docs, odd):
     hot = docs.select("doc_id", "text").union(spark.range(150).selectExpr("id + 90000", "'the same text'"))
     for df in (docs, odd, hot):
