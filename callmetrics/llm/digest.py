@@ -149,7 +149,8 @@ def collisions(hashed: DataFrame) -> DataFrame | None:
     combines before it shuffles, so a text with a third of all rows is one row of each task.
     """
     repeated = written(hashed.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("hash"), "repeated")
-    canon = hashed.select("hash", "text").join(repeated, "hash", "left_semi").select("hash", canonical(F.col("text")).alias("canon"))
+    # hashes that repeat grow with the corpus, so they are never broadcast
+    canon = hashed.select("hash", "text").join(repeated.hint("merge"), "hash", "left_semi").select("hash", canonical(F.col("text")).alias("canon"))
     texts = written(canon.groupBy("hash", "canon").agg(F.count("*").alias("rows")).withColumn("texts", F.count("*").over(Window.partitionBy("hash"))).filter("texts > 1").select("hash", "canon"), "collisions")
     if texts.isEmpty():
         return None
@@ -219,9 +220,10 @@ def followed(rows: DataFrame) -> DataFrame:
     first = F.first("part").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     onward = rows.filter("n = 0").select("part").select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(along), first).alias("part"))
     heads = written(heads.join(onward, "part").select(F.col("before").alias("part"), "head"), "heads")
-    led = rows.withColumn("next", F.lead(F.struct("text", "hash")).over(inside))
-    follow = led.join(heads, "part", "left").withColumn("next", F.coalesce("next", "head"))
-    return follow.select("doc_id", "text", "hash", F.col("next.text").alias("next_text"), F.col("next.hash").alias("next_hash"))
+    # a struct of both would cross the shuffle beside them, with every text a second time
+    led = rows.withColumn("next_text", F.lead("text").over(inside)).withColumn("next_hash", F.lead("hash").over(inside))
+    follow = led.join(heads, "part", "left")
+    return follow.select("doc_id", "text", "hash", F.coalesce("next_text", "head.text").alias("next_text"), F.coalesce("next_hash", "head.hash").alias("next_hash"))
 
 
 def edited(text: Column, other: Column) -> Column:
