@@ -116,10 +116,12 @@ def balanced_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"))
-    base = written(base, "documents")
-    total = base.count()
+    base = written(base.groupBy(*base.columns).agg(F.count("*").alias("repeats")), "documents")
+    total = base.agg(F.coalesce(F.sum("repeats"), F.lit(0))).first()[0]
     order = [F.col("doc_id"), F.col("g1"), F.col("g2")]
-    docs = written(numbered(base, [], order, total, "pos"), "numbered")
+    firsts = numbered(base, [], order, total, "first", "repeats")
+    pos = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("repeats") - 1)).alias("pos")
+    docs = written(firsts.select("doc_id", "size", "text_crc32", "g1", "g2", pos), "numbered")
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     cell_rows = max(1, quota[-1] // CELLS)
     sizes = docs.groupBy("g1", "g2", "size").agg(F.count("*").alias("n")).filter("n > 1")
