@@ -33,8 +33,10 @@ CLASSES = WIDTH * WIDTH
 START = CLASSES
 #: Rows of weights of the three steps; row numbers fit 16 bits, which sort fast.
 ROWS = (1 << 14, 1 << 16, 1 << 15)
-#: Documents whose distinct words are looked up together.
-BLOCK_DOCS = 4096
+#: Documents whose distinct words are looked up together, and bytes of one of them at most;
+#: blocks of longer texts hold fewer.
+BLOCK_DOCS = 8192
+TEXT_BYTES = 32768
 BATCH = 4096
 RATE = 0.3
 END = np.int64(-6148914691236517206)
@@ -179,6 +181,18 @@ class Model(NamedTuple):
         return np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(own, cut)
 
 
+def block_of(text: str, docs: int) -> Column:
+    """The block of each row of a scan: neighbours whose texts are about as long.
+
+    Texts of size class k have at most TEXT_BYTES * 2**k bytes and their blocks ``docs`` / 2**k
+    rows, so that no block is over ``docs`` * TEXT_BYTES bytes, but for a longer text by itself.
+    """
+    over = F.expr(f"(octet_length({text}) - 1) div {TEXT_BYTES}")
+    kind = F.when(over > 0, F.least(F.length(F.bin(over)), F.lit(docs.bit_length()))).otherwise(0)
+    rows = F.greatest(F.call_function("shiftright", F.lit(docs), kind), F.lit(1))
+    return F.call_function("div", F.monotonically_increasing_id(), rows) * 64 + kind
+
+
 def _gather(docs: DataFrame) -> DataFrame:
     """One pass: per block the distinct tokens with their training counts, and per task its weights."""
 
@@ -195,10 +209,9 @@ def _gather(docs: DataFrame) -> DataFrame:
                 train = np.repeat(trains[low:high], size)
                 if train.any():
                     trainer.learn(seq, train)
-                edges = np.r_[0, np.flatnonzero(np.diff(blocks[low:high])) + 1, high - low]
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    part = slice(int(seq.cut[a]), int(seq.cut[b]))
-                    found.setdefault(int(blocks[low + a]), []).append(_distinct(seq.token[part], seq.klass[part], train[part].astype(np.int64)))
+                for block in np.unique(blocks[low:high]):
+                    own = np.repeat(blocks[low:high] == block, size)
+                    found.setdefault(int(block), []).append(_distinct(seq.token[own], seq.klass[own], train[own].astype(np.int64)))
             for block, parts in found.items():
                 token, klass, n = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 for low in range(0, len(token), 100_000):
@@ -251,9 +264,12 @@ def train_and_score(df: DataFrame, trains: Column, id_col: str = "doc_id", text_
     hashes.
 
     Counts never meet in one place: each block of documents sends its distinct words,
-    gets their counts back, and is scored next to them.
+    gets their counts back, and is scored next to them. Rows are known by their place in
+    ``df``, which is read twice: give a scan of files, or a table written before.
     """
-    docs = df.select(F.floor(F.monotonically_increasing_id() / block_docs).alias("block"), F.coalesce(trains, F.lit(False)).alias("trained"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
+    marked = F.coalesce(trains, F.lit(False)).alias("trained")
+    texts = df.select(marked, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
+    docs = texts.select(block_of("text", block_docs).alias("block"), "trained", "text", "doc_id")
     gathered = written(_gather(docs.select("block", "trained", "text")), "words")
     parts = gathered.filter("block is not null").select("block", "token", "class", "n")
     counts = parts.groupBy("token").agg(F.max("class").alias("class"), F.sum("n").alias("count"))

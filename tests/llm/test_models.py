@@ -174,6 +174,15 @@ def test_scores_against_brute_force(spark, docs, odd):
     assert maxent.train_and_score(docs.limit(0), trains).count() == 0
 
 
+def test_blocks_are_bounded_by_bytes_and_change_nothing(spark, docs):
+    long = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.repeat("text", F.lit(40))).otherwise(F.col("text")).alias("text"))
+    blocks = long.select(maxent.block_of("text", 16).alias("block"), F.octet_length("text").alias("n")).groupBy("block").agg(F.sum("n").alias("bytes"), F.count("*").alias("rows")).collect()
+    assert all(r.rows == 1 or (r.rows <= 16 and r.bytes <= 16 * maxent.TEXT_BYTES) for r in blocks) and max(r.rows for r in blocks) > 8
+    trains = F.col("doc_id") % 3 != 0
+    scored = [sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in maxent.train_and_score(long, trains, block_docs=n).collect()) for n in (16, 5000)]
+    assert all(a[:3] == b[:3] and a[3] == pytest.approx(b[3]) for a, b in zip(*scored, strict=True))
+
+
 def test_the_model_beats_unigrams_on_held_out_documents(spark):
     held = queries.op5_maxent(spark, MORE).filter("held_out").agg(F.sum("score").alias("own"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
     assert (held.own - held.base) / held.n > 0.15
