@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmetrics.llm import pretokens
 from callmetrics.llm.words import slices
 
 #: Pieces of more bytes than this are merged with a heap.
@@ -39,11 +39,6 @@ KEPT_BYTES = 24 << 20
 ENTRY_BYTES = 320
 NO_PAIR = 1 << 60
 
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-_SPACES = regex.compile(r"\p{White_Space}+")
-#: Separators that str.split() takes for white space though the vocabulary's rule does not.
-_FALSE_SPACES = regex.compile("[\x1c-\x1f]")
-
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary:
@@ -62,6 +57,7 @@ class Vocabulary:
         ids: dict[str, int] = spec["model"]["vocab"]
         suffix = spec["model"]["end_of_word_suffix"] or ""
         letters = byte_letters()
+        self.suffix = suffix
         self.inner = [ids[letters[b]] for b in range(256)]
         self.last = [ids[letters[b] + suffix] for b in range(256)]
         #: By the left part: the rank of its pair with each right part; by rank: the part they make.
@@ -78,6 +74,18 @@ class Vocabulary:
         self.older: dict[str, tuple[bytes, bytes]] = {}
         self.room = KEPT_BYTES
 
+    def spelled(self) -> list[str]:
+        """The texts that tokens with the end-of-word mark spell, where they are valid UTF-8."""
+        byte_of = {letter: b for b, letter in byte_letters().items()}
+        found = []
+        for token in self.tokens.values():
+            if self.suffix and token.endswith(self.suffix) and token not in self.special:
+                try:
+                    found.append(bytes(byte_of[x] for x in token[: -len(self.suffix)]).decode())
+                except (KeyError, UnicodeDecodeError):  # a part of a letter, or no byte letters
+                    continue
+        return found
+
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece."""
         parts = [self.inner[b] for b in data[:-1]]
@@ -126,7 +134,7 @@ class Vocabulary:
     def word(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian 32-bit integers, decoded tokens) of a string without white space."""
         if (found := self.older.get(text)) is None:
-            pieces = _PIECES.findall(text)
+            pieces = pretokens.pieces(text)
             if len(pieces) > 1:
                 made = [self.kept.get(p) or self.word(p) for p in pieces]
                 found = b"".join([m[0] for m in made]), b" ".join([m[1] for m in made])
@@ -154,12 +162,8 @@ class Vocabulary:
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
 
     def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing looks at single letters
-        text = text.lower()
-        words = [w for w in _SPACES.split(text) if w] if _FALSE_SPACES.search(text) else text.split()
         word = self.word
-        return [self.kept.get(w) or word(w) for w in words]
+        return [self.kept.get(w) or word(w) for w in pretokens.words(text)]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens as the vocabulary spells them, joined by one space, special ones too."""
