@@ -242,3 +242,22 @@ def test_pipeline_stages(spark):
             assert len(after) >= 0.99 * len(before)
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name_and_empty_tables(spark, stage):
+    names = ("size", "copies", "target", "taken", "source_size", "lang_pred", "score", "fingerprint", "component_id", "toxic", "hash", "words", "__doc")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in names))
+    out = stage(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    rows = out.select("doc_id", "text", "size", "target", "__doc").collect()
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert rows and all((r.text, r["size"], r.target, r["__doc"]) == (text[r.doc_id], f"size {r.doc_id}", f"target {r.doc_id}", f"__doc {r.doc_id}") for r in rows)
+    assert stage(spark, docs.limit(0), SMALL).collect() == []
+
+
+def test_stages_take_nulls_in_every_column(spark, odd):
+    docs = spark.createDataFrame(ODD, DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= {r[0] for r in ODD}
