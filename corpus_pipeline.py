@@ -3,46 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from callmetrics.llm import bpe, langid, mixing, simhash, toxicity
-from callmetrics.llm.queries import toxicity_chain, vocabulary_path
+from callmetrics.llm import pipeline
 from callmetrics.llm.storage import read_table, written
 
-
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; rejected ones go."""
-    return langid.accepted_only(docs, langid.fit(read_table(spark, sf_dir, "documents")))
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain does not find toxic."""
-    return toxicity.without(docs, toxicity_chain(spark, sf_dir), "toxic")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none, once, or repeated."""
-    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
-    mixed = mixing.systematic_copies(sized).filter("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy in the mix, and digests of them decoded again."""
-    return bpe.encode_decode(docs, vocabulary_path(), digests=True)
-
-
 STAGES = [
-    ("language_id", keep_known_languages),
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("language_id", pipeline.keep_known_languages),
+    ("toxicity", pipeline.drop_toxic),
+    ("near_dedup", pipeline.drop_near_duplicates),
+    ("mixing", pipeline.mix_sources),
+    ("bpe", pipeline.encode),
 ]
 
 #: Trained models and xxhash fingerprints are beyond SQL. Tests hold the operators that the stages
