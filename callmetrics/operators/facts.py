@@ -29,14 +29,42 @@ def turn_facts(ops: DataFrame) -> DataFrame:
 
 
 def call_facts(turns: DataFrame) -> DataFrame:
-    """One row a call, at the time of its first turn."""
+    """One row a call, at the time of its first turn; turns that continue another are none of their own."""
+    exchanges = F.count_if(~F.col("is_continuation")) if "is_continuation" in turns.columns else F.count("*")
     failed = sum((F.col(f"{s}_failed") for s in STAGES[1:]), F.col("stt_failed"))
     return turns.groupBy("session_id").agg(
-        F.first("agent_id").alias("agent_id"), F.min("started_ms").alias("started_ms"), (F.max("ended_ms") - F.min("started_ms")).alias("duration_ms"), F.count("*").alias("turns"),
+        F.first("agent_id").alias("agent_id"), F.min("started_ms").alias("started_ms"), (F.max("ended_ms") - F.min("started_ms")).alias("duration_ms"), exchanges.alias("turns"),
         F.sum(failed).alias("failed_ops"), F.sum("tts_interrupted").alias("interrupted"), F.count_if(F.col("response_ms") >= LAG_MS).alias("lag_turns"), F.count("response_ms").alias("measured"), F.max("response_ms").alias("max_response_ms"),
+        *(F.sum(f"{s}_failed").alias(f"{s}_failed") for s in STAGES),
     )
 
 
+def _with_defaults(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
+    return df.select("*", *(F.lit(value).cast(kind).alias(c) for c, (kind, value) in defaults.items() if c not in df.columns))
+
+
+#: What facts of other sources may lack, and what stands for it.
+_TURN_DEFAULTS: dict[str, tuple[str, object]] = {
+    **{c: ("boolean", False) for c in ("is_continuation", "has_continuation", "inferred_reply", "stt_missing_final", "stt_forced_flush", *(f"{s}_split" for s in STAGES))},
+    **{c: ("long", None) for c in ("stt_first_partial_ms", "stt_endpoint_delay_ms", "stt_final_ms", "llm_ttft_ms", "llm_completion_ms", "tts_first_audio_ms", "tts_synthesis_ms", "tool_total_ms")},
+    **{f"{s}_{c}": ("string", None) for s in STAGES[:3] for c in ("provider", "model")},
+}
+_CALL_DEFAULTS: dict[str, tuple[str, object]] = {
+    **{c: ("string", None) for c in ("environment", "agent_version", "sdk_language")}, "outcome": ("string", "unknown"), "status": ("string", "ready"), "capture_incomplete": ("boolean", False),
+    **{c: ("long", 0) for c in ("missing_final_turns", "inferred_reply_turns", "split_turns", *(f"{s}_failed" for s in STAGES))},
+}
+
+
+def complete_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` with every column that reports read; what was not captured is NULL or false."""
+    return _with_defaults(turns, _TURN_DEFAULTS)
+
+
+def complete_calls(calls: DataFrame) -> DataFrame:
+    """``calls`` with every column that reports read."""
+    return _with_defaults(calls, _CALL_DEFAULTS)
+
+
 def tool_facts(ops: DataFrame) -> DataFrame:
     tools = flagged(ops).filter("stage = 'tool'")
     name = F.substring(F.coalesce("tool_name", F.lit("unnamed")), 1, 120)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmetrics.functions.scalars import bucket_floor
+from callmetrics.functions.scalars import LAG_MS, bucket_floor
 from callmetrics.sources.shared import checkpointed
 
 # Sample counts below which a figure is no claim, and the sketch's base.
@@ -64,77 +64,102 @@ def sketch_index(value: Column) -> Column:
 
 
 def sketch_build(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A sketch as rows (keys, idx, weight); idx -1 holds the zeros. 1 % relative error."""
-    return df.withColumn("idx", sketch_index(F.col(value))).filter("idx is not null").groupBy(*keys, "idx").agg(F.count("*").alias("weight"))
+    """A sketch as rows (keys, idx, weight, total, least, greatest); idx -1 holds the
+    zeros. 1 % relative error; count, sum and extremes are exact, as each bucket keeps its own."""
+    at = sketch_index(F.col(value))
+    return df.withColumn("idx", at).filter("idx is not null").groupBy(*keys, "idx").agg(
+        F.count("*").alias("weight"), F.sum(F.col(value).cast("double")).alias("total"), F.min(F.col(value).cast("double")).alias("least"), F.max(F.col(value).cast("double")).alias("greatest")
+    )
+
+
+def sketch_sums() -> list[Column]:
+    """What merges buckets of one index."""
+    return [F.sum("weight").alias("weight"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("greatest").alias("greatest")]
 
 
 def sketch_merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of weights; merging in any order gives the same rows."""
-    return sketches.groupBy(*keys, "idx").agg(F.sum("weight").alias("weight"))
+    """Merging in any order gives the same rows."""
+    return sketches.groupBy(*keys, "idx").agg(*sketch_sums())
 
 
-def sketch_quantile(sketches: DataFrame, keys: list[str], p: float) -> DataFrame:
-    """The value of the bucket that holds the nearest rank; 0.0 among the zeros."""
-    order = Window.partitionBy(*keys).orderBy("idx")
-    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("weight").over(Window.partitionBy(*keys))
-    hit = sketches.withColumn("__upto", upto).withColumn("__n", total).filter(F.col("__upto") >= F.ceil(F.col("__n") * F.lit(p)))
-    value = F.when(F.min("idx") == -1, 0.0).otherwise(F.round(2 * F.exp(F.min("idx") * F.lit(LN_GAMMA)) / (F.exp(F.lit(LN_GAMMA)) + 1), 6))
-    return hit.groupBy(*keys).agg(value.alias("quantile"), F.max("__n").alias("n"))
-
-
-def hourly_rollup(turns: DataFrame, width: int = HOUR_MS) -> DataFrame:
-    """Counters of each bucket and agent, and of each bucket over all agents."""
-    t = turns.withColumn("bucket_ms", bucket_floor(F.col("started_ms"), width))
-    b, a = F.col("bucket_ms"), F.col("agent_id")
-    rolled = t.groupingSets([[b, a], [b]], b, a).agg(
-        F.grouping("agent_id").alias("__all"), F.count("*").alias("turns"), F.countDistinct("session_id").alias("calls"), F.sum(F.expr(FAILED)).alias("failed_ops"),
-        F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= 3000).alias("lag_turns"), F.sum("tts_interrupted").alias("interrupted"),
-    )
-    return rolled.withColumn("agent_id", F.when(F.col("__all") == 1, ALL_AGENTS).otherwise(F.col("agent_id"))).drop("__all")
+def sketch_value(idx: Column) -> Column:
+    """The value that is as far, relatively, from both ends of a bucket; 0.0 for the zeros."""
+    return F.when(idx == -1, 0.0).otherwise(2 * F.exp(idx * F.lit(LN_GAMMA)) / (F.exp(F.lit(LN_GAMMA)) + 1))
 
 
-def metric_rollup(turns: DataFrame, metrics: list[str], width: int = HOUR_MS) -> DataFrame:
-    """A sketch of each metric by bucket and agent, and over all agents."""
-    long = turns.select(bucket_floor(F.col("started_ms"), width).alias("bucket_ms"), "agent_id", *metrics).unpivot(["bucket_ms", "agent_id"], metrics, "metric", "value").filter("value is not null")
-    both = long.withColumn("agent_id", F.explode(F.array("agent_id", F.lit(ALL_AGENTS))))
-    return sketch_build(both, ["bucket_ms", "agent_id", "metric"], "value")
+def sketch_ranks(sketches: DataFrame, keys: list[str], fractions: dict[str, float]) -> DataFrame:
+    """(keys, the value at each nearest rank, n, total, least, greatest) of merged sketches; a
+    value lies between the least and the greatest that the sketch has seen."""
+    own = Window.partitionBy(*keys)
+    ranked = sketch_merge(sketches, keys).withColumn("__upto", F.sum("weight").over(own.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("weight").over(own))
+    reached = lambda p: F.min(F.when(F.col("__upto") >= F.ceil(F.round(F.col("__n") * F.lit(p), 9)), F.col("idx")))
+    found = ranked.groupBy(*keys).agg(F.sum("weight").alias("n"), *(reached(p).alias(name) for name, p in fractions.items()), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("total").alias("total"))
+    inside = lambda name: F.greatest(F.col("least"), F.least(F.col("greatest"), sketch_value(F.col(name))))
+    return found.select(*keys, "n", *(inside(name).alias(name) for name in fractions), "least", "greatest", "total")
 
 
-def range_totals(rollup: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
-    """Sums over the buckets that begin in the range. Calls of different buckets may
-    be the same, so their sum is an upper bound and says so."""
-    inside = rollup.filter((F.col("bucket_ms") >= start_ms) & (F.col("bucket_ms") < end_ms))
-    return inside.groupBy("agent_id").agg(*(F.sum(c).alias(c) for c in ("turns", "failed_ops", "measured", "lag_turns", "interrupted")), F.least(F.sum("calls"), F.sum("turns")).alias("calls_at_most"), F.lit(True).alias("calls_upper_bound"))
+def sketch_quantile(sketches: DataFrame, keys: list[str], p: float) -> DataFrame:
+    """The value at the nearest rank, and how many there are."""
+    return sketch_ranks(sketches, keys, {"quantile": p}).select(*keys, F.round("quantile", 6).alias("quantile"), "n")
 
 
-def trend(turns: DataFrame, calls: DataFrame, start_ms: int, end_ms: int, width: int) -> DataFrame:
-    """Every bucket of the range, empty ones too: calls started, turns, failures, lag."""
-    spine = turns.sparkSession.range(start_ms // width * width, end_ms, width).select(F.col("id").alias("bucket_ms"))
-    inside = lambda df: df.filter((F.col("started_ms") >= start_ms) & (F.col("started_ms") < end_ms)).withColumn("bucket_ms", bucket_floor(F.col("started_ms"), width))
-    t = inside(turns).groupBy("bucket_ms").agg(F.count("*").alias("turns"), F.sum(F.expr(FAILED)).alias("failed_ops"), F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= 3000).alias("lag_turns"))
-    c = inside(calls).groupBy("bucket_ms").agg(F.count("*").alias("calls_started"))
-    return spine.join(t, "bucket_ms", "left").join(c, "bucket_ms", "left").na.fill(0)
+def sketch_summary(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of distribution() from sketches, in whole milliseconds."""
+    found = sketch_ranks(sketches, keys, {f"p{p}": p / 100 for p in (50, 90, 95, 99)})
+    n, whole = F.col("n"), lambda c: F.bround(c).cast("double")
+    return found.select(
+        *keys, "n", *(whole(F.col(c)).alias(c) for c in ("p50", "p90", "p95", "p99", "least", "greatest")), whole(F.col("total") / n).alias("mean"),
+        (n >= MIN_P50).alias("p50_confident"), (n >= MIN_P95).alias("p95_confident"), (n >= MIN_STABLE).alias("p95_stable"),
+    )
+
+
+def change(now: dict[str, Column], before: dict[str, Column]) -> Column:
+    """{available, reason, previous, current, absolute, relative} between two periods'
+    n and value (a percentile); claimed only where both have MIN_DELTA samples."""
+    none = (F.coalesce(now["n"], F.lit(0)) == 0) | (F.coalesce(before["n"], F.lit(0)) == 0)
+    few = (now["n"] < MIN_DELTA) | (before["n"] < MIN_DELTA)
+    reason = F.when(none, "no_previous_period").when(few, "below_minimum_sample").when(F.coalesce(before["value"], F.lit(0)) == 0, "no_previous_period")
+    ok = reason.isNull()
+    return F.struct(
+        ok.alias("available"), reason.alias("reason"), F.when(ok, before["value"]).alias("previous"), F.when(ok, now["value"]).alias("current"),
+        F.when(ok, now["value"] - before["value"]).alias("absolute"), F.when(ok, F.round((now["value"] - before["value"]) / before["value"], 6)).alias("relative"),
+    )
 
 
 def period_delta(turns: DataFrame, start_ms: int, end_ms: int, metric: str = "response_ms") -> DataFrame:
-    """Mean of a metric by agent now and in the equal window before; a change only
-    where both have MIN_DELTA samples."""
+    """p50 and p95 of a metric by agent, now and in the equal window before, and how they changed."""
     span = end_ms - start_ms
     period = F.when((F.col("started_ms") >= start_ms) & (F.col("started_ms") < end_ms), "now").when((F.col("started_ms") >= start_ms - span) & (F.col("started_ms") < start_ms), "before")
     tagged = turns.withColumn("period", period).filter("period is not null")
-    pick = lambda p: F.when(F.col("period") == p, F.col(metric))
-    out = tagged.groupBy("agent_id").agg(F.count(pick("now")).alias("n_now"), F.count(pick("before")).alias("n_before"), F.round(F.avg(pick("now")), 6).alias("now"), F.round(F.avg(pick("before")), 6).alias("before"))
-    enough = (F.col("n_now") >= MIN_DELTA) & (F.col("n_before") >= MIN_DELTA)
-    return out.withColumn("available", enough).withColumn("change", F.when(enough, F.round(F.col("now") - F.col("before"), 6)))
+    stats = nearest_ranks(value_counts(tagged, ["agent_id", "period"], metric), ["agent_id", "period"], {"p50": 0.5, "p95": 0.95})
+    of = lambda p, c: F.max(F.when(F.col("period") == p, F.col(c)))
+    both = stats.groupBy("agent_id").agg(*(of(p, c).alias(f"{c}_{p}") for p in ("now", "before") for c in ("n", "p50", "p95")))
+    moved = {c: change({"n": F.col("n_now"), "value": F.col(f"{c}_now")}, {"n": F.col("n_before"), "value": F.col(f"{c}_before")}) for c in ("p50", "p95")}
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return both.select("agent_id", count("n_now"), count("n_before"), moved["p50"].alias("change"), moved["p95"].alias("change_p95")).select("agent_id", "n_now", "n_before", "change.*", F.col("change_p95.absolute").alias("absolute_p95"), F.col("change_p95.relative").alias("relative_p95"))
+
+
+def trend(turns: DataFrame, calls: DataFrame, start_ms: int, end_ms: int, width: int) -> DataFrame:
+    """Every bucket of the range, empty ones too: calls that began in it, exchanges,
+    failures, lag, and nearest-rank p50 and p95 of the reply latency of its turns."""
+    spine = turns.sparkSession.range(start_ms // width * width, end_ms, width).select(F.col("id").alias("bucket_ms"))
+    inside = lambda df: df.filter((F.col("started_ms") >= start_ms) & (F.col("started_ms") < end_ms)).withColumn("bucket_ms", bucket_floor(F.col("started_ms"), width))
+    exchanges = F.count_if(~F.col("is_continuation")) if "is_continuation" in turns.columns else F.count("*")
+    own = inside(turns)
+    t = own.groupBy("bucket_ms").agg(exchanges.alias("turns"), F.sum(F.expr(FAILED)).alias("failed_ops"), F.count_if(F.col("response_ms") >= LAG_MS).alias("lag_turns"))
+    p = nearest_ranks(value_counts(own, ["bucket_ms"], "response_ms"), ["bucket_ms"], {"p50": 0.5, "p95": 0.95}).select("bucket_ms", F.col("n").alias("measured"), "p50", "p95")
+    c = inside(calls).groupBy("bucket_ms").agg(F.count("*").alias("calls"))
+    found = spine.join(t, "bucket_ms", "left").join(p, "bucket_ms", "left").join(c, "bucket_ms", "left")
+    return found.na.fill(0, ["turns", "failed_ops", "lag_turns", "measured", "calls"])
 
 
 def tool_summary(tools: DataFrame) -> DataFrame:
-    """By tool: invocations, calls, failures, timeouts, p95; ranked only from MIN_TOOL on."""
-    return tools.groupBy("tool_name").agg(
-        F.count("*").alias("invocations"), F.countDistinct("session_id").alias("calls"), F.count_if("failed").alias("failed"), F.countDistinct(F.when(F.col("failed"), F.col("session_id"))).alias("failed_calls"),
-        F.count_if("timed_out").alias("timeouts"), nearest_rank("duration_ms", 0.5).alias("p50"), nearest_rank("duration_ms", 0.95).alias("p95"), (F.count("*") >= MIN_TOOL).alias("rankable"),
-    )
+    """By tool: invocations, calls, failures, timeouts, p50 and p95 of what was
+    measured; ranked only from MIN_TOOL on. Counted by call first, so no call is distinct twice."""
+    each = tools.groupBy("tool_name", "session_id").agg(F.count("*").alias("invocations"), F.count_if("failed").alias("failed"), F.count_if("timed_out").alias("timed_out"))
+    counts = each.groupBy("tool_name").agg(*(F.sum(c).alias(c) for c in ("invocations", "failed", "timed_out")), F.count("*").alias("calls"), F.count_if(F.col("failed") > 0).alias("failed_calls"))
+    stats = distribution(tools, ["tool_name"], "duration_ms").select("tool_name", F.col("n").alias("measured"), "p50", "p95", "p95_confident")
+    return counts.join(stats, "tool_name").withColumn("rankable", F.col("invocations") >= MIN_TOOL)
 
 
 def failure_summary(failures: DataFrame, limit: int | None = 12) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from callmetrics.functions import text
 from callmetrics.operators import evaluation, facts, measures
 from callmetrics.plans import reports
-from callmetrics.plans.measure_queries import _ALERT, _SCORED_SQL, EDITS_SQL, scored_pairs, words_sql
+from callmetrics.plans.dashboard_queries import ALERT_SQL, FLAT
+from callmetrics.plans.measure_queries import _SCORED_SQL, EDITS_SQL, scored_pairs, words_sql
 from callmetrics.plans.registry import FACTS, OPS, query
 from callmetrics.plans.scalar_queries import calls_of, turns_of
 from callmetrics.sources.binding import operations, table
@@ -69,7 +70,7 @@ def a39(spark, d):
     return evaluation.stt_quality(rows, ["session_id"])
 
 
-@query("T05_alert_order", FACTS + _ALERT + "select rule, scope, row_number() over (order by scope <> 'fleet', case when state = 'firing' and sev = 'critical' then 0 when state = 'firing' then 1 else 2 end, case when state = 'firing' then round((observed::double - threshold::double) / threshold::double, 6) end desc nulls last, scope, rule)::integer as place from stated")
+@query("T05_alert_order", FLAT + ALERT_SQL + "select rule, scope, row_number() over (order by scope <> 'fleet', case when state = 'firing' and sev = 'critical' then 0 when state = 'firing' then 1 else 2 end, case when state = 'firing' then round((observed::double - threshold::double) / threshold::double, 6) end desc nulls last, scope, rule)::integer as place from stated")
 def t05(spark, d):
     return measures.placed(reports.alerts(turns_of(spark, d)), reports.alert_order()).select("rule", "scope", "place")
 
@@ -124,7 +125,7 @@ def e04(spark, d):
     return spark.read.parquet(base).groupBy("format").agg(F.count_distinct("agent_id").alias("sketches"))
 
 
-@query("E07_continuous_alerts", FACTS + _ALERT + "select scope, calls, rule, state from stated")
+@query("E07_continuous_alerts", FLAT + ALERT_SQL + "select scope, calls, rule, state from stated")
 def e07(spark, d):
     """Alerts over all turns so far, evaluated after every micro-batch from the sums before
     it and those of its own turns."""

@@ -9,8 +9,8 @@ from callmetrics.functions import text
 from callmetrics.operators import challenger, cost, facts, intervals, measures
 from callmetrics.plans import reports
 from callmetrics.plans.registry import FACTS, FAILED_SQL, OPS, query
-from callmetrics.plans.scalar_queries import SELECTORS, calls_of, turns_of
-from callmetrics.sources.binding import DAY_MS, operations, table
+from callmetrics.plans.scalar_queries import calls_of, turns_of
+from callmetrics.sources.binding import operations, table
 
 _DIST = "count(v) as n, quantile_disc(v, 0.5)::double as p50, quantile_disc(v, 0.9)::double as p90, quantile_disc(v, 0.95)::double as p95, quantile_disc(v, 0.99)::double as p99, min(v) as least, max(v) as greatest, round(avg(v), 6) as mean, count(v) >= 5 as p50_confident, count(v) >= 20 as p95_confident, count(v) >= 100 as p95_stable"
 _FAILED = "stt_failed + llm_failed + tts_failed + tool_failed"
@@ -41,19 +41,38 @@ def a03(spark, d):
 _IDX = f"case when v < 0 then null when v < 1 then -1 else ceil(ln(v::double) / {measures.LN_GAMMA})::bigint end"
 
 
-@query("A04_sketch_build", OPS + f"select stage, {_IDX} as idx, count(*) as weight from (select stage, duration_ms as v from ops) o group by 1, 2")
+_BUCKETS = "count(*) as weight, sum(v)::double as total, min(v)::double as least, max(v)::double as greatest"
+
+
+@query("A04_sketch_build", OPS + f"select stage, {_IDX} as idx, {_BUCKETS} from (select stage, duration_ms as v from ops) o where v >= 0 group by 1, 2")
 def a04(spark, d):
     return measures.sketch_build(operations(spark, d), ["stage"], "duration_ms")
 
 
-@query("A05_sketch_merge", OPS + f"select stage, {_IDX} as idx, count(*) as weight from (select stage, duration_ms as v from ops) o group by 1, 2")
+@query("A05_sketch_merge", OPS + f"select stage, {_IDX} as idx, {_BUCKETS} from (select stage, duration_ms as v from ops) o where v >= 0 group by 1, 2")
 def a05(spark, d):
     return measures.sketch_merge(measures.sketch_build(operations(spark, d), ["agent_id", "stage"], "duration_ms"), ["stage"])
 
 
-@query("A06_sketch_quantile", OPS + f"select stage, case when min(idx) = -1 then 0.0 else round(2 * exp(min(idx) * {measures.LN_GAMMA}) / (exp({measures.LN_GAMMA}) + 1), 6) end as quantile, max(n)::bigint as n from (select stage, idx, sum(w) over (partition by stage order by idx) as upto, sum(w) over (partition by stage) as n from (select stage, {_IDX} as idx, count(*) as w from (select stage, duration_ms as v from ops) o group by 1, 2) a) b where upto >= ceil(n * 0.95) group by stage")
+#: The value of a bucket, between the least and greatest values seen.
+_MIDDLE = f"greatest(least, least(greatest, case when idx = -1 then 0.0 else 2 * exp(idx * {measures.LN_GAMMA}) / (exp({measures.LN_GAMMA}) + 1) end))"
+
+
+def summary_sql(source: str, keys: str) -> str:
+    """The summary of sketches over rows (keys, v), in DuckDB."""
+    at = lambda p: f"min(case when upto >= ceil(round(n * {p}, 9)) then idx end)"
+    value = lambda p: "round_even(" + _MIDDLE.replace("greatest(least, least(greatest,", "greatest(lo, least(hi,").replace("idx", f"i{p}") + ", 0)::double"
+    buckets = f"select {keys}, {_IDX} as idx, count(*) as w, sum(v)::double as total, min(v)::double as lo, max(v)::double as hi from ({source}) s where v >= 0 group by all"
+    upto = f"select *, sum(w) over (partition by {keys} order by idx) as upto, sum(w) over (partition by {keys}) as n from ({buckets}) b"
+    found = f"select {keys}, max(n)::bigint as n, {', '.join(f'{at(p / 100)} as i{p}' for p in (50, 90, 95, 99))}, min(lo) as lo, max(hi) as hi, sum(total) as total from ({upto}) u group by {keys}"
+    shown = ", ".join(f"{value(p)} as p{p}" for p in (50, 90, 95, 99))
+    return f"select {keys}, n, {shown}, round_even(lo, 0)::double as least, round_even(hi, 0)::double as greatest, round_even(total / n, 0)::double as mean, n >= 5 as p50_confident, n >= 20 as p95_confident, n >= 100 as p95_stable from ({found}) f"
+
+
+@query("A06_sketch_quantile", OPS + summary_sql("select stage, duration_ms as v from ops", "stage"))
 def a06(spark, d):
-    return measures.sketch_quantile(measures.sketch_build(operations(spark, d), ["stage"], "duration_ms"), ["stage"], 0.95)
+    """Every statistic of a sketch, in the shape of the exact distribution."""
+    return measures.sketch_summary(measures.sketch_build(operations(spark, d), ["agent_id", "stage"], "duration_ms"), ["stage"])
 
 
 @query("A07_reply_latency", OPS + "select session_id, turn_id, case when h - e >= 250 then h - e end as reply_ms, first_op from (select session_id, turn_id, min(case when stage = 'tts' then started_ms end) as h, min(case when stage = 'stt' then ended_ms end) as e, (list(op_id order by started_ms, op_id))[1] as first_op from ops group by 1, 2) t")
@@ -71,7 +90,7 @@ def a09(spark, d):
     return calls_of(spark, d)
 
 
-@query("A10_tool_summary", OPS + f"select tool_name, count(*) as invocations, count(distinct session_id) as calls, count(*) filter (f) as failed, count(distinct case when f then session_id end) as failed_calls, count(*) filter (f and contains(lower(error_name), 'timeout')) as timeouts, quantile_disc(duration_ms, 0.5)::double as p50, quantile_disc(duration_ms, 0.95)::double as p95, count(*) >= 5 as rankable from (select *, {FAILED_SQL} as f from ops where stage = 'tool') t group by tool_name")
+@query("A10_tool_summary", OPS + f"select tool_name, count(*) as invocations, count(distinct session_id) as calls, count(*) filter (f) as failed, count(distinct case when f then session_id end) as failed_calls, count(*) filter (f and contains(lower(error_name), 'timeout')) as timed_out, count(duration_ms) as measured, quantile_disc(duration_ms, 0.5)::double as p50, quantile_disc(duration_ms, 0.95)::double as p95, count(duration_ms) >= 20 as p95_confident, count(*) >= 5 as rankable from (select * replace (case when duration_ms >= 0 then duration_ms end as duration_ms), {FAILED_SQL} as f from ops where stage = 'tool') t group by tool_name")
 def a10(spark, d):
     return measures.tool_summary(facts.tool_facts(operations(spark, d)))
 
@@ -81,12 +100,6 @@ def a11(spark, d):
     return measures.failure_summary(facts.failure_facts(operations(spark, d)))
 
 
-@query("A12_stage_counters", OPS + f"select stage, count(*) as ops, count(*) filter ({FAILED_SQL}) as failed, count(distinct turn_id) as turns, count(distinct case when {FAILED_SQL} then session_id end) as calls_impacted from ops group by stage")
-def a12(spark, d):
-    ops = facts.flagged(operations(spark, d))
-    return ops.groupBy("stage").agg(F.count("*").alias("ops"), F.count_if("failed").alias("failed"), F.countDistinct("turn_id").alias("turns"), F.countDistinct(F.when(F.col("failed"), F.col("session_id"))).alias("calls_impacted"))
-
-
 _CHAIN = """, linked as (select session_id, op_id::varchar as turn_id, case when op_id % 5 = 0 then lag(op_id) over (partition by session_id order by started_ms, op_id)::varchar when op_id % 97 = 1 then 'gone' end as continues_turn from ops)"""
 
 
@@ -101,48 +114,6 @@ def a13(spark, d):
     return facts.fold_roots(linked).select("session_id", "turn_id", "root")
 
 
-_ROLL = f"count(*) as turns, count(distinct session_id) as calls, sum({_FAILED})::bigint as failed_ops, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag_turns, sum(tts_interrupted)::bigint as interrupted"
-
-
-@query("A14_hourly_rollup", FACTS + f"select bucket_ms, coalesce(agent_id, '__all__') as agent_id, {_ROLL} from (select *, started_ms // 3600000 * 3600000 as bucket_ms from turns) t group by grouping sets ((bucket_ms, agent_id), (bucket_ms))")
-def a14(spark, d):
-    return measures.hourly_rollup(turns_of(spark, d))
-
-
-@query("A15_metric_rollup", FACTS + f"select bucket_ms, agent_id, 'response_ms' as metric, {_IDX} as idx, count(*) as weight from (select started_ms // 3600000 * 3600000 as bucket_ms, unnest([agent_id, '__all__']) as agent_id, response_ms as v from turns where response_ms is not null) t group by 1, 2, 4")
-def a15(spark, d):
-    return measures.metric_rollup(turns_of(spark, d), ["response_ms"])
-
-
-_START, _END = 1_705_000_000_000 // DAY_MS * DAY_MS, 1_706_500_000_000 // DAY_MS * DAY_MS
-
-
-@query("A16_range_totals", FACTS + f"select agent_id, sum(turns)::bigint as turns, sum(failed_ops)::bigint as failed_ops, sum(measured)::bigint as measured, sum(lag_turns)::bigint as lag_turns, sum(interrupted)::bigint as interrupted, least(sum(calls), sum(turns))::bigint as calls_at_most, true as calls_upper_bound from (select bucket_ms, coalesce(agent_id, '__all__') as agent_id, {_ROLL} from (select *, started_ms // 3600000 * 3600000 as bucket_ms from turns) t group by grouping sets ((bucket_ms, agent_id), (bucket_ms))) r where bucket_ms >= {_START} and bucket_ms < {_END} group by agent_id")
-def a16(spark, d):
-    return measures.range_totals(measures.hourly_rollup(turns_of(spark, d)), _START, _END)
-
-
-@query("A17_trend", FACTS + f"select b.bucket_ms, coalesce(turns, 0) as turns, coalesce(failed_ops, 0) as failed_ops, coalesce(measured, 0) as measured, coalesce(lag_turns, 0) as lag_turns, coalesce(calls_started, 0) as calls_started from (select unnest(range({_START}, {_END}, {DAY_MS})) as bucket_ms) b left join (select started_ms // {DAY_MS} * {DAY_MS} as bucket_ms, count(*) as turns, sum({_FAILED})::bigint as failed_ops, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag_turns from turns group by 1) t on t.bucket_ms = b.bucket_ms left join (select started_ms // {DAY_MS} * {DAY_MS} as bucket_ms, count(*) as calls_started from calls group by 1) c on c.bucket_ms = b.bucket_ms")
-def a17(spark, d):
-    turns = turns_of(spark, d)
-    return measures.trend(turns, facts.call_facts(turns), _START, _END, DAY_MS)
-
-
-@query("A18_overview", FACTS + "select count(*) as calls, count(*) filter (failed_ops > 0) as failing_calls, sum(turns)::bigint as turns, sum(duration_ms)::bigint as total_ms, sum(measured)::bigint as measured, sum(lag_turns)::bigint as lag_turns, round(sum(lag_turns) / sum(measured), 6) as lag_rate, round(count(*) filter (failed_ops > 0) / count(*), 6) as failure_rate from calls")
-def a18(spark, d):
-    return reports.overview(calls_of(spark, d))
-
-
-@query("A19_period_delta", FACTS + f"select *, n_now >= 30 and n_before >= 30 as available, case when n_now >= 30 and n_before >= 30 then round(now - before, 6) end as change from (select agent_id, count(response_ms) filter (started_ms >= {_START}) as n_now, count(response_ms) filter (started_ms < {_START}) as n_before, round(avg(response_ms) filter (started_ms >= {_START}), 6) as now, round(avg(response_ms) filter (started_ms < {_START}), 6) as before from turns where started_ms >= {2 * _START - _END} and started_ms < {_END} group by agent_id) t")
-def a19(spark, d):
-    return measures.period_delta(turns_of(spark, d), _START, _END)
-
-
-@query("A20_stage_panels", OPS + f"select stage, {_DIST} from (select stage, case when duration_ms >= 0 then duration_ms end as v from ops) o group by stage")
-def a20(spark, d):
-    return measures.distribution(operations(spark, d), ["stage"], "duration_ms")
-
-
 @query("A21_facets", FACTS + "select dimension, value, max(started_ms) as last_seen_ms from (select 'agent_id' as dimension, agent_id as value, started_ms from turns union all select 'stt_provider', stt_provider, started_ms from turns union all select 'tts_provider', tts_provider, started_ms from turns) f where value is not null group by 1, 2")
 def a21(spark, d):
     return measures.facets(turns_of(spark, d), ["agent_id", "stt_provider", "tts_provider"])
@@ -267,16 +238,6 @@ def w13(spark, d):
     return measures.newest(ops, ["stage"], [F.col("started_ms"), F.col("op_id")], 100).join(totals, "stage").select("stage", "op_id", (F.col("total") > 100).alias("truncated"))
 
 
-@query("T01_attention", FACTS + f"select session_id, case when failed_ops > 0 then 3 when measured = 0 then 2 else 1 end as severity from calls where {SELECTORS['attention']} order by severity desc, failed_ops desc, max_response_ms desc nulls last, started_ms desc, session_id limit 25")
-def t01(spark, d):
-    return reports.attention(calls_of(spark, d)).select("session_id", "severity")
-
-
-@query("T02_drilldown_page", FACTS + "select session_id, max_response_ms from calls where max_response_ms is not null order by max_response_ms desc, session_id limit 20 offset 40")
-def t02(spark, d):
-    return calls_of(spark, d).filter(SELECTORS["slowest"]).orderBy(F.col("max_response_ms").desc(), "session_id").offset(40).limit(20).select("session_id", "max_response_ms")
-
-
 @query("T03_tool_ranking", OPS + "select tool_name, row_number() over (order by n >= 5 desc, p95 desc, tool_name)::integer as place from (select tool_name, count(*) as n, quantile_disc(duration_ms, 0.95)::double as p95 from ops where stage = 'tool' group by 1) t")
 def t03(spark, d):
     tools = measures.tool_summary(facts.tool_facts(operations(spark, d)))
@@ -296,12 +257,6 @@ def t07(spark, d):
     return failed.union(measures.newest(calls.filter("not failing"), ["failing"], [F.col("duration_ms").desc(), F.col("session_id")], 45)).select("session_id")
 
 
-@query("U01_dirty_buckets", OPS + "select distinct agent_id, started_ms // 3600000 * 3600000 as bucket_ms from ops where op_id % 10 = 0 union select '__all__', started_ms // 3600000 * 3600000 from ops where op_id % 10 = 0")
-def u01(spark, d):
-    touched = operations(spark, d).filter("op_id % 10 = 0").select("agent_id", F.expr("started_ms div 3600000 * 3600000").alias("bucket_ms"))
-    return touched.union(touched.select(F.lit(measures.ALL_AGENTS).alias("agent_id"), "bucket_ms")).distinct()
-
-
 @query("U02_facet_except", OPS + "select distinct agent_id || '/' || provider || '/' || stage as value from ops except select agent_id || '/' || provider || '/' || stage from ops where status = 'ok' and started_ms >= 1706000000000")
 def u02(spark, d):
     """Facets of all operations that no good one of late carries."""
@@ -419,17 +374,6 @@ def x07(spark, d):
     return table(spark, d, "orders").join(parts, F.col("p_partkey") == F.col("o_orderkey") % 500 + 1).select("o_orderkey", F.round(text.character_error_rate(F.col("o_orderpriority"), F.col("p_name")), 6).alias("cer"))
 
 
-_ALERT = """, scoped as (select *, unnest(['fleet', agent_id]) as scope from turns), each as (select scope, count(distinct session_id) as calls, count(*) as turns, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag, count(distinct case when {f} > 0 then session_id end) as failing, quantile_disc(response_ms, 0.95)::double as p95 from scoped group by scope),
-    long as (select scope, calls, 'audible-lag' as rule, case when measured >= 10 then round(lag / measured, 6) end as observed, 0.25 as threshold, 'critical' as sev from each union all select scope, calls, 'failed-calls', round(failing / calls, 6), 0.05, 'critical' from each
-    union all select scope, calls, 'worst-case-wait', case when measured >= 20 then p95 end, 8000, 'warning' from each union all select scope, calls, 'blind-turns', case when turns >= 20 then round((turns - measured) / turns, 6) end, 0.40, 'warning' from each),
-    stated as (select *, case when observed is null or calls < 3 then 'unknown' when observed > threshold then 'firing' else 'ok' end as state from long) """.format(f=_FAILED)
-
-
-@query("Q03_alerts", FACTS + _ALERT + "select scope, calls, rule, observed::double as observed, threshold::double as threshold, state, case when state = 'firing' then sev else 'none' end as severity, case when state = 'firing' then round((observed::double - threshold::double) / threshold::double, 6) end as excess from stated")
-def q03(spark, d):
-    return reports.alerts(turns_of(spark, d))
-
-
 @query("Q04_monitors", FACTS + "select r.rule_id, coalesce(r.agent_id, '__all__') as scope, r.stat, round(case stat when 'p50' then p50 when 'p95' then p95 else mean end, 6)::double as observed, case when not coalesce(case when stat = 'p95' then n >= 20 else n >= 5 end, false) then 'no_data' when (above and (case stat when 'p50' then p50 when 'p95' then p95 else mean end) > threshold) or (not above and (case stat when 'p50' then p50 when 'p95' then p95 else mean end) < threshold) then 'alerting' else 'ok' end as state from (values (1, 'p95', true, 8000.0, null), (2, 'p50', true, 500.0, 'agent-2'), (3, 'mean', false, 100.0, 'agent-4'), (4, 'p50', true, 1.0, 'agent-99')) r(rule_id, stat, above, threshold, agent_id) left join (select scope, count(response_ms) as n, quantile_disc(response_ms, 0.5)::double as p50, quantile_disc(response_ms, 0.95)::double as p95, round(avg(response_ms), 6) as mean from (select *, unnest(['__all__', agent_id]) as scope from turns) s group by scope) t on t.scope = coalesce(r.agent_id, '__all__')")
 def q04(spark, d):
     rules = spark.createDataFrame([(1, "p95", True, 8000.0, None), (2, "p50", True, 500.0, "agent-2"), (3, "mean", False, 100.0, "agent-4"), (4, "p50", True, 1.0, "agent-99")], "rule_id int, stat string, above boolean, threshold double, agent_id string")

@@ -197,16 +197,16 @@ def j07(spark, d):
     return calls.logical_llm_calls(nested.spans_of(spark, d)).groupBy("turn_id").agg(F.count("*").alias("calls"), F.sum("duration_ms").alias("llm_ms"))
 
 
-_TURN = """session_id, turn_id, b as started_at_ms, b + greatest(1200 + v, case when e % 4 = 0 then 1210 else 0 end, case when stage <> 'stt' then 1900 + v else 0 end, case when stage = 'tool' then 1300 + v else 0 end) as ended_at_ms, turn_status as status, response_ms,
+TURN_COLUMNS = """session_id, turn_id, b as started_at_ms, b + greatest(1200 + v, case when e % 4 = 0 then 1210 else 0 end, case when stage <> 'stt' then 1900 + v else 0 end, case when stage = 'tool' then 1300 + v else 0 end) as ended_at_ms, turn_status as status, response_ms,
     spoke_until - case when worded then 100 else 0 end as user_speech_ms, case when e % 19 = 0 then 'callback_error' end as reply_skipped, stage <> 'stt' and e % 17 = 0 as inferred_reply, case when worded then 200 end as stt_first_partial_ms,
     case when not worded then 'speech_onset_not_observed' end as stt_first_partial_unmeasurable_reason, case when final <> declared then final - declared end as stt_endpoint_delay_ms, case when worded and final >= spoke_until then final - spoke_until end as stt_final_ms,
     e % 7 = 0 as stt_missing_final, e % 9 = 0 as stt_forced_flush, case when e % 3 <> 0 then 200 end as llm_ttft_ms, v as llm_completion_ms, v % 100 as llm_input_tokens, v % 50 as llm_output_tokens, nullif(v, 0) as llm_ms, 1 as llm_calls,
     case when stage <> 'stt' and e % 6 <> 0 then 400 end as tts_first_audio_ms, case when stage <> 'stt' and e % 12 <> 0 then 700 end as tts_synthesis_ms, case when stage = 'stt' then null when e % 6 = 1 then 300 when e % 2 = 1 then 600 end as audible_tts_ms,
     case when stage = 'tool' then v end as tool_total_ms, 1 as stt_ops, case when e % 4 = 0 then 2 else 1 end as llm_ops, (stage <> 'stt')::integer as tts_ops, (stage = 'tool')::integer as tool_ops, 0 as stt_failed, llm_failed::integer as llm_failed, 0 as tts_failed,
-    tool_failed::integer as tool_failed, (stage <> 'stt' and e % 10 = 0)::integer as tts_interrupted, """ + f"{_VENDOR} as stt_provider, 'nova-2' as stt_model, 'azure-openai' as llm_provider, 'gpt' as llm_model, case when stage <> 'stt' then 'elevenlabs' end as tts_provider, case when e % 13 = 0 then before::varchar end as continues_turn, agent_id, started_ms from heard"
+    tool_failed::integer as tool_failed, (stage <> 'stt' and e % 10 = 0)::integer as tts_interrupted, """ + f"{_VENDOR} as stt_provider, 'nova-2' as stt_model, 'azure-openai' as llm_provider, 'gpt' as llm_model, case when stage <> 'stt' then 'elevenlabs' end as tts_provider, case when e % 13 = 0 then before::varchar end as continues_turn, agent_id, started_ms"
 
 
-@query("A08_package_turn_metrics", NESTED_SQL + f"select {_TURN}")
+@query("A08_package_turn_metrics", NESTED_SQL + f"select {TURN_COLUMNS} from heard")
 def a08(spark, d):
     """Every measurement of every turn, from the lines of its package."""
     names = """session_id turn_id started_at_ms ended_at_ms status response_ms user_speech_ms reply_skipped inferred_reply stt_first_partial_ms stt_first_partial_unmeasurable_reason stt_endpoint_delay_ms stt_final_ms stt_missing_final
@@ -215,33 +215,33 @@ def a08(spark, d):
     return turns_of(spark, d).select(*names)
 
 
-_FOLDED = NESTED_SQL.replace("with ", "with recursive ", 1) + """, walk as (select session_id, e, e as root from heard where not (e % 13 = 0 and before is not null) union all select h.session_id, h.e, w.root from heard h join walk w on h.e % 13 = 0 and h.before = w.e and h.session_id = w.session_id),
+FOLDED = NESTED_SQL.replace("with ", "with recursive ", 1) + """, walk as (select session_id, e, e as root from heard where not (e % 13 = 0 and before is not null) union all select h.session_id, h.e, w.root from heard h join walk w on h.e % 13 = 0 and h.before = w.e and h.session_id = w.session_id),
     folded as (select h.*, w.root, h.e <> w.root as is_continuation from heard h join walk w on w.e = h.e) """
 
 
-@query("A13_package_splits", _FOLDED + "select turn_id, is_continuation, not is_continuation and count(*) over x > 1 as has_continuation, not is_continuation and count(*) over x > 1 as stt_split, not is_continuation and count(*) filter (stage = 'tool') over x > 1 as tool_split from folded window x as (partition by root)")
+@query("A13_package_splits", FOLDED + "select turn_id, is_continuation, not is_continuation and count(*) over x > 1 as has_continuation, not is_continuation and count(*) over x > 1 as stt_split, not is_continuation and count(*) filter (stage = 'tool') over x > 1 as tool_split from folded window x as (partition by root)")
 def a13(spark, d):
     return turns_of(spark, d).select("turn_id", "is_continuation", "has_continuation", "stt_split", "tool_split")
 
 
-_CALL = _FOLDED + """, manifests as (select session_id, min(e) as m, max(agent_id) as agent_id from bound group by 1), owned as (select session_id, count(*) filter (not is_continuation) as turns, count(distinct case when stage <> 'stt' and e % 17 = 0 then root end) as inferred_reply_turns, sum(llm_failed::integer)::bigint as llm_failed, sum(tool_failed::integer)::bigint as tool_failed,
-    sum(llm_failed::integer + tool_failed::integer)::bigint as failed_ops, count(*) filter (response_ms >= 3000) as lag_turns, count(response_ms) as measured, count(*) filter (e % 7 = 0) as missing_final_turns, max(response_ms) as max_response_ms, any_value(started_ms - b) as started_ms from folded group by 1)
-    select session_id, m.agent_id, case when m % 4 = 0 then 'staging' when m % 4 = 1 then 'production' end as environment, case when m % 4 = 1 then '7' end as agent_version, case when m % 2 = 0 then 'python' end as sdk_language, started_ms, case when m % 3 = 0 then 'unknown' else 'completed' end as outcome,
-    case when m % 7 <> 0 then 'ready' else 'partial' end as status, turns, inferred_reply_turns, llm_failed, tool_failed, failed_ops, lag_turns, measured, missing_final_turns, max_response_ms, m % 5 = 0 or m % 11 = 0 as capture_incomplete from manifests m join owned using (session_id)"""
+CALLS_CTE = """manifests as (select session_id, min(e) as m, max(e) as x, max(agent_id) as agent_id from bound group by 1), owned as (select session_id, count(*) filter (not is_continuation) as turns, count(distinct case when stage <> 'stt' and e % 17 = 0 then root end) as inferred_reply_turns, 0 as stt_failed, sum(llm_failed::integer)::bigint as llm_failed, 0 as tts_failed, sum(tool_failed::integer)::bigint as tool_failed,
+    sum(llm_failed::integer + tool_failed::integer)::bigint as failed_ops, count(*) filter (response_ms >= 3000) as lag_turns, count(response_ms) as measured, count(*) filter (e % 7 = 0) as missing_final_turns, max(response_ms) as max_response_ms, any_value(started_ms - b) as started_ms from folded group by 1),
+  cf as (select session_id, m.agent_id, case when m % 4 = 0 then 'staging' when m % 4 = 1 then 'production' end as environment, case when m % 4 = 1 then '7' end as agent_version, case when m % 2 = 0 then 'python' end as sdk_language, started_ms, x - m as duration_ms, case when m % 3 = 0 then 'unknown' else 'completed' end as outcome,
+    case when m % 7 <> 0 then 'ready' else 'partial' end as status, turns, inferred_reply_turns, stt_failed, llm_failed, tts_failed, tool_failed, failed_ops, lag_turns, measured, missing_final_turns, max_response_ms, m % 5 = 0 or m % 11 = 0 as capture_incomplete from manifests m join owned using (session_id))"""
 
 
 def calls_of(spark, d):
     return calls.call_metrics(turns_of(spark, d), nested.manifests(spark, d), nested.spans_of(spark, d))
 
 
-@query("A09_package_call_metrics", _CALL)
+@query("A09_package_call_metrics", FOLDED + ", " + CALLS_CTE + " select * from cf")
 def a09(spark, d):
-    return calls_of(spark, d).select("session_id", "agent_id", "environment", "agent_version", "sdk_language", "started_ms", "outcome", "status", "turns", "inferred_reply_turns", "llm_failed", "tool_failed", "failed_ops", "lag_turns", "measured", "missing_final_turns", "max_response_ms", "capture_incomplete")
+    return calls_of(spark, d).select("session_id", "agent_id", "environment", "agent_version", "sdk_language", "started_ms", "duration_ms", "outcome", "status", "turns", "inferred_reply_turns", *(f"{s}_failed" for s in facts.STAGES), "failed_ops", "lag_turns", "measured", "missing_final_turns", "max_response_ms", "capture_incomplete")
 
 
-@query("A10_package_tools", NESTED_SQL + "select coalesce(tool_name, 'tools') as tool_name, count(*) as invocations, count(*) filter (e % 8 = 0) as failed, count(*) filter (e % 8 = 0) as timeouts from heard where stage = 'tool' group by 1")
+@query("A10_package_tools", NESTED_SQL + "select coalesce(tool_name, 'tools') as tool_name, count(*) as invocations, count(*) filter (e % 8 = 0) as failed, count(*) filter (e % 8 = 0) as timed_out from heard where stage = 'tool' group by 1")
 def a10(spark, d):
-    return measures.tool_summary(calls.tool_metrics(nested.spans_of(spark, d))).select("tool_name", "invocations", "failed", "timeouts")
+    return measures.tool_summary(calls.tool_metrics(nested.spans_of(spark, d))).select("tool_name", "invocations", "failed", "timed_out")
 
 
 @query("A11_package_failures", NESTED_SQL + "select fingerprint, stage, count(*) as n from (select 'llm:' || coalesce(error_name, 'UnknownError') as fingerprint, 'llm' as stage from heard where llm_failed union all select 'tool:TimeoutError', 'tool' from heard where tool_failed) f group by 1, 2")
@@ -250,42 +250,6 @@ def a11(spark, d):
     return measures.failure_summary(found, limit=None).select("fingerprint", "stage", "n")
 
 
-@query("A14_package_rollup", NESTED_SQL + "select started_ms // 3600000 * 3600000 as bucket_ms, coalesce(agent_id, '__all__') as agent_id, count(*) as turns, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag_turns from (select started_ms // 3600000 * 3600000 as started_ms, agent_id, response_ms from heard) h group by grouping sets ((started_ms, agent_id), (started_ms))")
-def a14(spark, d):
-    return measures.hourly_rollup(turns_of(spark, d)).select("bucket_ms", "agent_id", "turns", "measured", "lag_turns")
-
-
-@query("A20_package_panels", NESTED_SQL + "select stage, metric, count(x) as n, quantile_disc(x, 0.95)::double as p95 from (select 'stt' as stage, 'stt_endpoint_delay_ms' as metric, case when final <> declared then final - declared end as x from heard union all select 'llm', 'llm_ttft_ms', case when e % 3 <> 0 then 200 end from heard union all select 'llm', 'llm_completion_ms', v from heard union all select 'tts', 'tts_synthesis_ms', case when e % 12 <> 0 then 700 end from heard where stage <> 'stt') m group by 1, 2")
-def a20(spark, d):
-    return reports.stage_panels(turns_of(spark, d)).filter("metric in ('stt_endpoint_delay_ms', 'llm_ttft_ms', 'llm_completion_ms', 'tts_synthesis_ms')").select("stage", "metric", "n", "p95")
-
-
-@query("Q01_summary", NESTED_SQL + """select 'turns' as figure, count(*)::double as value from heard union all select 'measured', count(response_ms) from heard union all select 'p95', quantile_disc(response_ms, 0.95) from heard union all select 'lag_rate', round(count(*) filter (response_ms >= 3000) / count(response_ms), 6) from heard
-    union all select 'failures', count(*) filter (llm_failed) + count(*) filter (tool_failed) from heard union all select 'tools', count(distinct coalesce(tool_name, 'tools')) from heard where stage = 'tool' union all select 'agents', count(distinct agent_id) from heard union all select 'trend', count(response_ms) from heard""")
-def q01(spark, d):
-    """The dashboard of a range that holds every call, from its parts."""
-    first, last = nested.turns_bound(spark, d).agg(F.min("started_ms"), F.max("started_ms")).first()
-    ops, manifests = nested.spans_of(spark, d), nested.manifests(spark, d)
-    parts = reports.summary(turns_of(spark, d), reports.Filters(first, last + 1), tools=calls.tool_metrics(ops), failures=calls.failure_metrics(ops, manifests), limit=1 << 40)
-    figure = lambda part, name, value: parts[part].agg(F.lit(name).alias("figure"), F.sum(value).cast("double").alias("value"))
-    out = figure("overview", "turns", "turns")
-    for part, name, value in (("overview", "measured", "measured"), ("latency", "p95", "p95"), ("overview", "lag_rate", "lag_rate"), ("failures", "failures", "n"), ("tools", "tools", F.lit(1)), ("delta", "agents", F.lit(1)), ("trend", "trend", "measured")):
-        out = out.union(figure(part, name, value))
-    return out
-
-
-@query("F09_range_guard", NESTED_SQL + "select 'exact' as way, count(*) as turns from heard union all select 'rollup', count(*) from heard union all select 'refused', null")
-def f09(spark, d):
-    """The same range answered from turns, from rollups, and refused for a filter."""
-    first, last = nested.turns_bound(spark, d).agg(F.min("started_ms"), F.max("started_ms")).first()
-    start, end = first // measures.HOUR_MS * measures.HOUR_MS, last + 1
-    turns = turns_of(spark, d)
-    exact = reports.summary(turns, reports.Filters(start, end), limit=1 << 40)["overview"].select(F.lit("exact").alias("way"), F.col("turns").cast("long").alias("turns"))
-    rolled = reports.summary(turns, reports.Filters(start, end), rollup=measures.hourly_rollup(turns), limit=0)["totals"].filter("agent_id = '__all__'").select(F.lit("rollup").alias("way"), "turns")
-    refused = reports.summary(turns, reports.Filters(start, end, provider="deepgram"), limit=0)["refused"].select(F.lit("refused").alias("way"), F.lit(None).cast("long").alias("turns"))
-    return exact.union(rolled).union(refused)
-
-
 @query("J14_paired_deltas", NESTED_SQL + """select metric, count(*) as n, round(quantile_cont(x, 0.5), 6)::double as p50, round(quantile_cont(x, 0.9), 6)::double as p90, min(x) as least, max(x) as greatest from (
     select 'first_partial_ms' as metric, v % 700 - 200 as x from heard where worded and e % 4 <> 1 union all select 'endpoint_delay_ms', v % 900 - (final - spoke_until) from heard where worded and final >= spoke_until) p group by 1""")
 def j14(spark, d):

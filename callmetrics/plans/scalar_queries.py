@@ -86,20 +86,6 @@ def p21(spark, d):
     return operations(spark, d).select("op_id", s.latency_tone(F.col("duration_ms")).alias("tone"))
 
 
-_SEVERITY = "case when failed_ops > 0 then 3 when measured = 0 then 2 when lag_turns > 0 then 1 else 0 end"
-
-
-@query("P22_severity", FACTS + f"select session_id, {_SEVERITY} as severity from calls")
-def p22(spark, d):
-    return calls_of(spark, d).select("session_id", s.severity(F.col("failed_ops"), F.col("measured"), F.col("lag_turns")).alias("severity"))
-
-
-@query("P23_attention_reasons", FACTS + "select session_id, concat_ws(',', case when failed_ops > 0 then 'failure:' || failed_ops end, case when measured = 0 then 'unmeasured:0' end, case when lag_turns > 0 then 'lag:' || lag_turns end) as reasons from calls")
-def p23(spark, d):
-    reasons = s.attention_reasons(F.col("failed_ops"), F.col("measured"), F.col("lag_turns"))
-    return calls_of(spark, d).select("session_id", F.array_join(F.transform(reasons, lambda x: F.concat_ws(":", x["kind"], x["count"].cast("string"))), ",").alias("reasons"))
-
-
 @query("P28_redact_secrets", r"select doc_id, length(regexp_replace(text, '\bAKIA[0-9A-Z]{12,}', '[redacted]', 'g'))::bigint as n, len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{12,}'))::bigint as found from documents")
 def p28(spark, d):
     return table(spark, d, "documents").select("doc_id", s.redact_secrets(F.col("text")).alias("r")).select("doc_id", F.length("r.text").cast("long").alias("n"), "r.found")
@@ -172,51 +158,18 @@ def s06(spark, d):
 _FROM, _TO = 1_705_000_000_000, 1_706_500_000_000
 
 
-@query("F01_call_filter", FACTS + "select session_id from calls where started_ms >= 1705000000000 and started_ms < 1706500000000 and agent_id = 'agent-3'")
-def f01(spark, d):
-    return calls_of(spark, d).filter((F.col("started_ms") >= _FROM) & (F.col("started_ms") < _TO) & (F.col("agent_id") == "agent-3")).select("session_id")
-
-
 @query("F02_turn_filter", FACTS + "select turn_id from turns where started_ms >= 1705000000000 and started_ms < 1706500000000 and session_id in (select session_id from calls where failed_ops > 0)")
 def f02(spark, d):
     turns = turns_of(spark, d)
     return turns.filter((F.col("started_ms") >= _FROM) & (F.col("started_ms") < _TO)).join(facts.call_facts(turns).filter("failed_ops > 0"), "session_id", "left_semi").select("turn_id")
 
 
-@query("F03_provider_filter", FACTS + "select session_id from calls where session_id in (select session_id from turns where 'Deepgram' in (stt_provider, llm_provider, tts_provider))")
-def f03(spark, d):
-    turns = turns_of(spark, d)
-    used = turns.filter(F.coalesce(F.array_contains(F.array("stt_provider", "llm_provider", "tts_provider"), "Deepgram"), F.lit(False)))
-    return facts.call_facts(turns).join(used, "session_id", "left_semi").select("session_id")
-
-
-SELECTORS = {
-    "failures": "failed_ops > 0",
-    "audible_lag": "lag_turns > 0",
-    "unmeasured": "measured = 0",
-    "interrupted": "interrupted > 0",
-    "slowest": "max_response_ms is not null",
-    "attention": "failed_ops > 0 or lag_turns > 0 or (measured = 0 and duration_ms >= 5000)",
-}
-
-
-@query("F04_selectors", FACTS + " union all ".join(f"select '{k}' as selector, count(*) as n from calls where {v}" for k, v in SELECTORS.items()))
-def f04(spark, d):
-    counts = calls_of(spark, d).agg(*(F.count_if(F.expr(v)).alias(k) for k, v in SELECTORS.items()))
-    return counts.unpivot([], list(SELECTORS), "selector", "n")
-
-
 @query("F05_tool_filter", FACTS + "select session_id from calls where session_id in (select session_id from ops where tool_name = 'tool_3')")
 def f05(spark, d):
     ops = operations(spark, d)
     return facts.call_facts(facts.turn_facts(ops)).join(ops.filter("tool_name = 'tool_3'"), "session_id", "left_semi").select("session_id")
 
 
-@query("F06_attention_predicate", FACTS + f"select session_id from calls where {SELECTORS['attention']}")
-def f06(spark, d):
-    return calls_of(spark, d).filter(SELECTORS["attention"]).select("session_id")
-
-
 @query("F07_operation_search", OPS + "select op_id from ops where status = 'error' and contains(lower(concat_ws(' ', provider, tool_name, error_name)), 'timeout')")
 def f07(spark, d):
     return operations(spark, d).filter(F.col("status") == "error").filter(F.contains(F.lower(F.concat_ws(" ", "provider", "tool_name", "error_name")), F.lit("timeout"))).select("op_id")

@@ -73,6 +73,6 @@ turns as (
 ), calls as (
   select session_id, any_value(agent_id) as agent_id, min(started_ms) as started_ms, max(ended_ms) - min(started_ms) as duration_ms, count(*) as turns,
     sum(stt_failed + llm_failed + tts_failed + tool_failed)::bigint as failed_ops, sum(tts_interrupted)::bigint as interrupted, count(*) filter (response_ms >= 3000) as lag_turns,
-    count(response_ms) as measured, max(response_ms) as max_response_ms
+    count(response_ms) as measured, max(response_ms) as max_response_ms, sum(stt_failed)::bigint as stt_failed, sum(llm_failed)::bigint as llm_failed, sum(tts_failed)::bigint as tts_failed, sum(tool_failed)::bigint as tool_failed
   from turns group by session_id
 )"""

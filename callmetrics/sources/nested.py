@@ -78,14 +78,19 @@ def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "chunks", lambda: audio_chunks_of(lines(spark, d)))
 
 
-def manifests(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest of each call, as JSON text that is read as packages are."""
+def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(package, value): the manifest of each call as JSON text."""
     calls = turns_bound(spark, d).groupBy("session_id").agg(F.max("agent_id").alias("agent_id"), F.min("e").alias("m"), F.max("e").alias("x"), F.first(F.expr(f"started_ms div {WEEK_MS} * {WEEK_MS}")).alias("began"))
     text = F.expr("""to_json(named_struct('schema_version', '1.0', 'session_id', session_id, 'agent_id', agent_id, 'started_at', date_format(timestamp_millis(began), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), 'duration_ms', x - m, 'outcome', if(m % 3 = 0, null, 'completed'),
         'sdk', named_struct('language', if(m % 2 = 0, 'python', ' '), 'version', '1.2'), 'metadata', if(m % 4 = 0, map('env', 'staging'), if(m % 4 = 1, map('environment', 'production', 'version', '7'), null)),
         'capture_status', named_struct('events_complete', m % 5 <> 0, 'audio_complete', true, 'coverage_complete', m % 7 <> 0, 'dropped_event_count', if(m % 11 = 0, 3, 0)),
         'audio', map('user', named_struct('file', 'user.wav', 'channels', 1), 'agent', named_struct('file', 'agent.wav', 'channels', 1))))""")
-    return manifests_of(calls.select(F.from_json(text, MANIFEST).alias("m")).select("m.*"))
+    return calls.select(F.col("session_id").alias("package"), text.alias("value"))
+
+
+def manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests read from that text as packages are."""
+    return manifests_of(manifest_lines(spark, d).select(F.from_json("value", MANIFEST).alias("m")).select("m.*"))
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
