@@ -288,12 +288,6 @@ def x01(spark, d):
     return rows.select("conv_id", "turn", "role", text.normalized(F.col("text")).alias("norm"))
 
 
-@query("X02_tokenize", f"select conv_id, turn, role, len(list_filter(string_split({_NORM}, ' '), lambda w: w <> ''))::bigint as n {_TEXTS}")
-def x02(spark, d):
-    rows = table(spark, d, "conversations").filter("text is not null")
-    return rows.select("conv_id", "turn", "role", F.size(text.tokens(text.normalized(F.col("text")))).cast("long").alias("n"))
-
-
 #: Numbers spelt out, which become digits.
 _NUMBERS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in text.NUMBER_WORDS.items()) + "}"
 
@@ -303,6 +297,12 @@ def words_sql(value: str) -> str:
     return f"list_transform(list_filter(string_split({norm}, ' '), lambda w: w <> ''), lambda w: coalesce(map_extract({_NUMBERS}, w)[1], w))"
 
 
+@query("X02_tokenize", f"select conv_id, turn, role, len(t)::bigint as n, array_to_string(t, ' ') as tokens, array_to_string(s, ' ') as surfaces from (select conv_id, turn, role, {words_sql('lower(text)')} as t, list_filter(string_split({_NORM}, ' '), lambda w: w <> '') as s {_TEXTS}) x")
+def x02(spark, d):
+    rows = table(spark, d, "conversations").filter("text is not null").withColumn("norm", text.normalized(F.col("text")))
+    return rows.select("conv_id", "turn", "role", F.size(text.tokens(F.col("norm"))).cast("long").alias("n"), F.array_join(text.tokens(F.col("norm")), " ").alias("tokens"), F.array_join(text.surfaces(F.col("norm")), " ").alias("surfaces"))
+
+
 #: pairs (conv_id, turn, role, production, challenger, l, r), then errors row by row of the edit table.
 PAIRS_SQL = (
     r"with split as (select conv_id, turn, role, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') as p from conversations where text is not null), "
@@ -361,11 +361,22 @@ def a24(spark, d):
     return scored.groupBy("conv_id").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words")).withColumn("wer", F.round(F.try_divide("errors", "words"), 6))
 
 
+def aligned_turns(spark, d):
+    """Turns of conversations with one word in seven lost and the third changed, aligned."""
+    rows = _pairs(spark, d).withColumn("turn_id", F.concat_ws("/", F.lpad(F.col("turn").cast("string"), 6, "0"), "role")).withColumn("at", F.col("turn"))
+    return text.aligned_texts(rows, "production", "challenger")
+
+
 @query("A25_disagreed_words")
 def a25(spark, d):
-    rows = _pairs(spark, d).withColumn("x", F.explode(text.align(text.tokens(text.normalized(F.col("production"))), text.tokens(text.normalized(F.col("challenger"))))))
-    pairs = rows.filter("x.operation <> 'match'").select("conv_id", "turn", F.coalesce("x.production", F.lit("(missed)")).alias("production"), F.coalesce("x.challenger", F.lit("(extra)")).alias("challenger"))
-    return pairs.groupBy("production", "challenger").agg(F.count("*").alias("n"), F.countDistinct("conv_id", "turn").alias("turns"))
+    """Of each call, the words that disagree most."""
+    return text.disagreed_words(aligned_turns(spark, d), ["conv_id"])
+
+
+@query("X10_changed_words")
+def x10_changed(spark, d):
+    changed = aligned_turns(spark, d).select("conv_id", "turn", "role", F.explode(text.changed_words(F.col("diff"))).alias("x"))
+    return changed.select("conv_id", "turn", "role", "x.*")
 
 
 @query("X07_cer", "select o_orderkey, round(levenshtein(o_orderpriority, p_name) / length(p_name), 6) as cer from orders join (select p_partkey, lower(p_name) as p_name from part where p_name is not null and p_name <> '') p on p_partkey = o_orderkey % 500 + 1")
@@ -393,29 +404,3 @@ def q07(spark, d):
     each = turns_of(spark, d).groupBy("agent_id").agg(F.avg("response_ms").alias("a1"), F.avg(F.when(F.col("llm_ops") == 0, F.col("response_ms"))).alias("a2"), F.avg(F.expr("stt_failed + llm_failed")).alias("b1"), F.avg(F.expr("tts_failed + tool_failed")).alias("b2"))
     rows = F.array(*(F.struct(F.lit(n).alias("dimension"), F.round(a, 6).alias("production"), F.round(b, 6).alias("challenger")) for n, a, b in (("latency", "a1", "a2"), ("failures", "b1", "b2"))))
     return each.select("agent_id", F.inline(rows)).withColumn("verdict", verdict(F.col("production"), F.col("challenger")))
-
-
-@query("G03_aggregate_check", FACTS + "select agent_id, quantile_disc(response_ms, 0.5)::double as stated, true as holds from turns where response_ms is not null group by agent_id")
-def g03(spark, d):
-    """A stated percentile against a second way of finding it: ranks by a window."""
-    turns = turns_of(spark, d).filter("response_ms is not null")
-    stated = turns.groupBy("agent_id").agg(measures.nearest_rank("response_ms", 0.5).alias("stated"))
-    by = Window.partitionBy("agent_id")
-    ranked = turns.withColumn("r", F.row_number().over(by.orderBy("response_ms"))).withColumn("n", F.count("*").over(by)).filter(F.col("r") == F.ceil(F.col("n") * 0.5)).select("agent_id", F.col("response_ms").alias("again"))
-    return stated.join(ranked, "agent_id").select("agent_id", "stated", (F.col("stated") == F.col("again")).alias("holds"))
-
-
-@query("G04_honesty", FACTS + "select 'negative_duration' as rule, count(*) filter (duration_ms < 0) as violations from turns union all select 'reply_below_minimum', count(*) filter (response_ms < 250) from turns union all select 'failure_without_operation', count(*) filter (stt_failed > stt_ops) from turns")
-def g04(spark, d):
-    rules = {"negative_duration": "duration_ms < 0", "reply_below_minimum": "response_ms < 250", "failure_without_operation": "stt_failed > stt_ops"}
-    return turns_of(spark, d).agg(*(F.count_if(F.expr(v)).alias(k) for k, v in rules.items())).unpivot([], list(rules), "rule", "violations")
-
-
-@query("G02_independent_recompute", FACTS + "select session_id, turn_id from turns where false")
-def g02(spark, d):
-    """Turn facts against a second implementation in SQL; rows that differ."""
-    ops = operations(spark, d)
-    ops.createOrReplaceTempView("g02_operations")
-    second = spark.sql("select session_id, turn_id, max(ended_ms) - min(started_ms) as d2, count(case when stage = 'stt' then 1 end) as s2 from g02_operations group by session_id, turn_id")
-    both = facts.turn_facts(ops).join(second, ["session_id", "turn_id"], "full")
-    return both.filter(~(F.col("duration_ms").eqNullSafe(F.col("d2")) & F.col("stt_ops").eqNullSafe(F.col("s2")))).select("session_id", "turn_id")

@@ -25,7 +25,7 @@ from callmetrics.sources.packages import MANIFEST, audio_chunks_of, day_of, mani
 from callmetrics.sources.shared import checkpointed
 
 #: Parts that sessions are dealt to, so that an arrival reads only its own parts of the index.
-SLOTS = 64
+SLOTS = 16
 
 
 def slot_of(session: Column) -> Column:
@@ -99,9 +99,9 @@ class FactStore:
         at = F.lit(version)
         held, sessions = {}, checkpointed(arrived.sessions.select(F.col("session_id").cast("string").alias("session_id")).distinct())
         for kind in Facts.KINDS:
-            rows = getattr(arrived, kind).withColumn("session_id", F.col("session_id").cast("string"))
-            held[kind] = checkpointed(rows.withColumn("day", day_of(F.col("started_ms"))).withColumn("version", at))
-            self._write(held[kind], f"{self.path}/facts/{kind}", ["day", "version"])
+            rows = getattr(arrived, kind).withColumn("session_id", F.col("session_id").cast("string")).withColumn("day", day_of(F.col("started_ms"))).withColumn("version", at)
+            self._write(rows, f"{self.path}/facts/{kind}", ["day", "version"])
+            held[kind] = self._read(f"{self.path}/facts/{kind}", rows.schema).filter(F.col("version") == version)
         spot = lambda df: df.filter("started_ms is not null").select("session_id", bucket_floor(F.col("started_ms"), HOUR_MS).alias("bucket_ms"), F.coalesce("agent_id", F.lit("")).alias("agent_id"))
         now = spot(held["turns"]).union(spot(held["calls"])).union(spot(held["tools"])).union(spot(held["failures"])).distinct()
         now = checkpointed(now.withColumn("slot", slot_of(F.col("session_id"))).withColumn("version", at))
@@ -197,6 +197,8 @@ class Inbox:
         held = self.store._read(self.path, came.schema).filter(F.col("slot").isin(slots) & (F.col("version") <= number)).join(touched, ["package", "slot"], "left_semi")
         told = held.filter("kind = 'manifest'").groupBy("package").agg(F.max_by("value", F.struct("version", "value")).alias("value"))
         told = checkpointed(told)
+        if told.isEmpty():  # nothing that came has its manifest yet
+            return
         lines = held.filter("kind = 'line'").join(told.select("package"), "package", "left_semi").select("package", "value")
         ops, manifests = checkpointed(operations_of(lines)), manifests_of(told.select(F.from_json("value", MANIFEST).alias("m")).select("m.*"))
         turns = checkpointed(packaged.turn_metrics(ops, audio_chunks_of(lines), manifests))

@@ -125,4 +125,4 @@ def test_calls_are_flat_facts_too(spark):
     turns = calls.turn_metrics(packages.operations_of(rows), packages.audio_chunks_of(rows), own)
     assert facts.call_facts(turns).first().measured == 1
     parts = reports.summary(turns, reports.Filters(1767225600000, 1767229200000))
-    assert parts["latency"].first().p50 == pytest.approx(1100) and {r.stage for r in parts["stages"].collect()} == {"stt", "llm", "tts"}
+    assert parts["latency"].first().p50 == pytest.approx(1100) and {r.stage: r.ops for r in parts["stages"].collect()} == {"stt": 1, "llm": 1, "tts": 1, "tool": 0}

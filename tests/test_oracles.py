@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from callmetrics.plans import dashboard_queries, evaluation_queries, measure_queries, package_queries, registry, scalar_queries, stream_queries  # noqa: F401
+from callmetrics.plans import dashboard_queries, evaluation_queries, measure_queries, package_queries, registry, scalar_queries, stream_queries, trace_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
