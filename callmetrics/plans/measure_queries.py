@@ -19,13 +19,18 @@ _FAILED = "stt_failed + llm_failed + tts_failed + tool_failed"
 @query("fleet_hourly", FACTS + f"select agent_id, started_ms // 3600000 * 3600000 as hour_ms, count(*) as turns, count(distinct session_id) as calls, sum({_FAILED})::bigint as failed_ops, count(response_ms) as measured, count(*) filter (response_ms >= 3000) as lag_turns, quantile_disc(response_ms, 0.5)::double as p50, quantile_disc(response_ms, 0.95)::double as p95 from turns group by 1, 2")
 def fleet_hourly(spark, d):
     """The flagship: per agent and hour, turns, calls, failures and latency."""
-    hours = turns_of(spark, d).groupBy("agent_id", F.expr("started_ms div 3600000 * 3600000").alias("hour_ms"))
-    return hours.agg(F.count("*").alias("turns"), F.countDistinct("session_id").alias("calls"), F.sum(F.expr(measures.FAILED)).alias("failed_ops"), F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= 3000).alias("lag_turns"), measures.nearest_rank("response_ms", 0.5).alias("p50"), measures.nearest_rank("response_ms", 0.95).alias("p95"))
+    turns = turns_of(spark, d).withColumn("hour_ms", F.expr("started_ms div 3600000 * 3600000"))
+    keys = ["agent_id", "hour_ms"]
+    each = turns.groupBy(*keys, "session_id").agg(F.count("*").alias("turns"), F.sum(F.expr(measures.FAILED)).alias("failed_ops"), F.count("response_ms").alias("measured"), F.count_if(F.col("response_ms") >= 3000).alias("lag_turns"))
+    sums = each.groupBy(*keys).agg(F.sum("turns").alias("turns"), F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in ("failed_ops", "measured", "lag_turns")))
+    ranks = measures.nearest_ranks(measures.value_counts(turns, keys, "response_ms"), keys, {"p50": 0.5, "p95": 0.95})
+    return sums.join(ranks.select(*keys, "p50", "p95"), keys)
 
 
 @query("A01_percentile", OPS + "select stage, quantile_disc(duration_ms, 0.5)::double as p50, quantile_disc(duration_ms, 0.95)::double as p95 from ops group by stage")
 def a01(spark, d):
-    return operations(spark, d).groupBy("stage").agg(measures.nearest_rank("duration_ms", 0.5).alias("p50"), measures.nearest_rank("duration_ms", 0.95).alias("p95"))
+    counts = measures.value_counts(operations(spark, d), ["stage"], "duration_ms")
+    return measures.nearest_ranks(counts, ["stage"], {"p50": 0.5, "p95": 0.95}).select("stage", "p50", "p95")
 
 
 @query("A02_distribution", FACTS + f"select agent_id, {_DIST} from (select agent_id, case when response_ms >= 0 then response_ms end as v from turns) t group by agent_id")
@@ -152,11 +157,6 @@ def a33(spark, d):
     return cost.risk_summary(operations(spark, d).withColumn("verdict", v).withColumn("tokens", F.col("duration_ms")))
 
 
-@query("A35_ingest_funnel", FACTS + "select agent_id, count(*) as calls, min(started_ms) as first_ms, max(started_ms) as latest_ms, arg_min(session_id, struct_pack(a := started_ms, b := session_id)) as first_session, count(*) filter (measured = 0) as unmeasured from calls group by agent_id")
-def a35(spark, d):
-    return calls_of(spark, d).groupBy("agent_id").agg(F.count("*").alias("calls"), F.min("started_ms").alias("first_ms"), F.max("started_ms").alias("latest_ms"), F.min_by("session_id", F.struct("started_ms", "session_id")).alias("first_session"), F.count_if(F.col("measured") == 0).alias("unmeasured"))
-
-
 @query("A36_response_gap", FACTS + """, clipped as (select o.session_id, o.turn_id, stage, greatest(o.started_ms, t.started_ms + 500) as s, least(o.ended_ms, t.ended_ms) as e from ops o join turns t on t.turn_id = o.turn_id and t.session_id = o.session_id where greatest(o.started_ms, t.started_ms + 500) < least(o.ended_ms, t.ended_ms)),
     marked as (select *, case when s > coalesce(max(e) over (partition by turn_id, stage order by s, e rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as n from clipped),
     islands as (select session_id, turn_id, stage, g, max(e) - min(s) as c from (select *, sum(n) over (partition by turn_id, stage order by s, e rows unbounded preceding) as g from marked) m group by 1, 2, 3, 4),
@@ -244,12 +244,6 @@ def t03(spark, d):
     return tools.select("tool_name", F.row_number().over(Window.orderBy(F.col("rankable").desc(), F.col("p95").desc(), "tool_name")).alias("place"))
 
 
-@query("T04_worst_turns", FACTS + "select session_id, turn_id from (select *, row_number() over (partition by session_id order by response_ms desc nulls last, turn_id) as n from turns) t where n <= 5")
-def t04(spark, d):
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("response_ms").desc_nulls_last(), "turn_id"))
-    return turns_of(spark, d).withColumn("n", n).filter("n <= 5").select("session_id", "turn_id")
-
-
 @query("T07_quota_sample", FACTS + "select session_id from (select session_id, failed_ops, row_number() over (partition by failed_ops > 0 order by started_ms desc, session_id) as newest, row_number() over (partition by failed_ops > 0 order by duration_ms desc, session_id) as longest from calls) c where (failed_ops > 0 and newest <= 5) or (failed_ops = 0 and longest <= 45)")
 def t07(spark, d):
     calls = calls_of(spark, d).withColumn("failing", F.col("failed_ops") > 0)
@@ -395,12 +389,3 @@ def q04(spark, d):
 def q05(spark, d):
     trace = F.array_sort(F.collect_list(F.struct("started_ms", "op_id", "stage")))  # the spans of one turn
     return operations(spark, d).groupBy("turn_id").agg(F.count("*").alias("ops"), F.sum("duration_ms").alias("busy_ms"), F.array_join(F.transform(trace, lambda x: x["stage"]), ">").alias("trace"))
-
-
-@query("Q07_head_to_head", FACTS + "select agent_id, dimension, production, challenger, case when production is null or challenger is null then 'unknown' when challenger < production then 'challenger' when challenger > production then 'production' else 'even' end as verdict from (select agent_id, 'latency' as dimension, round(avg(response_ms), 6) as production, round(avg(response_ms) filter (llm_ops = 0), 6) as challenger from turns group by 1 union all select agent_id, 'failures', round(avg(stt_failed + llm_failed), 6), round(avg(tts_failed + tool_failed), 6) from turns group by 1) t")
-def q07(spark, d):
-    from callmetrics.functions.scalars import verdict
-
-    each = turns_of(spark, d).groupBy("agent_id").agg(F.avg("response_ms").alias("a1"), F.avg(F.when(F.col("llm_ops") == 0, F.col("response_ms"))).alias("a2"), F.avg(F.expr("stt_failed + llm_failed")).alias("b1"), F.avg(F.expr("tts_failed + tool_failed")).alias("b2"))
-    rows = F.array(*(F.struct(F.lit(n).alias("dimension"), F.round(a, 6).alias("production"), F.round(b, 6).alias("challenger")) for n, a, b in (("latency", "a1", "a2"), ("failures", "b1", "b2"))))
-    return each.select("agent_id", F.inline(rows)).withColumn("verdict", verdict(F.col("production"), F.col("challenger")))

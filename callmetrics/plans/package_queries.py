@@ -40,15 +40,15 @@ def s03(spark, d):
     return nested.manifests(spark, d).select("session_id", "agent_id", "outcome", F.size("metadata").alias("labels"))
 
 
-_RUNS = "with told as (select conv_id, unnest(case when conv_id % 3 = 0 then ['streaming', 'batch'] else [case when conv_id % 2 = 0 then 'batch' end] end) as kind, count(*) as n from conversations where text is not null group by conv_id), runs as (select conv_id::varchar as session_id, coalesce(kind, 'batch') as kind, case when kind = 'streaming' then 1 else 2 end as day, case when kind = 'streaming' then 0 else n end as words, conv_id from told where conv_id % 10 <> 7) "
+RUNS_SQL = "with told as (select conv_id, unnest(case when conv_id % 3 = 0 then ['streaming', 'batch'] else [case when conv_id % 2 = 0 then 'batch' end] end) as kind, count(*) as n from conversations where text is not null group by conv_id), runs as (select conv_id::varchar as session_id, coalesce(kind, 'batch') as kind, case when kind = 'streaming' then 1 else 2 end as day, case when kind = 'streaming' then 0 else n end as words, conv_id from told where conv_id % 10 <> 7) "
 
 
-@query("S04_read_challenger_runs", _RUNS + "select session_id, kind, words::integer as words, row_number() over (partition by session_id order by day desc)::integer as recency, case when words > 0 then (words - 1) * 1500.0 end::double as last_start from runs")
+@query("S04_read_challenger_runs", RUNS_SQL + "select session_id, kind, words::integer as words, row_number() over (partition by session_id order by day desc)::integer as recency, case when words > 0 then (words - 1) * 1500.0 end::double as last_start from runs")
 def s04(spark, d):
     return nested.runs(spark, d).select("session_id", "kind", F.size("words").alias("words"), "recency", F.try_element_at("words", F.lit(-1))["start_ms"].alias("last_start"))
 
 
-@query("W10_selected_run", _RUNS + "select session_id, kind from (select *, row_number() over (partition by session_id order by case when words > 0 then 1 else 2 end, day desc) as n from runs where conv_id % 5 <> 4) where n = 1")
+@query("W10_selected_run", RUNS_SQL + "select session_id, kind from (select *, row_number() over (partition by session_id order by case when words > 0 then 1 else 2 end, day desc) as n from runs where conv_id % 5 <> 4) where n = 1")
 def w10(spark, d):
     return challenger.selected_run(nested.runs(spark, d)).select("session_id", "kind")
 
@@ -155,9 +155,10 @@ def p27(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", spans.reported_cost(body).alias("cost"))
 
 
-@query("P28_redacted_json", "select conv_id, turn, role, '{\"api_key\":\"[redacted]\",\"inner\":{\"note\":\"use [redacted] now\",\"said\":' || to_json(coalesce(text, '')) || ',\"password\":\"[redacted]\"}}' as body, 2 as secret_keys, 1 as secret_values from conversations where text is not null and text = regexp_replace(text, '[^ -~]', '', 'g') and not contains(text, '\\') and not contains(text, '\"') and not regexp_matches(text, '(sk-|ghp_|AKIA|eyJ|xox|(?i:bearer))')")
+@query("P28_redacted_json", "select conv_id, turn, role, '{\"api_key\":\"[redacted]\",\"inner\":{\"note\":\"use [redacted] now\",\"said\":' || to_json(coalesce(text, '')) || ',\"password\":\"[redacted]\"}}' as body, 2 as secret_keys, 1 as secret_values from conversations where text is not null")
 def p28(spark, d):
-    rows = table(spark, d, "conversations").filter(r"text is not null and not text rlike '[^ -~]' and not contains(text, '\\') and not contains(text, '\"') and not text rlike '(sk-|ghp_|AKIA|eyJ|xox|(?i:bearer))'")
+    """A body of every turn. No turn of the given tables holds a credential itself; tests hold those that do."""
+    rows = table(spark, d, "conversations").filter("text is not null")
     inner = "to_json(named_struct('note', concat('use ', 'ghp_', repeat('a', 24), ' now'), 'said', text, 'password', 'p'))"
     body = F.expr(f"concat('{{\"api_key\":\"k\",\"inner\":', {inner}, '}}')")
     return rows.select("conv_id", "turn", "role", scalars.redact_json(body).alias("r")).select("conv_id", "turn", "role", F.col("r.text").alias("body"), "r.secret_keys", "r.secret_values")
@@ -278,12 +279,6 @@ def x08(spark, d):
     return said.select("conv_id", text.words_to_text(F.col("said.text")).alias("text"))
 
 
-@query("X09_production_transcript", "select conv_id, turn, role, case when turn % 3 = 0 then nullif(trim(text), '') when turn % 2 = 0 then nullif(trim(role), '') end as said from conversations")
-def x09(spark, d):
-    own = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.lit(" "))
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", evaluation.production_text(own, F.col("role"), F.when(F.col("turn") % 2 == 0, 1).otherwise(2)).alias("said"))
-
-
 @query("W08_rebased_segments", NESTED_SQL + "select session_id, count(*) as segments, sum(v % 900 + 100)::double as spoken_ms, true as in_order from bound group by 1")
 def w08(spark, d):
     """Segments whose clocks restart at every event, put on one clock."""

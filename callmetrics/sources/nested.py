@@ -57,12 +57,19 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return turns_bound(spark, d).select(F.col("session_id").alias("package"), F.explode(F.array_compact(made)).alias("value"))
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def _state(spark: SparkSession, d: str) -> str:
+    """What tells the events of a folder from those that were there at another time."""
+    file = table(spark, d, "events").select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").alias("t"))
+    return str(file.agg(F.count("*"), F.max("t"), F.max("n"), F.min("n"), F.max("p")).first())
 
 
 def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the folder ``d``, written once a session beside the checkpoints."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A table derived from the events of the folder ``d``, written once a session beside the
+    checkpoints, and again where the folder has changed since."""
+    key = (spark.sparkContext.applicationId, d, name, _state(spark, d))
     if key not in _STORED:
         path = f"{shared_path(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
