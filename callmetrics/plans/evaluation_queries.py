@@ -249,7 +249,7 @@ _SIDES = """sides as (select session_id, 0.0 as p_no_text, count(*) filter (e %
 _ROWS = {
     "no_text_turns": ("accuracy", "p_no_text", "c_no_text"), "missing_final_turns": ("accuracy", "p_missing", "c_missing"), "final_from_last_word_p50": ("latency", "p_final", "c_final"), "first_partial_p50": ("latency", "p_partial", "c_partial"),
     "streaming_partials": ("capability", "1", "1"), "word_timestamps": ("capability", "p_words", "1"), "confidence_scores": ("capability", "1", "0"), "vad_events": ("capability", "0", "1"),
-    "per_minute": ("cost", "0.0048 * 83", "0.0065 * 83"), "per_call": ("cost", "0.0048 * 83 * ms / 60000", "0.0065 * 83 * ms / 60000"), "per_month": ("cost", "0.0048 * 83 * 159600", "0.0065 * 83 * 159600"),
+    "per_minute": ("cost", "0.0048::double * 83", "0.0065::double * 83"), "per_call": ("cost", "0.0048::double * 83 * (ms / 60000)", "0.0065::double * 83 * (ms / 60000)"), "per_month": ("cost", "0.0048::double * 83 * 159600", "0.0065::double * 83 * 159600"),
 }
 
 
