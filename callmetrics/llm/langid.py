@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmetrics.llm.samples import bounded_sample
@@ -25,10 +25,12 @@ from callmetrics.llm.words import mix64, slices
 ORDER = 4
 #: Bound on the labelled documents of one language that models are fitted on.
 DOCS_PER_LANGUAGE = 1500
-#: One in so many of these calibrates rejection instead.
-CALIBRATING = 5
-#: A language with fewer calibrating documents is cross-fitted: all teach and all calibrate.
-LEAST_CALIBRATING = 20
+#: Parts of these; each calibrates rejection by models that the others taught.
+FOLDS = 5
+#: Share of the documents by which the allowance for short texts is set.
+KEPT = 0.99
+#: Characters that are scored at once, so that a text of any length takes bounded memory.
+PIECE = 1 << 18
 #: Bits a character above the mean that any length may have.
 SLACK = 1.5
 SPACE = 32
@@ -142,20 +144,20 @@ class Models(NamedTuple):
                 probs = self.log_probs(whole)
                 end = np.cumsum([len(c) for _, c in held])
                 for (i, c), stop in zip(held, end, strict=True):
-                    count[i] = len(c) - self.order + 1
-                    bits[i] = -probs[stop - len(c) : stop - self.order + 1].sum(0, dtype=np.float64) / count[i]
+                    count[i] += len(c) - self.order + 1
+                    bits[i] -= probs[stop - len(c) : stop - self.order + 1].sum(0, dtype=np.float64)
                 held.clear()
 
         for i, text in enumerate(texts):
             chars = characters(text, self.order)
-            if len(chars):
-                held.append((i, chars))
-                size += len(chars)
-                if size > 1 << 18:
+            for low in range(0, len(chars) - self.order + 1, PIECE):  # pieces share order - 1 characters, so each n-gram is in one
+                held.append((i, chars[low : low + PIECE + self.order - 1]))
+                size += len(held[-1][1])
+                if size > PIECE:
                     flush()
                     size = 0
         flush()
-        return count, bits
+        return count, bits / np.maximum(count, 1)[:, None]
 
     def choose(self, count: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language index, posterior probability of it given the whole text, within the calibrated limit)."""
@@ -176,19 +178,20 @@ def _counted(texts: Iterable[str], order: int) -> pd.DataFrame | None:
 
 
 def _grams_of(sample: DataFrame, order: int) -> DataFrame:
-    """Counts of the n-grams of full length by language, as code points."""
+    """Counts of the n-grams of full length by language and fold, as code points."""
     names = [f"c{i}" for i in range(order)]
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for lang, texts in pd.Series(batch.column(1).to_pylist()).groupby(pd.Series(batch.column(0).to_pylist())):
+            lang, fold, text = (pd.Series(batch.column(c).to_pylist()) for c in ("lang", "fold", "text"))
+            for (one, part), texts in text.groupby([lang, fold]):
                 frame = _counted(texts, order)
                 if frame is None:
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(frame)), *(pa.array(frame[c].to_numpy(np.int32)) for c in names), pa.array(frame["n"].to_numpy(np.int64))], ["lang", *names, "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(frame)), pa.array([part] * len(frame), pa.int32()), *(pa.array(frame[c].to_numpy(np.int32)) for c in names), pa.array(frame["n"].to_numpy(np.int64))], ["lang", "fold", *names, "n"])
 
-    parts = sample.select("lang", "text").mapInArrow(count, "lang string, " + ", ".join(f"{c} int" for c in names) + ", n long")
-    return parts.groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    parts = sample.select("lang", "fold", "text").mapInArrow(count, "lang string, fold int, " + ", ".join(f"{c} int" for c in names) + ", n long")
+    return parts.groupBy("lang", "fold", *names).agg(F.sum("n").alias("n"))
 
 
 def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int, letters: int | None = None) -> tuple[list[Level], list[Level], float]:
@@ -267,37 +270,37 @@ def _kneser_ney(counts: pd.DataFrame, languages: list[str], order: int, letters:
     return levels, contexts, min(floors.values())
 
 
-def _cross_fitted(rows: pd.DataFrame, order: int, letters: int) -> pd.DataFrame:
-    """(lang, n, bits) of the documents of one language, each scored by a model of the other folds'."""
-    rows = rows.sort_values("turn").reset_index(drop=True)
-    lang, fold = rows["lang"].iloc[0], np.arange(len(rows)) % CALIBRATING
-    parts = [_counted(rows["text"][fold == f], order) for f in range(CALIBRATING)]
-    n, own = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for f in range(CALIBRATING):
-        others = [p for g, p in enumerate(parts) if g != f and p is not None]
-        if parts[f] is None or not others:
-            continue
-        counts = pd.concat(others).groupby([f"c{i}" for i in range(order)]).sum().reset_index()
-        levels, contexts, unknown = _kneser_ney(counts.assign(lang=lang), [lang], order, letters)
-        count, bits = Models([lang], order, levels, contexts, unknown, np.zeros(1), np.zeros(1)).score(rows["text"][fold == f].tolist())
-        n.append(count[count > 0])
-        own.append(bits[count > 0, 0])
-    return pd.DataFrame({"lang": pd.Series([lang] * sum(map(len, n)), dtype=object), "n": np.concatenate(n), "bits": np.concatenate(own)})
+def _cross_fitted(sample: DataFrame, grams: DataFrame, order: int, letters: int) -> DataFrame:
+    """(lang, n, bits) of every document of the sample with letters, scored by a model of
+    its language that the other folds taught. Each fold of a language is a task."""
+    names = [f"c{i}" for i in range(order)]
+    held = F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("held")
+    others = grams.select("*", held).filter("held <> fold").groupBy("lang", "held", *names).agg(F.sum("n").alias("n"))
+
+    def score(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(counts):
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "n": np.zeros(0, np.int64), "bits": np.zeros(0)})
+        lang = rows["lang"].iloc[0]
+        levels, contexts, unknown = _kneser_ney(counts[["lang", *names, "n"]], [lang], order, letters)
+        n, bits = Models([lang], order, levels, contexts, unknown, np.zeros(1), np.zeros(1)).score(rows["text"].tolist())
+        return pd.DataFrame({"lang": [lang] * int((n > 0).sum()), "n": n[n > 0], "bits": bits[n > 0, 0]})
+
+    rows = sample.select("lang", "fold", "text").groupBy("lang", "fold")
+    return rows.cogroup(others.groupBy("lang", "held")).applyInPandas(score, "lang string, n long, bits double")
 
 
 def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> Models:
     """Models from ``df`` (doc_id, text, lang): whole texts of at most
     ``docs_per_language`` documents of each language, chosen by a hash of doc_id.
 
-    Rows with a null in any of the three teach nothing; ``trains`` narrows the rest. One
-    document in CALIBRATING sets the limits of rejection: SLACK bits above the mean
-    cross-entropy seen there, and as much as half again the largest excess, each scaled
-    by the root of its length, allows a text of that length. The limits are wide: known
-    languages stay, other scripts and letter noise go. A language with fewer than
-    LEAST_CALIBRATING such documents is learnt from all of its own and calibrated by
-    cross-fitting; if they are few even then, the allowance for length is the median of
-    the other languages, and one that cannot be cross-fitted (a single document) has the
-    median of their limits, at most the bits of an even draw from the alphabet.
+    Rows with a null in any of the three teach nothing, nor do those whose language is
+    ``und``; ``trains`` narrows the rest. All documents of a language teach it, and all
+    calibrate its limit of rejection, by cross-fitting in FOLDS parts: SLACK bits above
+    the mean cross-entropy seen there, and by length what KEPT of all documents exceeded
+    their language's mean by at most (times the root of their length), with half of it
+    again. The limits are wide: known languages stay, other scripts and letter noise go.
+    A language that cannot be cross-fitted (a single document) has the median limit of
+    the others, at most the bits of an even draw from the alphabet.
     """
     usable = df.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null and lang <> 'und'")
     if trains is not None:
@@ -305,49 +308,32 @@ def fit(df: DataFrame, trains: Column | None = None, order: int = ORDER, docs_pe
     chosen = bounded_sample(usable.select("doc_id", "lang"), "lang", docs_per_language)
     # bounded by docs_per_language; of rows that repeat an id the one with the least language and text teaches
     own = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    sample = written(own.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least")).select("doc_id", "least.text", "least.lang"), "languages")
-    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATING)) == 0
-    held = sample.groupBy("lang").agg(F.count_if(calibrates & F.col("text").rlike(r"\p{L}")).alias("n"))
-    rare = [r["lang"] for r in held.filter(F.col("n") < LEAST_CALIBRATING).collect()]  # bounded by the languages
-    is_rare = F.col("lang").isin(rare)
+    own = own.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least")).select("doc_id", "least.text", "least.lang")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
+    sample = written(own.withColumn("fold", F.pmod(nth, F.lit(FOLDS)).cast("int")), "languages")
+    grams = written(_grams_of(sample, order), "grams")
+    names = [f"c{i}" for i in range(order)]
     # bounded by the sample
-    counts = _grams_of(sample.filter(is_rare | ~calibrates), order).toPandas()
+    counts = grams.groupBy("lang", *names).agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
         return Models([], order, [], [], 0.0, np.zeros(0), np.zeros(0))
     levels, contexts, unknown = _kneser_ney(counts, languages, order)
-    models = Models(languages, order, levels, contexts, unknown, np.full(len(languages), np.inf), np.zeros(len(languages)))
-
-    def measure(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in stream:
-            count, bits = models.score(part["text"].tolist())
-            yield pd.DataFrame({"lang": part["lang"], "n": count, "bits": list(bits)})
-
-    seen = sample.filter(calibrates & ~is_rare).select("text", "lang").mapInPandas(measure, "lang string, n long, bits array<double>").filter("n > 0").toPandas()
-    place = {lang: j for j, lang in enumerate(languages)}
-    seen["bits"] = [b[place[lang]] for lang, b in zip(seen["lang"], seen["bits"], strict=True)]
-    letters = len(pd.unique(counts[[f"c{i}" for i in range(order)]].to_numpy().ravel()))
-    if rare:
-        crossed = sample.filter(is_rare).select("lang", "text", F.xxhash64("doc_id", F.lit(6)).alias("turn")).groupBy("lang")
-        # bounded: such a language has about CALIBRATING * LEAST_CALIBRATING documents in the sample
-        seen = pd.concat([seen, crossed.applyInPandas(lambda rows: _cross_fitted(rows, order, letters), "lang string, n long, bits double").toPandas()])
-    models.mean[:] = np.log2(letters + 1)
-    few, alone = [], []
+    letters = len(pd.unique(counts[names].to_numpy().ravel()))
+    mean, excess, alone = np.full(len(languages), np.log2(letters + 1)), [np.ones(1)], []
+    seen = _cross_fitted(sample, grams, order, letters).toPandas().sort_values(["lang", "n", "bits"])  # two numbers a document of the sample
     for j, lang in enumerate(languages):
-        own = seen[seen["lang"] == lang]
-        if len(own):
-            bits = own["bits"].to_numpy(np.float64)
-            models.mean[j] = bits.mean() + SLACK
-            models.width[j] = 1.5 * max(1.0, float(((bits - bits.mean()) * np.sqrt(own["n"].to_numpy(np.float64))).max())) + 5
-        else:
+        own_seen = seen[seen["lang"] == lang]
+        if not len(own_seen):
             alone.append(j)
-        if len(own) < LEAST_CALIBRATING:
-            few.append(j)
+            continue
+        bits = own_seen["bits"].to_numpy(np.float64)
+        mean[j] = bits.mean() + SLACK
+        excess.append((bits - bits.mean()) * np.sqrt(own_seen["n"].to_numpy(np.float64)))
     if len(alone) < len(languages):
-        models.mean[alone] = np.minimum(models.mean[alone], np.median(np.delete(models.mean, alone)))
-    if len(few) < len(languages):
-        models.width[few] = np.median(np.delete(models.width, few))
-    return models
+        mean[alone] = np.minimum(mean[alone], np.median(np.delete(mean, alone)))
+    width = 1.5 * max(1.0, float(np.quantile(np.concatenate(excess), KEPT))) + 5
+    return Models(languages, order, levels, contexts, unknown, mean, np.full(len(languages), width))
 
 
 def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
