@@ -19,6 +19,8 @@ from callmetrics.llm.storage import written
 
 SHARDS = 16
 ROUNDS = 10
+#: Repeats of one row that a task makes at once.
+REPEATS = 1 << 16
 #: A group larger than a shard's capacity over this moves in cells of about that size.
 CELLS = 8
 
@@ -119,9 +121,13 @@ def balanced_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = written(base.groupBy(*base.columns).agg(F.count("*").alias("repeats")), "documents")
     total = base.agg(F.coalesce(F.sum("repeats"), F.lit(0))).first()[0]
     order = [F.col("doc_id"), F.col("g1"), F.col("g2")]
-    firsts = numbered(base, [], order, total, "first", "repeats")
-    pos = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("repeats") - 1)).alias("pos")
-    docs = written(firsts.select("doc_id", "size", "text_crc32", "g1", "g2", pos), "numbered")
+    firsts = written(numbered(base, [], order, total, "first", "repeats").withColumn("last", F.col("first") + F.col("repeats") - 1), "firsts")
+    once = firsts.filter(F.col("repeats") <= REPEATS)
+    # a row that is there more often is dealt to tasks in runs
+    runs = firsts.filter(F.col("repeats") > REPEATS).withColumn("run", F.explode(F.sequence("first", "last", F.lit(REPEATS).cast("long")))).repartition("run")
+    runs = runs.withColumn("last", F.least("last", F.col("run") + REPEATS - 1)).withColumn("first", F.col("run")).drop("run")
+    pos = F.explode(F.sequence("first", "last")).alias("pos")
+    docs = written(once.union(runs).select("doc_id", "size", "text_crc32", "g1", "g2", pos), "numbered")
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     cell_rows = max(1, quota[-1] // CELLS)
     sizes = docs.groupBy("g1", "g2", "size").agg(F.count("*").alias("n")).filter("n > 1")
