@@ -244,7 +244,7 @@ def j09(spark, d):
 def j08(spark, d):
     ops = operations(spark, d)
     left = ops.filter("stage = 'tool'").select("session_id", F.col("op_id").alias("l_id"), F.col("started_ms").alias("l_from"), F.col("ended_ms").alias("l_to"))
-    return intervals.tightest_enclosing(left.filter("l_to > l_from"), _sides(spark, d, "tool", "llm", _HOURS)[1])
+    return intervals.tightest_enclosing(left, _sides(spark, d, "tool", "llm", _HOURS)[1])
 
 
 @query("J10_first_agent_audio", OPS + f"select a.op_id, min(b.started_ms) as first_ms from ops a join ops b on {_PAIRS} and a.stage = 'tts' and b.started_ms >= a.started_ms and b.started_ms < a.started_ms + {_HOURS} and b.stage = 'llm' group by a.op_id")
