@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from callmetrics.functions import scalars, spans
 from callmetrics.operators import calls, challenger, evaluation, facts
@@ -126,3 +127,32 @@ def test_calls_are_flat_facts_too(spark):
     assert facts.call_facts(turns).first().measured == 1
     parts = reports.summary(turns, reports.Filters(1767225600000, 1767229200000))
     assert parts["latency"].first().p50 == pytest.approx(1100) and {r.stage: r.ops for r in parts["stages"].collect()} == {"stt": 1, "llm": 1, "tts": 1, "tool": 0}
+
+
+def counting(spark, df, name):
+    """``df`` and a count of how often a row of it was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(name, F.udf(note, "string").asNondeterministic()(F.col(name))), seen
+
+
+def test_lines_are_read_once_and_spans_twice(spark):
+    told = [*turn(0), *turn(3000, turn_id="t2"), {"kind": "audio_chunk", "session_id": "call-1", "track": "agent", "occurred_at_ms": 1950, "duration_ms": 300.5, "operation_id": "t1-tts"}]
+    rows, seen = counting(spark, lines(spark, told), "value")
+    ops = packages.operations_of(rows)
+    assert ops.count() == 6 and seen.value == len(told)
+    chunks = packages.audio_chunks_of(lines(spark, told))
+    ops, seen = counting(spark, ops, "status")  # recognitions and model calls, and syntheses apart
+    assert calls.grouped_turns(ops, chunks).count() == 2 and seen.value <= 12
+
+
+def test_chunks_spelt_with_escapes_are_chunks(spark):
+    rows = spark.createDataFrame([("c", '{"kind": "audio\\u005fchunk", "session_id": "c", "duration_ms": 1.5}'), ("c", '{"event_id": "a", "session_id": "c", "type": "stt", "duration_ms": "long"}'), ("d", "[1"), ("d", '{"event_id": "b", "session_id": "d", "type": "stt"}')], "package string, value string")
+    parsed = packages.parsed_lines(rows)
+    assert [r.duration_ms for r in packages.audio_chunks_in(parsed).collect()] == [1.5]
+    found = packages.operations_in(parsed, packages.rejected_in(parsed)).collect()  # a value of another kind rejects nothing
+    assert [(r.event_id, r.duration_ms) for r in found] == [("a", None)]
