@@ -21,7 +21,7 @@ from callmetrics.functions.scalars import bucket_floor
 from callmetrics.operators import calls as packaged
 from callmetrics.operators import rollups
 from callmetrics.operators.measures import ALL_AGENTS, HOUR_MS
-from callmetrics.sources.packages import MANIFEST, audio_chunks_of, day_of, manifests_of, operations_of
+from callmetrics.sources.packages import MANIFEST, audio_chunks_in, day_of, manifests_of, operations_in, parsed_lines, rejected_in
 from callmetrics.sources.shared import checkpointed
 
 #: Parts that sessions are dealt to, so that an arrival reads only its own parts of the index.
@@ -87,9 +87,10 @@ class FactStore:
         return self._read(f"{self.path}/done", "bucket_ms bigint, agent_id string, upto int, pass int")
 
     @staticmethod
-    def _write(df: DataFrame, path: str, by: list[str]) -> None:
-        """Replaces the partitions that ``df`` has rows for, so a version that is written again stays one."""
-        df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    def _write(df: DataFrame, path: str, by: list[str], dealt: bool = True) -> None:
+        """Replaces the partitions that ``df`` has rows for, so a version that is written again stays one.
+        ``dealt``: one task writes each; else all tasks that have rows of it do, as a large one needs."""
+        (df.repartition(*by) if dealt else df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
     def add(self, arrived: Facts, version: int | None = None) -> None:
         """Replace all facts of the calls in ``arrived`` and mark the keys they touch.
@@ -132,7 +133,7 @@ class FactStore:
         tiers = rollups.build_placed(*(self._counting(kind, days, hours) for kind in Facts.KINDS))
         for name in rollups.Tiers.NAMES:
             mine = getattr(tiers, name).join(keys.select("bucket_ms", "agent_id"), ["bucket_ms", "agent_id"], "left_semi")
-            self._write(mine.withColumn("pass", number), f"{self.path}/tiers/{name}", ["pass"])
+            self._write(mine.withColumn("pass", number), f"{self.path}/tiers/{name}", ["pass"], dealt=False)
         self._write(keys.withColumn("pass", number), f"{self.path}/done", ["pass"])
 
     def _counting(self, kind: str, days: list | None = None, hours: DataFrame | None = None) -> DataFrame:
@@ -167,7 +168,7 @@ class FactStore:
         newest = self._index().groupBy("session_id").agg(F.max("version").alias("version"))
         self._write(self._index().join(newest, ["session_id", "version"], "left_semi").withColumn("version", F.lit(version)), f"{to}/index", ["slot", "version"])
         for name in rollups.Tiers.NAMES:
-            self._write(self.tier(name).withColumn("pass", F.lit(number)), f"{to}/tiers/{name}", ["pass"])
+            self._write(self.tier(name).withColumn("pass", F.lit(number)), f"{to}/tiers/{name}", ["pass"], dealt=False)
         # what is pending stays so: it was marked by the last version, and built by none of that
         open_ = self.pending().select("bucket_ms", "agent_id").withColumn("open", F.lit(True))
         keys = self._dirty().select("bucket_ms", "agent_id").distinct().join(open_, ["bucket_ms", "agent_id"], "left")
@@ -188,8 +189,9 @@ class Inbox:
 
     def take(self, batch: DataFrame, number: int) -> None:
         """One micro-batch of (kind: line or manifest, package, value)."""
-        came = checkpointed(batch.withColumn("slot", slot_of(F.col("package"))).withColumn("version", F.lit(number)))
-        FactStore._write(came, self.path, ["slot", "version"])
+        placed = batch.withColumn("slot", slot_of(F.col("package"))).withColumn("version", F.lit(number))
+        FactStore._write(placed, self.path, ["slot", "version"])
+        came = self.store._read(self.path, placed.schema).filter(F.col("version") == number)
         touched = came.select("package", "slot").distinct()
         slots = [r[0] for r in touched.select("slot").distinct().collect()]  # at most SLOTS
         if not slots:
@@ -200,8 +202,9 @@ class Inbox:
         if told.isEmpty():  # nothing that came has its manifest yet
             return
         lines = held.filter("kind = 'line'").join(told.select("package"), "package", "left_semi").select("package", "value")
-        ops, manifests = checkpointed(operations_of(lines)), manifests_of(told.select(F.from_json("value", MANIFEST).alias("m")).select("m.*"))
-        turns = checkpointed(packaged.turn_metrics(ops, audio_chunks_of(lines), manifests))
+        parsed = checkpointed(parsed_lines(lines))
+        ops, manifests = operations_in(parsed, checkpointed(rejected_in(parsed))), manifests_of(told.select(F.from_json("value", MANIFEST).alias("m")).select("m.*"))
+        turns = checkpointed(packaged.turn_metrics(ops, audio_chunks_in(parsed), manifests))
         whole = manifests.join(ops.select("session_id").distinct(), "session_id", "left_semi")  # a rejected package has none
         self.store.refresh(Facts.of(turns, packaged.call_metrics(turns, whole, ops), packaged.tool_metrics(ops), packaged.failure_metrics(ops, manifests), told.select(F.col("package").alias("session_id"))), number + 1)
 

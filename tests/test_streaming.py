@@ -100,3 +100,11 @@ def test_sketch_answers_lie_between_what_was_seen(spark, values):
     assert got.n == len(values) and got.least == round(min(values)) and got.greatest == round(max(values))
     assert all(got.least <= got[p] <= got.greatest for p in ("p50", "p90", "p95", "p99"))
     assert json.loads(json.dumps(got.asDict()))["p95_confident"] is False
+
+
+def test_a_pass_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40_000).select("id", F.lit(3).alias("pass")).repartition(4)
+    for _ in range(2):  # once more, as after a failure
+        FactStore._write(rows, str(tmp_path / "t"), ["pass"], dealt=False)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 40_000
+    assert len(list((tmp_path / "t/pass=3").glob("*.parquet"))) == 4
