@@ -10,6 +10,7 @@ from callmetrics.functions import scalars, spans
 from callmetrics.operators import calls, challenger, evaluation, facts
 from callmetrics.plans import reports
 from callmetrics.sources import packages
+from callmetrics.sources.shared import checkpointed
 from tests.test_spans import turn
 
 RECEIVED = "session_id string, timing struct<receipts:array<struct<kind:string,at_ms:bigint,audio_cursor_ms:bigint,text:string,result_audio_end_ms:bigint>>,commits:array<struct<at_ms:bigint,text:string,audio_start_ms:bigint,audio_end_ms:bigint>>>"
@@ -156,3 +157,28 @@ def test_chunks_spelt_with_escapes_are_chunks(spark):
     assert [r.duration_ms for r in packages.audio_chunks_in(parsed).collect()] == [1.5]
     found = packages.operations_in(parsed, packages.rejected_in(parsed)).collect()  # a value of another kind rejects nothing
     assert [(r.event_id, r.duration_ms) for r in found] == [("a", None)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_of_recognitions_run_compiled_and_names_are_read_once(spark, monkeypatch):
+    ops = packages.operations_of(lines(spark, [*turn(0)]))
+    chunks = packages.audio_chunks_of(lines(spark, [*turn(0)]))
+    assert "transform(array(" not in plan_of(calls.timed(ops))  # which is interpreted
+    made = []
+    monkeypatch.setattr(calls, "checkpointed", lambda df: made.append(df) or checkpointed(df))
+    calls.grouped_turns(ops, chunks)
+    branches = 2  # syntheses, which meet their chunks, and all other spans
+    assert plan_of(made[0]).count("[^a-z0-9]+") <= 2 * branches
+
+
+def test_only_turns_that_fold_are_grouped(spark):
+    told = [("s", "a", None, 1), ("s", "b", "a", 1), ("s", "c", "b", 0), ("s", "x", "gone", 1), ("s", "y", "y", 1), ("t", "a", None, 1)]
+    turns = spark.createDataFrame([(*r[:3], r[3], 1, 0, 0) for r in told], "session_id string, turn_id string, continues_turn string, stt_ops int, llm_ops int, tts_ops int, tool_ops int")
+    found = facts.split_columns(turns)
+    assert "Window" not in plan_of(found)
+    got = {(r.session_id, r.turn_id): (r.root, r.is_continuation, r.has_continuation, r.stt_split, r.llm_split, r.tts_split) for r in found.collect()}
+    alone = {k: (k[1], False, False, False, False, False) for k in (("s", "x"), ("s", "y"), ("t", "a"))}
+    assert got == alone | {("s", "a"): ("a", False, True, True, True, False), ("s", "b"): ("a", True, False, False, False, False), ("s", "c"): ("a", True, False, False, False, False)}
