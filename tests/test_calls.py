@@ -182,3 +182,10 @@ def test_only_turns_that_fold_are_grouped(spark):
     got = {(r.session_id, r.turn_id): (r.root, r.is_continuation, r.has_continuation, r.stt_split, r.llm_split, r.tts_split) for r in found.collect()}
     alone = {k: (k[1], False, False, False, False, False) for k in (("s", "x"), ("s", "y"), ("t", "a"))}
     assert got == alone | {("s", "a"): ("a", False, True, True, True, False), ("s", "b"): ("a", True, False, False, False, False), ("s", "c"): ("a", True, False, False, False, False)}
+
+
+def test_only_lines_of_that_kind_are_parsed_as_chunks(spark):
+    told = [*turn(0), {"kind": "audio_chunk", "session_id": "call-1", "duration_ms": 1.5}]  # the synthesis names a milestone audio_chunk
+    parsed = packages.parsed_lines(lines(spark, told))
+    assert "contains(value" not in plan_of(parsed).lower()
+    assert [r.duration_ms for r in packages.audio_chunks_in(parsed).collect()] == [1.5] and packages.operations_in(parsed, packages.rejected_in(parsed)).count() == len(told) - 1
