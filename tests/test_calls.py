@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,43 @@ def test_only_lines_of_that_kind_are_parsed_as_chunks(spark):
     parsed = packages.parsed_lines(lines(spark, told))
     assert "contains(value" not in plan_of(parsed).lower()
     assert [r.duration_ms for r in packages.audio_chunks_in(parsed).collect()] == [1.5] and packages.operations_in(parsed, packages.rejected_in(parsed)).count() == len(told) - 1
+
+
+def longest_method(spark, df):
+    code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(df._jdf.queryExecution().executedPlan())
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+
+
+def test_turns_are_measured_by_code_that_the_jvm_optimises(spark, monkeypatch):
+    """The JVM compiles no method of more than 8,000 bytes."""
+    ops = packages.operations_of(lines(spark, turn(0)))
+    chunks = packages.audio_chunks_of(lines(spark, turn(0)))
+    made = []
+    monkeypatch.setattr(calls, "checkpointed", lambda df: made.append(df) or checkpointed(df))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows its code
+    try:
+        calls.grouped_turns(ops, chunks)
+        assert longest_method(spark, made[0]) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_turns_are_written_once_and_joined_once(spark, monkeypatch):
+    rows = lines(spark, turn(0))
+    ops, chunks, own = packages.operations_of(rows), packages.audio_chunks_of(rows), manifests(spark, {"session_id": "call-1", "agent_id": "x"})
+    made = []
+    monkeypatch.setattr(calls, "checkpointed", lambda df: made.append(df) or checkpointed(df))
+    found = calls.turn_metrics(ops, chunks, own)
+    assert len(made) == 1 and found.count() == 1
+
+
+def test_chunks_of_one_instant_meet_a_silent_turn_once(spark, monkeypatch):
+    quiet = turn(20_000, "c", "d")
+    del quiet[2]["milestones"]
+    chunk = {"kind": "audio_chunk", "session_id": "c", "track": "agent", "duration_ms": 40.0}
+    rows = lines(spark, [*quiet, *({**chunk, "occurred_at_ms": 21_750.25 + i / 1000} for i in range(200)), {**chunk, "occurred_at_ms": 21_760.0}])
+    met = []
+    whole = calls.overlaps
+    monkeypatch.setattr(calls, "overlaps", lambda *a: met.append(whole(*a)) or met[0])
+    found = calls.grouped_turns(packages.operations_of(rows), packages.audio_chunks_of(rows)).first()
+    assert met[0].count() == 2 and found.response_ms == round(21_750.25 - 20_800)
