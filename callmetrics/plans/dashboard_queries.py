@@ -66,7 +66,7 @@ def _flat(spark, d):
 
 
 def _package(spark, d):
-    ops, manifests = nested.spans_of(spark, d), nested.manifests(spark, d)
+    ops, manifests = nested.measured_of(spark, d)[0], nested.manifests(spark, d)
     return package_turns(spark, d), package_calls(spark, d), packaged.tool_metrics(ops), packaged.failure_metrics(ops, manifests)
 
 

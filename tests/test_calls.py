@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from callmetrics.functions import scalars, spans
 from callmetrics.operators import calls, challenger, evaluation, facts
-from callmetrics.plans import reports
-from callmetrics.sources import packages
+from callmetrics.plans import package_queries, reports
+from callmetrics.sources import nested, packages
 from callmetrics.sources.shared import checkpointed
 from tests.test_spans import turn
 
+#: Small tables by a path that no other test reads, so that nothing of them is written yet.
+FRESH = "/root/testdata/./sf0.001"
 RECEIVED = "session_id string, timing struct<receipts:array<struct<kind:string,at_ms:bigint,audio_cursor_ms:bigint,text:string,result_audio_end_ms:bigint>>,commits:array<struct<at_ms:bigint,text:string,audio_start_ms:bigint,audio_end_ms:bigint>>>"
 
 
@@ -230,3 +232,38 @@ def test_chunks_of_one_instant_meet_a_silent_turn_once(spark, monkeypatch):
     monkeypatch.setattr(calls, "overlaps", lambda *a: met.append(whole(*a)) or met[0])
     found = calls.grouped_turns(packages.operations_of(rows), packages.audio_chunks_of(rows)).first()
     assert met[0].count() == 2 and found.response_ms == round(21_750.25 - 20_800)
+
+
+def test_spans_are_measured_as_their_lines_are_parsed(spark):
+    """Facts of lines that were measured before they were written are those of whole spans:
+    with a rejected package, a connection, chunks and a turn that has no reply of its own."""
+    quiet = turn(20_000, "c", "d")
+    del quiet[2]["milestones"]
+    tool = {**turn(0, "c", "a")[1], "event_id": "x-tool", "type": "tool", "status": "error", "error": {"name": "TimeoutError", "message": "late"}, "request": {"name": "find"}}
+    chunk = {"kind": "audio_chunk", "session_id": "c", "track": "agent", "occurred_at_ms": 21_750.0, "duration_ms": 40.0}
+    told = [*turn(0, "c", "a"), tool, *quiet, chunk, {"event_id": "s", "session_id": "c", "type": "stt", "scope": "connection", "status": "error"}, *turn(0, "bad", "a")]
+    rows = lines(spark, told).union(spark.createDataFrame([("bad", "{"), ("c", json.dumps({"event_id": "o", "session_id": "other", "type": "llm"}))], "package string, value string"))
+    opened = packages.opened_lines(rows).select("package", "text", "whole", "op.*")
+    written = checkpointed(calls.measured_spans(opened, "package", packages.chunk_of(F.col("text")).alias("chunk"), "whole"))
+    measured = written.filter("type is not null").join(packages.rejected_in(written), "package", "left_anti")
+    ops, chunks, own = packages.operations_of(rows), packages.audio_chunks_of(rows), manifests(spark, {"session_id": "c", "agent_id": "x", "started_at": "2026-01-01T00:00:00+00:00"}, {"session_id": "bad", "agent_id": "y"})
+    wide, narrow = calls.turn_metrics(ops, chunks, own), calls.measured_turns(measured, packages.audio_chunks_in(written), own)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 0
+    assert same(wide, narrow) and {r.turn_id: r.response_ms for r in narrow.collect()} == {"a": 1100, "d": 950}
+    assert same(calls.call_metrics(wide, own, ops), calls.call_metrics(narrow, own, measured)) and same(calls.tool_metrics(ops), calls.tool_metrics(measured)) and same(calls.failure_metrics(ops, own), calls.failure_metrics(measured, own))
+
+
+def test_reports_of_packages_write_no_captured_payload(spark):
+    """What reports are made of is parsed once and measured in the same pass, by code that the
+    JVM optimises, and is written without milestones, words, samples and texts."""
+    before = set(nested._STORED)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows its code
+    try:
+        made = nested._measured(spark, FRESH)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 3 and longest_method(spark, made) < 8000  # as a span, as a chunk, and what did not fit
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    package_queries.calls_of(spark, FRESH).count()
+    assert {k[2] for k in set(nested._STORED) - before} == {"measured", "rejected", "turns", "manifests"}
+    assert not {"milestones", "samples", "response", "words"} & set(made.columns)
